@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import near_dedup
+from quire.llm import mixing, near_dedup, quality
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,3 +19,20 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_near_dedup"] = op2_near_dedup
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdicts of ``documents``, the rules learned from ``labels``."""
+    found = quality.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES["op5_quality_rules"] = op5_quality_rules
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of ``documents`` takes of each."""
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op10_mixing"] = op10_mixing
