@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import mixing, near_dedup, quality
+from quire.llm import mixing, near_dedup, pii, quality
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_mixing"] = op10_mixing
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in ``documents``."""
+    found = pii.detect(load(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.k = '{k}')) as long)").alias(f"n_{k}") for k in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.digest("base")), 256).alias("base_sha256"), F.expr(pii.digest("all_spans")).alias("spans"))
+
+
+QUERIES["op1_pii"] = op1_pii
