@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, near_dedup, pii, quality
+from quire.llm import language, mixing, near_dedup, pii, quality, toxicity
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,26 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_pii"] = op1_pii
+
+
+def _fold(n: int) -> str:
+    """SQL: the fold of a doc_id; that of a null id is null."""
+    return f"crc32(cast(doc_id as string)) % {n}"
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of ``documents``, learned from the ``labels`` of four folds in five."""
+    found = toxicity.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), f"{_fold(5)} <> 0")
+    return found.select("doc_id", F.expr(f"coalesce({_fold(5)} = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
+
+
+QUERIES["op3_toxicity"] = op3_toxicity
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of ``documents``, learned from three folds in four."""
+    found = language.identify(load(spark, sf_dir, "documents"), f"{_fold(4)} <> 2")
+    return found.select("doc_id", F.expr(f"coalesce({_fold(4)} = 2, false)").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op9_language_id"] = op9_language_id
