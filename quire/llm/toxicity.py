@@ -17,9 +17,12 @@ from quire.llm.arrow import bounded_batches
 from quire.llm.hashing import chunks, mix
 
 #: n-gram length, hash bits, and the most training rows of each class: those of least hash.
-N, BITS, SAMPLE = 5, 18, 2500
+N, BITS, SAMPLE = 4, 18, 2500
 #: Of the fit: smoothing of the ratios, ridge penalty, steps, and rows that must have a feature.
-ALPHA, RIDGE, STEPS, LEAST = 1.0, 2e-3, 120, 3
+ALPHA, RIDGE, STEPS, LEAST = 1.0, 1e-2, 80, 10
+
+#: How much of the classes' log odds the intercept takes: less than all, as labels of the rare class are noisy.
+PRIOR = 0.5
 
 
 def features(texts: list[str | None]) -> list[np.ndarray]:
@@ -45,7 +48,7 @@ def _extract(batches):
 def fit(rows: list[np.ndarray], toxic: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """Weights by feature and the intercept. ``share``: how much of all labelled rows is toxic."""
     weights = np.zeros(1 << BITS, np.float32)
-    prior = float(np.log(share / (1 - share))) if 0 < share < 1 else (10.0 if share >= 1 else -10.0)
+    prior = PRIOR * float(np.log(share / (1 - share))) if 0 < share < 1 else (10.0 if share >= 1 else -10.0)
     if not rows or toxic.all() or not toxic.any():
         return weights, prior
     index, length = np.concatenate(rows).astype(np.int64), np.array([len(r) for r in rows])
