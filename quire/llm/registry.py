@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, mixing, near_dedup, pii, quality, toxicity
+from quire.llm import language, line_dedup, mixing, near_dedup, pii, quality, toxicity
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_language_id"] = op9_language_id
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without the lines that too many documents of their source share."""
+    found = line_dedup.drop_boilerplate(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lines", "dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+QUERIES["op6_line_dedup"] = op6_line_dedup
+ORACLES["op6_line_dedup"] = f"""
+    WITH l AS (SELECT doc_id, source, text, x.line, x.pos FROM (
+            SELECT doc_id, source, text, unnest(list_transform(string_split(text, chr(10)), lambda y, i: {{'line': y, 'pos': i}})) AS x FROM documents)),
+    k AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+    total AS (SELECT source, count(*) AS n_pages FROM documents GROUP BY source),
+    bad AS (SELECT source, bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM k WHERE bare <> '' GROUP BY source, bare)
+            JOIN total USING (source) WHERE n >= {line_dedup.LEAST_PAGES} AND n > {line_dedup.RATIO} * n_pages),
+    m AS (SELECT k.*, bad.bare IS NOT NULL AS gone FROM k LEFT JOIN bad ON k.source = bad.source AND k.bare = bad.bare),
+    t AS (SELECT doc_id, source, count(*) FILTER (WHERE bare <> '') AS lines, count(*) FILTER (WHERE gone) AS dropped,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id, source)
+    SELECT doc_id, source, lines, dropped, length(text) AS n_chars, md5(text) AS text_md5 FROM t
+"""
