@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, line_dedup, mixing, near_dedup, pii, quality, toxicity
+from quire.llm import language, line_dedup, mixing, near_dedup, pii, quality, topk, toxicity
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,17 @@ ORACLES["op6_line_dedup"] = f"""
             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM m GROUP BY doc_id, source)
     SELECT doc_id, source, lines, dropped, length(text) AS n_chars, md5(text) AS text_md5 FROM t
 """
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of ``embeddings`` by integer inner product, for every fiftieth vec_id."""
+    return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op8_topk_search"] = op8_topk_search
+ORACLES["op8_topk_search"] = """
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
