@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, line_dedup, mixing, near_dedup, pii, quality, topk, toxicity
+from quire.llm import language, language_model, line_dedup, mixing, near_dedup, pii, quality, topk, toxicity
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,12 @@ ORACLES["op8_topk_search"] = """
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model scores of ``documents``, counted on six folds in seven."""
+    found = language_model.perplexities(load(spark, sf_dir, "documents"), f"{_fold(7)} <> 2")
+    return found.select("doc_id", F.expr(f"coalesce({_fold(7)} = 2, false)").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op7_lm_scoring"] = op7_lm_scoring
