@@ -1,13 +1,58 @@
-"""Documents through the corpus stages in order."""
+"""Documents through the corpus stages in order: each stage's rows are written and read again as the next one's."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from quire.llm import line_dedup, mixing, near_dedup, quality, segmentation
+from quire.sources.shared import new_path
+from quire.sources.tables import load
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects; rows that repeat a doc_id stay or go by their own text."""
+    return quality.accepted(docs, load(spark, sf_dir, "labels"))
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that too many documents of their source share."""
+    return line_dedup.cleaned(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document: doc_id, rank, ids, log_prob, perturbed, inclusion."""
+    return segmentation.encode(docs)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", drop_shared_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+#: The learned rules and the sampler are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    """The last stage's rows over ``documents``; the others' are written to the shared folder."""
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = new_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

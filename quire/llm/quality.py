@@ -160,6 +160,12 @@ def learn(labelled: DataFrame) -> list[list[Condition]]:
     return rules
 
 
+def learn_from(stats: DataFrame, labels: DataFrame) -> list[list[Condition]]:
+    """Rules from the labelled rows that the base doesn't fail."""
+    bad = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad"))
+    return learn(stats.where("not base_failed").join(bad, "doc_id"))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics of each row of ``docs``, base_failed, and kept: not base_failed and by no rule rejected.
 
@@ -168,6 +174,31 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty result; repeated rows are judged alike.
     """
     stats = materialize(statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED)), "statistics")
-    bad = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad"))
-    rules = learn(stats.where("not base_failed").join(bad, "doc_id"))
-    return stats.withColumn("kept", ~F.col("base_failed") & decision(rules))
+    return stats.withColumn("kept", ~F.col("base_failed") & decision(learn_from(stats, labels)))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` that ``judge`` keeps.
+
+    Rejected doc_ids are few beside the rows they leave, so they are what is joined. Where rows that
+    repeat a doc_id, or have none, are judged differently, each row is judged on its own statistics.
+    """
+    found = materialize(judge(docs, labels).select("doc_id", "kept"), "verdicts")
+    mixed = found.groupBy("doc_id").agg(F.min("kept").alias("every"), F.max("kept").alias("some"))
+    rejected = mixed.where("not every")
+    split = rejected.where("some")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
+    out = docs.join(rejected.select(F.col("doc_id").alias("_doc_id")), key, "left_anti")
+    if split.isEmpty():
+        return out
+    again = docs.join(split.select(F.col("doc_id").alias("_doc_id")), key, "left_semi")
+    return out.unionByName(_by_row(again, docs, labels))
+
+
+def _by_row(some: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``some`` that the rules learned from ``docs`` accept."""
+    rules = learn_from(materialize(statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED)), "statistics"), labels)
+    numbered = materialize(some.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    stats = statistics(numbered.select(F.col("_row").alias("doc_id"), "text"))
+    good = stats.where(~F.expr(BASE_FAILED) & decision(rules)).select(F.col("doc_id").alias("_row"))
+    return numbered.join(good, "_row", "left_semi").drop("_row")

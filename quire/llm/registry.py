@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, language_model, line_dedup, mixing, near_dedup, pii, quality, topk, toxicity
+from quire.llm import language, language_model, line_dedup, mixing, near_dedup, pii, quality, segmentation, topk, toxicity
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,13 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_lm_scoring"] = op7_lm_scoring
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each of ``documents``, and the digest of what each decodes to."""
+    found = segmentation.encode(load(spark, sf_dir, "documents"))
+    found = found.withColumns({"n_pieces": F.size("ids"), "ids_hash": F.xxhash64("ids")})
+    return segmentation.decode(found).select("doc_id", "rank", "n_pieces", "ids_hash", "log_prob", "inclusion", F.md5("text").alias("decoded_md5"))
+
+
+QUERIES["op4_sentencepiece"] = op4_sentencepiece
