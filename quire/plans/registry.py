@@ -1,14 +1,14 @@
-"""Queries over the test tables and their DuckDB equivalents, by name."""
+"""Queries over the test tables and their DuckDB equivalents, by name.
+
+The tables hold no PDFs, DOIs, boxes or captions; queries of operators on such things make them from the
+tables' columns, as their docstrings say, and the operators' own rules are tested on small fixtures.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,17 +26,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query(
-    "content_equivalents",
-    """
-    WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS norm FROM documents),
-    k AS (SELECT doc_id, sha256(norm) AS text_sha256 FROM n WHERE length(norm) >= 200),
-    f AS (SELECT doc_id, text_sha256, min(doc_id) OVER (PARTITION BY text_sha256) AS held_by FROM k)
-    SELECT doc_id, held_by, text_sha256 FROM f WHERE doc_id <> held_by
-    """,
-)
-def content_equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 200 normalised characters or more whose text an earlier document holds."""
-    norm = F.trim(F.regexp_replace(F.col("text"), r"\s+", " "))
-    keyed = load(spark, sf_dir, "documents").select("doc_id", norm.alias("norm")).where(F.length("norm") >= 200).select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
-    return keyed.withColumn("held_by", F.min("doc_id").over(Window.partitionBy("text_sha256"))).where("doc_id <> held_by").select("doc_id", "held_by", "text_sha256")
+from quire.plans import compare_queries, dedup_queries, layout_queries, search_queries, text_queries  # noqa: E402, F401
