@@ -18,8 +18,12 @@ SHINGLE, LEAST_WORDS, COVERED = 6, 12, 0.5
 
 def shingles(words: Column, width: int = SHINGLE) -> Column:
     """Distinct runs of ``width`` words, blank-joined; whole strings, so that nothing collides."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when(F.size(words) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)  # the words are a lambda's argument: computed once a row
 
 
 def _exploded(rows: DataFrame, key: str, body: str) -> DataFrame:

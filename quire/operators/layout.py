@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quire.functions.geometry import iou
@@ -76,24 +80,32 @@ def greedy_tables(tables: DataFrame, candidates: DataFrame) -> DataFrame:
 
     The order of choice is the result, so each page is matched in one task; a page's tables are few.
     """
-    import pandas as pd
-
-    def match(page, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, rows = right.sort_values("pos").to_dict("records"), []
-        for t in left.sort_values("pos").to_dict("records"):
-            best, most = None, LEAST_IOU
-            for c in free:
-                w, h = min(t["x1"], c["x1"]) - max(t["x0"], c["x0"]), min(t["y1"], c["y1"]) - max(t["y0"], c["y0"])
-                both = w * h if w > 0 and h > 0 else 0.0
-                share = both / ((t["x1"] - t["x0"]) * (t["y1"] - t["y0"]) + (c["x1"] - c["x0"]) * (c["y1"] - c["y0"]) - both) if both else 0.0
-                if share >= most:
-                    best, most = c, share
-            if best is None and t["label"] is not None:
-                same = [c for c in free if c["label"] == t["label"]]
-                best = same[0] if len(same) == 1 else None
-            if best is not None:
-                free.remove(best)
-            rows.append((page[0], t["id"], None if best is None else best["id"]))
-        return pd.DataFrame(rows, columns=["page", "id", "match"])
-
-    return tables.groupBy("page").cogroup(candidates.groupBy("page")).applyInPandas(match, "page long, id long, match long")
+    fields = ["id", "pos", "label", "x0", "y0", "x1", "y1"]
+    each = lambda rows, name: rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", *(f for f in fields if f != "pos")))).alias(name))
+    pages = each(tables, "left").join(each(candidates, "right"), "page", "left")
+    return pages.select("page", F.explode(_greedy("left", "right")).alias("m")).select("page", "m.id", "m.match")
+
+
+def _greedy_page(left: list[dict], right: list[dict]) -> list[dict]:
+    free, rows = list(right), []
+    for t in left:
+        best, most = None, LEAST_IOU
+        for c in free:
+            w, h = min(t["x1"], c["x1"]) - max(t["x0"], c["x0"]), min(t["y1"], c["y1"]) - max(t["y0"], c["y0"])
+            both = w * h if w > 0 and h > 0 else 0.0
+            share = both / ((t["x1"] - t["x0"]) * (t["y1"] - t["y0"]) + (c["x1"] - c["x0"]) * (c["y1"] - c["y0"]) - both) if both else 0.0
+            if share >= most:
+                best, most = c, share
+        if best is None and t["label"] is not None:
+            same = [c for c in free if c["label"] == t["label"]]
+            best = same[0] if len(same) == 1 else None
+        if best is not None:
+            free.remove(best)
+        rows.append({"id": t["id"], "match": None if best is None else best["id"]})
+    return rows
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("match", T.LongType())])))
+def _greedy(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for left, right in parts:
+        yield pd.Series([_greedy_page(list(a), [] if b is None else list(b)) for a, b in zip(left, right, strict=True)])

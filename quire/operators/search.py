@@ -42,17 +42,23 @@ def bm25(rows: DataFrame, key: str, columns: list[str], query: str, k: int, weig
     phrases = parse(query)
     if not phrases:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
-    toks = rows.select(key, *(text.words(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns))
-
-    def hits(column: str, phrase: list[str]) -> str:
-        test = " and ".join(f"get({column}, i{f' + {j}' if j else ''}) = '{w}'" for j, w in enumerate(phrase))
-        return f"cast(size(filter(sequence(0, size({column})), i -> {test})) as double)"
-
-    counted = toks.select(
-        key,
-        F.expr(" + ".join(f"size({c})" for c in columns)).cast("double").alias("d"),
-        *(F.expr(" + ".join(f"{weights[c]}D * {hits(c, p)}" for c in columns)).alias(f"tf{j}") for j, p in enumerate(phrases)),
-    )
+    # all counts are made inside one lambda, whose argument is computed once a row wherever the optimizer moves it
+    toks = F.struct(*(text.words(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns))
+
+    def hits(words: Column, phrase: list[str]) -> Column:
+        at = lambda i: F.get(words, i) == phrase[0]
+        if len(phrase) == 1:
+            return F.size(F.filter(words, lambda x: x == phrase[0])).cast("double")
+        starts = F.filter(F.sequence(F.lit(0), F.size(words)), at)
+        rest = lambda i: F.forall(F.array(*(F.get(words, i + j) == w for j, w in enumerate(phrase[1:], 1))), lambda x: F.coalesce(x, F.lit(False)))
+        return F.size(F.filter(starts, rest)).cast("double")
+
+    def counts(row: Column) -> Column:
+        add = lambda parts: sum(parts[1:], parts[0])
+        terms = [add([F.lit(weights[c]) * hits(row[c], p) for c in columns]).alias(f"tf{j}") for j, p in enumerate(phrases)]
+        return F.struct(add([F.size(row[c]) for c in columns]).cast("double").alias("d"), *terms)
+
+    counted = rows.select(key, F.element_at(F.transform(F.array(toks), counts), 1).alias("c")).select(key, "c.*")
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n_all"), F.avg("d").alias("avgdl"), *(F.count_if(F.col(f"tf{j}") > 0).cast("double").alias(f"df{j}") for j in range(len(phrases))))
     hit = counted.where(" and ".join(f"tf{j} > 0" for j in range(len(phrases)))).crossJoin(F.broadcast(stats))  # one row of statistics
     idf = lambda j: F.greatest(F.log((F.col("n_all") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5)), F.lit(1e-6))
@@ -110,6 +116,6 @@ def printed_titles(titles: DataFrame, pages: DataFrame, least_words: int = 4) ->
     prints them has as a run; then the whole key is looked for.
     """
     head = titles.where(F.size(F.split("key", " ")) >= least_words).withColumn("head", F.array_join(F.slice(F.split("key", " "), 1, 3), " "))
-    w = F.split(F.col("page_key"), " ")
-    runs = pages.select("page_id", "page_key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))).alias("head"))
+    threes = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
+    runs = pages.select("page_id", "page_key", F.explode(F.element_at(F.transform(F.array(F.split(F.col("page_key"), " ")), threes), 1)).alias("head"))
     return runs.join(head, "head").where(F.contains(F.concat(F.lit(" "), "page_key", F.lit(" ")), F.concat(F.lit(" "), "key"))).select("title_id", "page_id").distinct()

@@ -10,14 +10,12 @@ from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
 
-_DOC_SHINGLES = f"SELECT doc_id, unnest({sql.shingles('w')}) AS s, len({sql.shingles('w')}) AS total FROM (SELECT doc_id, {sql.words('text')} AS w FROM documents) WHERE len(w) >= 12"
-
-
 @query(
     "shingle_coverage",
     f"""
-    WITH d AS ({_DOC_SHINGLES}), b AS (SELECT item_id, unnest({sql.shingles('w')}) AS s FROM (SELECT item_id, {sql.words('text')} AS w FROM benchmark))
-    SELECT doc_id, item_id, count(*) AS hits, max(total) AS total FROM d JOIN b USING (s) GROUP BY 1, 2
+    WITH dw AS MATERIALIZED (SELECT doc_id, {sql.words('text')} AS w FROM documents), ds AS MATERIALIZED (SELECT doc_id, {sql.shingles('w')} AS s FROM dw WHERE len(w) >= 12),
+    d AS (SELECT doc_id, unnest(s) AS s FROM ds), bw AS MATERIALIZED (SELECT item_id, {sql.words('text')} AS w FROM benchmark), bs AS MATERIALIZED (SELECT item_id, unnest({sql.shingles('w')}) AS s FROM bw)
+    SELECT doc_id, item_id, hits, len(ds.s) AS total FROM (SELECT doc_id, item_id, count(*) AS hits FROM d JOIN bs ON d.s = bs.s GROUP BY 1, 2) JOIN ds USING (doc_id)
     """,
 )
 def shingle_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +26,7 @@ def shingle_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "uncovered_paragraphs",
     f"""
-    WITH p AS (SELECT page_id, unnest(string_split(html, '<p>')) AS text FROM pages), q AS (SELECT row_number() OVER () AS id, {sql.words('text')} AS w FROM p),
-    a AS (SELECT md5(text) AS key, {sql.words('text')} AS w FROM (SELECT DISTINCT text FROM conversations)),
+    WITH a AS (SELECT md5(text) AS key, {sql.words('text')} AS w FROM (SELECT DISTINCT text FROM conversations)),
     x AS (SELECT key, unnest({sql.shingles('w')}) AS s FROM a WHERE len(w) >= 12), t AS (SELECT DISTINCT unnest({sql.shingles('w')}) AS s FROM (SELECT {sql.words('text')} AS w FROM documents))
     SELECT key, round(avg(CASE WHEN t.s IS NULL THEN 0 ELSE 1 END), 6) AS share FROM x LEFT JOIN t USING (s) GROUP BY key HAVING avg(CASE WHEN t.s IS NULL THEN 0 ELSE 1 END) < 0.5
     """,
