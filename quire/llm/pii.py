@@ -68,6 +68,10 @@ LABELERS = {
     "mark": r"""case when x.b rlike r'[:=]\s*["(\[]?$' then 1 when x.b rlike r'[#/\\]$' then 0 end""",
     "shape": "if(size(array_distinct(split(x.m, ''))) >= 6, 1, 0)",
 }
+#: What is believed of each labeler beforehand: its chance of a 1 (where it votes) among true and among false
+#: spans, and how many spans that belief is worth. Shapes pass on most false spans too; context seldom does.
+BELIEFS = {"regex": (0.95, 0.7), "gazetteer": (0.9, 0.1), "context": (0.9, 0.1), "mark": (0.9, 0.3), "shape": (0.95, 0.7)}
+STRENGTH = 20.0
 #: What the span classifier sees of a candidate, besides its votes.
 FEATURES = {
     "length": "cast(least(log2(length(x.m)), 7) as int)",
@@ -111,28 +115,22 @@ def find(docs: DataFrame) -> DataFrame:
 def reliabilities(patterns: dict[str, float], rounds: int = 30) -> tuple[dict[str, float], list[tuple[float, float]]]:
     """Posterior of each vote pattern, and each labeler's chance of a 1 among true and among false spans.
 
-    ``patterns``: how often each string of votes (1, 0, 2 for abstain) occurs. Starts from majority votes.
+    ``patterns``: how often each string of votes (1, 0, 2 for abstain) occurs. Starts from the beliefs,
+    which also stay as so many spans seen beforehand.
     """
-    posterior = {v: (1 + v.count("1")) / (2 + v.count("1") + v.count("0")) for v in patterns}
-    width, rates = len(LABELERS), []
+    rates, prior, posterior = list(BELIEFS.values()), 0.5, {}
     for _ in range(rounds):
-        total = sum(patterns.values())
-        prior = (1 + sum(n * posterior[v] for v, n in patterns.items())) / (2 + total)
-        rates = []
-        for j in range(width):
-            hit = [[2.0, 1.0], [1.0, 2.0]]
-            for v, n in patterns.items():
-                if v[j] != "2":
-                    hit[1 - int(v[j])][0] += n * posterior[v]
-                    hit[1 - int(v[j])][1] += n * (1 - posterior[v])
-            rates.append((hit[0][0] / (hit[0][0] + hit[1][0]), hit[0][1] / (hit[0][1] + hit[1][1])))
         for v in patterns:
             odds = math.log(prior / (1 - prior))
-            for j, c in enumerate(v):
-                if c != "2":
-                    t, f = rates[j]
-                    odds += math.log(t / f) if c == "1" else math.log((1 - t) / (1 - f))
+            for c, (t, f) in zip(v, rates, strict=True):
+                odds += {"1": math.log(t / f), "0": math.log((1 - t) / (1 - f)), "2": 0.0}[c]
             posterior[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+        prior = (STRENGTH / 2 + sum(n * posterior[v] for v, n in patterns.items())) / (STRENGTH + sum(patterns.values()))
+        rates = []
+        for j, (t, f) in enumerate(BELIEFS.values()):
+            voted = [(v[j] == "1", n, posterior[v]) for v, n in patterns.items() if v[j] != "2"]
+            true, false = sum(n * p for _, n, p in voted), sum(n * (1 - p) for _, n, p in voted)
+            rates.append(((STRENGTH * t + sum(n * p for one, n, p in voted if one)) / (STRENGTH + true), (STRENGTH * f + sum(n * (1 - p) for one, n, p in voted if one)) / (STRENGTH + false)))
     return posterior, rates
 
 
