@@ -1,8 +1,8 @@
 """Every query against its DuckDB equivalent, and the entry point."""
 
-import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -22,7 +22,7 @@ def duck():
 
 def plain(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else f"{float(v):.6g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    show = lambda v: None if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     return sorted((tuple(show(v.item() if hasattr(v, "item") else v) for v in row) for row in frame.itertuples(index=False)), key=repr)
 
 
