@@ -59,3 +59,23 @@ def validation_counts(findings: DataFrame, doc: str) -> DataFrame:
     """(doc, errors, warnings, infos, status): a document's findings by severity, and its overall state."""
     n = lambda s: F.count_if(F.col("severity") == s)
     return findings.groupBy(doc).agg(n("error").alias("errors"), n("warning").alias("warnings"), n("info").alias("infos")).withColumn("status", F.when(F.col("errors") > 0, "fail").when(F.col("warnings") > 0, "review").otherwise("pass"))
+
+
+def document_markdown(blocks: DataFrame, doc: str) -> DataFrame:
+    """(doc, markdown) of blocks (doc, page, pos, kind, level, text, continues): headings, paragraphs, page anchors.
+
+    A paragraph that continues one of an earlier page is joined to it; footnotes stand at their page's end.
+    One document's blocks make one text, so they meet in one row.
+    """
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy(doc).orderBy("page", "pos")
+    head = F.coalesce(F.when((F.col("kind") == "paragraph") & F.col("continues"), 0), F.lit(1))
+    notes = F.col("kind") == "footnote"
+    rows = blocks.where("kind <> 'furniture'").withColumn("_u", F.sum(F.when(notes, 1).otherwise(head)).over(order))
+    units = rows.groupBy(doc, "_u").agg(F.min("page").alias("page"), F.min("pos").alias("pos"), F.min_by("kind", "pos").alias("kind"), F.min_by("level", "pos").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    line = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.least(F.coalesce("level", F.lit(1)), F.lit(6))), F.lit(" "), "text")).when(F.col("kind") == "footnote", F.concat(F.lit("> "), "text")).otherwise(F.col("text"))
+    first = F.row_number().over(Window.partitionBy(doc, "page").orderBy((F.col("kind") == "footnote").cast("int"), "pos")) == 1
+    anchored = F.when(first, F.concat(F.lit('<a id="page-'), "page", F.lit('"></a>\n'), line)).otherwise(line)
+    lines = units.select(doc, "page", (F.col("kind") == "footnote").cast("int").alias("note"), "pos", anchored.alias("line"))
+    return lines.groupBy(doc).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "note", "pos", "line"))), lambda x: x["line"]), "\n\n"), F.lit("\n")).alias("markdown"))
