@@ -273,10 +273,12 @@ def _score(model: dict):
         vi, wi = np.searchsorted(every, v), np.searchsorted(every, w)
         fields = ("n", "n1", "n2", "n3")
         n, n1, n2, n3 = _look_up(folder, "context", _range_of(every, 64, ranges), every, fields)
-        for i, key in enumerate(model["hot_contexts"]["key"]):
-            at = int(np.searchsorted(every, key))
-            if at < len(every) and every[at] == key:
-                n[at], n1[at], n2[at], n3[at] = (int(model["hot_contexts"][i][f]) for f in fields)
+        known = model["hot_contexts"]
+        at = np.searchsorted(every, known["key"])
+        met = at < len(every)
+        met[met] = every[at[met]] == known["key"][met]
+        for x, f in zip((n, n1, n2, n3), fields, strict=True):
+            x[at[met]] = known[f][met]
         short = every & SHORT
         ahead = _look_up(folder, "ahead", _range_of(short, 48, ranges), short, ("n",))[0]
         seen = n.copy()  # a token's count is its count as a context; the end's is the start's

@@ -32,11 +32,11 @@ def fill_targets(sizes: list[int], share: float = SHARE, weights: tuple[int, ...
     while open_:
         total = sum(weights[i % len(weights)] for i in open_)
         give = {i: left * weights[i % len(weights)] / total for i in open_}
-        over = [i for i in open_ if give[i] > repeats * sizes[i]]
+        over = {i for i in open_ if give[i] > repeats * sizes[i]}
         for i in over or open_:
             targets[i] = float(repeats * sizes[i]) if over else give[i]
         left -= sum(repeats * sizes[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)] if over else []
+        open_ = [i for i in open_ if i not in over] if over else []
     return targets
 
 
