@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where ``spark.checkpoint.dir`` is unset, as in local tests.
 DEFAULT_SHARED = "file:///tmp/checkpoints"
@@ -20,6 +21,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def small_side(side: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``side`` of a join, to be broadcast if it has ``most`` rows or fewer; else left to a shuffle.
+
+    For narrow stored tables: it is counted by a job of its own.
+    """
+    return F.broadcast(side) if side.count() <= most else side
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
