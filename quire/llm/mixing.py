@@ -114,7 +114,8 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, weights: tuple[int, .
     for k in keys:
         test = (F.col("doc_id").cast("long") if k == "doc_id" else F.col(f"_{k}")).eqNullSafe(F.col(f"_k_{k}"))
         match = test if match is None else match & test
-    rows = docs.join(taken, match).withColumn("_take", F.explode(F.expr("filter(array(least(_taken, _full), _taken - _full), x -> x > 0)")))
+    # as many rows as documents: a shuffle at every size
+    rows = docs.join(taken.hint("merge"), match).withColumn("_take", F.explode(F.expr("filter(array(least(_taken, _full), _taken - _full), x -> x > 0)")))
     part = F.array_join(F.slice(native.words(F.col("text")), 1, F.col("_take").cast("int")), " ")
     out = rows.withColumn("text", F.when(F.col("_take") == F.col("_full"), F.col("text")).otherwise(part))
     columns = [c for c in docs.columns if c not in ("_source", "_size", "_nth")]

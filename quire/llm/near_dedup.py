@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quire.llm.arrow import bounded_batches
 from quire.llm.components import connected_components
 from quire.llm.hashing import chunks, mix, shingle_sets
-from quire.sources.shared import materialize
+from quire.sources.shared import materialize, small_side
 
 TREES, DEPTH, REGION = 22, 3, 256
 HASHES = 96
@@ -223,8 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     pairs = materialize(candidates(nodes, percent / 100 - MARGIN), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.select("node", "rep").join(ends, "node").where("rep is not null"), "wanted")
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
+    wanted = small_side(wanted, BROADCAST_NODES)
     bounded_batches(spark)
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").select("node", "rep", "text"), "texts")
     # rows that repeat a doc_id may hold different texts: the set's id tells which one is the node's
@@ -257,8 +256,8 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     columns stays. Rows whose doc_id is null stay, as do wordless texts.
     """
     found = materialize(near_duplicates(docs, percent, width), "classes")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    dropped = materialize(found.where("not kept").select("doc_id").distinct(), "dropped")
+    kept = docs.join(small_side(dropped, BROADCAST_NODES), "doc_id", "left_anti")
     again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import native
-from quire.sources.shared import materialize
+from quire.sources.shared import materialize, small_side
 
 #: What a rule may test, as SQL over the statistics.
 FEATURES = {
@@ -185,10 +185,10 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     found = materialize(judge(docs, labels).select("doc_id", "kept"), "verdicts")
     mixed = found.groupBy("doc_id").agg(F.min("kept").alias("every"), F.max("kept").alias("some"))
-    rejected = mixed.where("not every")
+    rejected = materialize(mixed.where("not every"), "rejected")
     split = rejected.where("some")
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-    out = docs.join(rejected.select(F.col("doc_id").alias("_doc_id")), key, "left_anti")
+    out = docs.join(small_side(rejected.select(F.col("doc_id").alias("_doc_id"))), key, "left_anti")
     if split.isEmpty():
         return out
     again = docs.join(split.select(F.col("doc_id").alias("_doc_id")), key, "left_semi")
