@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import ascii_fold, markdown_cell
 
-#: Words that a citation key passes over.
+#: Words that a directory's name and a citation key pass over.
+NAME_STOP_WORDS = ["a", "an", "the", "of", "on", "in", "and", "for", "to", "with", "by", "at", "from", "via"]
 STOP_WORDS = ["a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "with"]
 
 
@@ -38,6 +39,21 @@ def citation_key(family: Column, year: Column, title: Column) -> Column:
     return F.concat(name, F.coalesce(year.cast("string"), F.lit("nodate")), F.coalesce(F.get(words, F.lit(0)), F.lit("untitled")))
 
 
+def directory_name(named: Column, family: Column, year: Column, title: Column, sha256: Column, taken: Column) -> Column:
+    """A paper's directory: family, year and the title's first three telling words, at most 96 bytes of ASCII.
+
+    ``taken``: another source has that name, so six digits of the digest follow. Papers without a
+    validated identity go by their digest.
+    """
+    part = lambda c: F.regexp_replace(ascii_fold(c), "[^A-Za-z0-9]", "")
+    upper = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
+    telling = F.filter(F.split(F.coalesce(title, F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(NAME_STOP_WORDS))
+    short = F.array_join(F.slice(F.filter(F.transform(telling, lambda w: upper(part(w))), lambda w: w != ""), 1, 3), "")
+    name = F.concat_ws("_", F.coalesce(F.nullif(upper(part(family)), F.lit("")), F.lit("Anonymous")), F.coalesce(year.cast("string"), F.lit("nodate")), F.coalesce(F.nullif(short, F.lit("")), F.lit("Untitled")))
+    full = F.concat(F.left(name, F.lit(96)), F.when(F.coalesce(taken, F.lit(False)), F.concat(F.lit("_"), F.left(sha256, F.lit(6)))).otherwise(""))
+    return F.when(F.coalesce(named, F.lit(False)), full).otherwise(F.concat(F.lit("Unverified_"), F.left(sha256, F.lit(12))))
+
+
 def csl_item(key: Column, title: Column, family: Column, year: Column) -> Column:
     """A CSL-JSON item; null members are left out."""
     return F.to_json(F.struct(key.alias("id"), F.lit("article-journal").alias("type"), title.alias("title"), F.array(F.struct(family.alias("family"))).alias("author"), F.when(year.isNotNull(), F.struct(F.array(F.array(year)).alias("date-parts"))).alias("issued")))

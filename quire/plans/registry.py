@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from quire.plans import compare_queries, dedup_queries, layout_queries, search_queries, text_queries  # noqa: E402, F401
+from quire.plans import compare_queries, dedup_queries, layout_queries, library_queries, search_queries, text_queries  # noqa: E402, F401
