@@ -8,8 +8,10 @@ split by node. Inside a part, neighbours are the nodes of longest agreement: a m
 estimated similarity, and every node's nearest two. Every split region also offers each of its nodes the
 region's hub, the node that most orders place in large regions, so that a star of near copies round one
 text stays linked. Candidates are confirmed on full shingle sets, and connected components of the
-confirmed links are the classes. Work is linear in the number of region members; no list of a group is
-collected, and no group's pairs are all emitted.
+confirmed links are first classes. A region of more than ``WHOLE`` nodes that these leave in several
+classes is *open*, as pairs of it may not have been compared: all nodes of open regions go through an exact
+join (prefix and position filters on full shingle sets, rare shingles first), which finds every link between
+two first classes. Components of both kinds of links are the classes.
 
 A pair of similarity s shares a region with probability 1 - (1 - s**DEPTH)**TREES: 0.9999999 at 0.85.
 """
@@ -29,6 +31,10 @@ from quire.sources.shared import materialize, small_side
 
 TREES, DEPTH, REGION = 22, 3, 256
 HASHES = 96
+#: A region of so many nodes has all its pairs among the candidates.
+WHOLE = 3
+#: Counters of shingles, by which the exact join orders them; the order decides its work, not its result.
+COUNTERS = 1 << 20
 #: Candidates whose estimate is this far below the threshold (over five standard errors) are not confirmed.
 MARGIN = 0.22
 #: Nodes of candidates are sent to all executors up to this many, and joined by a shuffle beyond.
@@ -160,12 +166,12 @@ def _hub_pairs(least: float):
     return run
 
 
-def candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of the nodes (node, sig, heads): distinct."""
+def candidates(nodes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), a < b, of the nodes (node, sig, heads): distinct; and the regions (part, node, size)."""
     sized = lambda rows: rows.join(rows.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "part")
     members = nodes.select("node", "sig", F.posexplode("heads").alias("tree", "part"))
     shared = members.select("part", "node", "tree").groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = materialize(members.join(shared, "part"), "regions")
+    rows = regions = materialize(members.join(shared, "part"), "regions")
     score = rows.groupBy("node").agg(F.sum("size").alias("score"))
     done, depth, found = None, DEPTH, []
     while True:
@@ -187,7 +193,111 @@ def candidates(nodes: DataFrame, least: float) -> DataFrame:
     pairs = done.repartition("part").sortWithinPartitions("part").mapInArrow(_region_pairs(least), "a long, b long")
     for more in found:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    return pairs.distinct(), regions.select("part", "node", "size")
+
+
+def open_nodes(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of regions over ``WHOLE`` whose nodes are of several components; distinct."""
+    labels = small_side(classes.select("node", "component"), BROADCAST_NODES)
+    members = regions.where(F.col("size") > WHOLE).select("part", "node").join(labels, "node", "left").select("part", "node", F.coalesce("component", "node").alias("component"))
+    several = members.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("part")
+    return members.join(several, "part").select("node", "component").distinct()
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(40)).astype(np.int64) % COUNTERS
+
+
+def _count_shingles(width: int):
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for a, b in chunks(texts):
+                total += np.bincount(np.concatenate([_counter(s) for s in shingle_sets(texts[a:b], width)]), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"counter": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    return run
+
+
+def _prefixes(width: int, percent: int, counts: np.ndarray):
+    """Of each set, in the order of counts, the shingles that can be the first one shared with a similar set.
+
+    ``rest`` counts the set's shingles from there on. One whose counter is 1 is in no other set.
+    """
+
+    def run(batches):
+        for batch in batches:
+            texts, nodes, components = batch["text"].to_pylist(), batch["node"].to_numpy(), batch["component"].to_numpy()
+            for a, b in chunks(texts):
+                found = []
+                for i, s in enumerate(shingle_sets(texts[a:b], width), a):
+                    n = counts[_counter(s)]
+                    order, size = np.lexsort((s, n)), len(s)
+                    rest = size - np.arange(size)
+                    at = (100 * rest >= percent * size) & (n[order] > 1)
+                    found.append((s[order][at].view(np.int64), rest[at], np.full(at.sum(), size), np.full(at.sum(), nodes[i]), np.full(at.sum(), components[i])))
+                yield pa.record_batch({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("shingle", "rest", "size", "node", "component"), zip(*found, strict=True), strict=True)})
+
+    return run
+
+
+def _links_of(rest, size, node, component, percent: int, most: int = 1 << 21):
+    """Pairs (a, b) of one shingle's sets, sorted by size, of different components that may reach ``percent``."""
+    i = np.arange(len(size))
+    ends = np.searchsorted(size, (100 + percent) * rest // percent - size, side="right")
+    n = np.maximum(ends - i - 1, 0)
+    i, n = i[n > 0], n[n > 0]
+    upto = np.cumsum(n)
+    start = 0
+    while start < len(i):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right")))
+        k = n[start:stop]
+        x = np.repeat(i[start:stop], k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        good = (component[x] != component[y]) & ((100 + percent) * rest[y] >= percent * (size[x] + size[y]))
+        yield node[x[good]], node[y[good]]
+        start = stop
+
+
+def _shared_prefixes(percent: int):
+    """Rows sorted by shingle and size in; pairs of sets (a, b), a < b, out. A shingle's rows may span batches."""
+
+    def emit(columns):
+        shingle, rest, size, node, component = columns
+        cuts = np.flatnonzero(np.diff(shingle)) + 1
+        for s, e in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(shingle)])).tolist(), strict=True):
+            if e - s > 1 and (component[s:e] != component[s]).any():
+                for x, y in _links_of(rest[s:e], size[s:e], node[s:e], component[s:e], percent):
+                    if len(x):
+                        yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            now = [batch[c].to_numpy() for c in ("shingle", "rest", "size", "node", "component")]
+            if not len(now[0]):
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if last or (held and held[0][0][0] != now[0][0]):
+                yield from emit([np.concatenate(x) for x in zip(*held, [c[:last] for c in now], strict=True)])
+                held = []
+            held.append([c[last:] for c in now])
+        if held:
+            yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def exact_candidates(texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Every pair (a, b), a < b, of ``texts`` (node, component, text) of different components that may reach ``percent``."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in texts.select("text").mapInArrow(_count_shingles(width), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+        counts[row.counter] = row.n
+    counts = np.minimum(np.maximum(counts, 1), 0xFFFFFFFF).astype(np.uint32)
+    rows = texts.mapInArrow(_prefixes(width, percent, counts), "shingle long, rest long, size long, node long, component long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "size").mapInArrow(_shared_prefixes(percent), "a long, b long").distinct()
 
 
 def _confirm(width: int, percent: int):
@@ -220,17 +330,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     full = seen.where("n_shingles > 0")
     nodes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("heads").alias("heads"))
     nodes = materialize(nodes, "nodes")
-    pairs = materialize(candidates(nodes, percent / 100 - MARGIN), "pairs")
+    found, regions = candidates(nodes, percent / 100 - MARGIN)
+    pairs = materialize(found, "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.select("node", "rep").join(ends, "node").where("rep is not null"), "wanted")
-    wanted = small_side(wanted, BROADCAST_NODES)
-    bounded_batches(spark)
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").select("node", "rep", "text"), "texts")
-    # rows that repeat a doc_id may hold different texts: the set's id tells which one is the node's
-    texts = texts.mapInArrow(_of_node(width), "node long, text string").dropDuplicates(["node"])
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(width, percent), "a long, b long")
-    classes = connected_components(materialize(links, "links"))
+    texts = _texts(docs, nodes.select("node", "rep").join(ends, "node"), width)
+    links = materialize(_confirmed(pairs, texts, percent, width), "links")
+    classes = connected_components(links)
+    texts = materialize(_texts(docs, nodes.select("node", "rep").join(open_nodes(regions, classes), "node"), width), "open")
+    if not texts.isEmpty():
+        pairs = materialize(exact_candidates(texts, percent, width), "pairs")
+        more = materialize(_confirmed(pairs, texts, percent, width), "links")
+        if not more.isEmpty():
+            classes = connected_components(links.unionByName(more))
     least = classes.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     named = classes.join(least, "component").select("node", "least")
     whole = nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
@@ -244,11 +355,26 @@ def _of_node(width: int):
         for batch in batches:
             texts, nodes = batch["text"].to_pylist(), batch["node"].to_pylist()
             keep = [i for s, e in chunks(texts) for i, x in enumerate(shingle_sets(texts[s:e], width), s) if node_of(x) == nodes[i]]
-            yield pa.record_batch({"node": pa.array([nodes[i] for i in keep], pa.int64()), "text": pa.array([texts[i] for i in keep], pa.string())})
+            yield batch.take(pa.array(keep, pa.int64()))
 
     return run
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``wanted`` (node, rep and other columns) without rep and with a text of each node; nodes of null reps are left out."""
+    wanted = small_side(materialize(wanted.where("rep is not null"), "wanted"), BROADCAST_NODES)
+    bounded_batches(docs.sparkSession)
+    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep").drop("rep"), "texts")
+    # rows that repeat a doc_id may hold different texts: the set's id tells which one is the node's
+    return texts.mapInArrow(_of_node(width), texts.schema).dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts' shingle sets reach ``percent``."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(width, percent), "a long, b long")
+
+
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of ``docs`` (all columns) without near duplicates: one row of each class stays.
 

@@ -38,6 +38,17 @@ def test_near_duplicates_star(spark):
     assert got == classes(dict(rows), 80)
 
 
+def test_near_duplicates_templates(spark):
+    """Near copies planted among thousands of texts of one template, all of them a little below the threshold."""
+    template = [f"w{i}" for i in range(94)]
+    # 90 shingles of the template and 13 of its own: 0.776 with any other, 0.824 with a planted copy
+    rows = [(i, [*template, *(f"u{i}_{j}" for j in range(13))]) for i in range(3000)]
+    rows += [(5000 + i, [*template, *rows[i * 20][1][94:97], *(f"v{i}_{j}" for j in range(10))]) for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 80).collect()}
+    assert got == {i: i if i < 5000 else (i - 5000) * 20 for i, _ in rows}
+
+
 def test_near_duplicates_edges(edge, none):
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(edge).collect())
     assert got == [(-7, 2, -7, True), (1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 7, 6, True), (99, 3, 1, False)]
