@@ -64,8 +64,8 @@ _DOIS = "'See https://doi.org/10.' || (1000 + p_partkey) || '/' || upper(replace
 )
 def doi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers in sentences made from ``part``."""
-    made = "concat('See https://doi.org/10.', 1000 + p_partkey, '/', upper(replace(p_name, ' ', '.')), '.', p_size, '), also 10.1000/', p_partkey, '; arXiv:2101.', lpad(cast(p_partkey as string), 5, '0'), 'v2 and 10.1000/', p_partkey, '.')"
-    rows = load(spark, sf_dir, "part").where("p_partkey < 100000").select("p_partkey", F.expr(made).alias("text"))
+    made = "concat('See https://doi.org/10.', 1000 + p_partkey % 100000000, '/', upper(replace(p_name, ' ', '.')), '.', p_size, '), also 10.1000/', p_partkey, '; arXiv:2101.', lpad(cast(p_partkey % 100000 as string), 5, '0'), 'v2 and 10.1000/', p_partkey, '.')"
+    rows = load(spark, sf_dir, "part").select("p_partkey", F.expr(made).alias("text"))
     arxiv = F.get(ids.arxiv_candidates(F.col("text")), F.lit(0))
     return rows.select("p_partkey", F.array_join(ids.doi_candidates(F.col("text")), " ").alias("dois"), arxiv.alias("arxiv"), ids.arxiv_base(arxiv).alias("base"))
 
@@ -93,8 +93,8 @@ def supplement_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("filename_dois", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '10.1103/physreva.' || (o_orderkey % 90) || '.' || o_custkey WHEN 1 THEN '10.1364/ao.' || (o_orderkey % 90) || '.' || lpad(o_custkey::VARCHAR, 6, '0') WHEN 2 THEN '10.48550/arxiv.2101.' || lpad((o_custkey % 100000)::VARCHAR, 5, '0') ELSE '' END AS dois FROM orders WHERE o_custkey < 1000000")
 def filename_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOIs of publishers' file names made from ``orders``."""
-    name = F.expr("case o_orderkey % 4 when 0 then concat('PhysRevA.', o_orderkey % 90, '.', o_custkey, '.pdf') when 1 then concat('ao-', o_orderkey % 90, '-3-', o_custkey, '.PDF') when 2 then concat('2101.', lpad(cast(o_custkey % 100000 as string), 5, '0'), 'v3.pdf') else concat('scan ', o_custkey, '.pdf') end")
-    return load(spark, sf_dir, "orders").where("o_custkey < 1000000").select("o_orderkey", F.array_join(ids.filename_dois(name), " ").alias("dois"))
+    name = F.expr("case o_orderkey % 4 when 0 then concat('PhysRevA.', o_orderkey % 90, '.', o_custkey, '.pdf') when 1 then concat('ao-', o_orderkey % 90, '-3-', o_custkey % 1000000, '.PDF') when 2 then concat('2101.', lpad(cast(o_custkey % 100000 as string), 5, '0'), 'v3.pdf') else concat('scan ', o_custkey, '.pdf') end")
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(ids.filename_dois(name), " ").alias("dois"))
 
 
 @query("object_labels", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN NULL ELSE (CASE WHEN l_linenumber % 3 = 1 THEN '' ELSE 'S' END) || l_suppkey END AS figure, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey::VARCHAR END AS \"table\", CASE WHEN l_linenumber > 1 THEN l_partkey::VARCHAR END AS equation FROM lineitem")

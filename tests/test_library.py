@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import export, figures, intake, table_check
+from quire.plans import text_queries
 
 
 def rows(frame, *order):
@@ -57,3 +58,16 @@ def test_directory_name(spark):
     found = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, n boolean, f string, y int, t string, k boolean")
     found = found.select("i", export.directory_name(F.col("n"), F.col("f"), F.col("y"), F.col("t"), F.lit("abcdef" * 4), F.col("k")).alias("r"))
     assert [r[1] for r in rows(found, "i")] == [c[5] for c in cases]
+
+
+def test_identifiers_of_large_keys(spark, tmp_path):
+    """Queries over made texts keep rows of every key, and the texts stay well formed."""
+    spark.sql("select id as p_partkey, 'Red Nut' as p_name, 7 as p_size from values (99999L), (100000L), (1234567L), (2000000001L) t(id)").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select id as o_orderkey, 1234567L as o_custkey from range(4)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert rows(text_queries.doi_candidates(spark, str(tmp_path)), "p_partkey") == [
+        (99999, "10.100999/red.nut.7 10.1000/99999", "2101.99999v2", "2101.99999"),
+        (100000, "10.101000/red.nut.7 10.1000/100000", "2101.00000v2", "2101.00000"),
+        (1234567, "10.1235567/red.nut.7 10.1000/1234567", "2101.34567v2", "2101.34567"),
+        (2000000001, "10.1001/red.nut.7 10.1000/2000000001", "2101.00001v2", "2101.00001"),
+    ]
+    assert rows(text_queries.filename_dois(spark, str(tmp_path)), "o_orderkey") == [(0, "10.1103/physreva.0.1234567"), (1, "10.1364/ao.1.234567"), (2, "10.48550/arxiv.2101.34567"), (3, "")]
