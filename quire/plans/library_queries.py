@@ -98,7 +98,7 @@ def table_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("citing_sentences", "SELECT doc_id, 'S' || doc_id % 7 AS label, CASE WHEN doc_id % 3 > 0 THEN 'As Fig. S' || doc_id % 7 || ' shows, it holds.' END AS sentence FROM documents")
 def citing_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that cite a figure, put before and after documents' first words."""
+    """Made sentences, three blocks of them for each of ``documents``, that cite a figure; no text of the documents is read."""
     docs = load(spark, sf_dir, "documents").select("doc_id", F.expr("concat('S', doc_id % 7)").alias("label"))
     made = "array(concat('Fig. S', doc_id % 7, '1 differs. It does.'), if(doc_id % 3 > 0, concat('Before it. As Fig. ', label, ' shows, it holds. After it.'), 'None. Here.'), concat('Also Figure ', doc_id % 7, '.'))"
     blocks = docs.select("doc_id", F.posexplode(F.expr(made)).alias("pos", "body"))
