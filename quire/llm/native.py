@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The separators between words: \x20 and \x09-\x0D.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` doesn't have, without regard to case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def words(text: Column) -> Column:

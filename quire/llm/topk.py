@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.arrow import BATCH_ROWS, bounded_batches
+from quire.llm.arrow import batches_of, bounded_batches
 from quire.sources.shared import materialize
 
 #: Numbers in a shard and in a block of queries (their rows: this over the dimension), and rows of a leaf.
@@ -160,16 +160,13 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: str = "vec_id % 50 = 0", sca
     pack = lambda df: df.groupBy("dim", "block").applyInArrow(_block(k), "dim int, block long, queries binary")
     hits = "query_id long, query_row long, score long, vec_id long, vec_row long"
     number = sizes.select("dim", "shards")
-    try:
-        bounded_batches(spark, PAIR_ROWS)
+    with batches_of(spark, PAIR_ROWS):
         first = pack(asked.withColumn("least", F.lit(None).cast("long"))).join(number, "dim").withColumn("shard", F.expr("block % shards"))
         seeds = materialize(first.join(trees, ["dim", "shard"]).select("tree", "queries").mapInArrow(_search(k), hits), "seeds")
         kth = seeds.groupBy("query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), "least")
         blocks = materialize(pack(asked.join(kth, "row", "left")), "blocks")
         rest = blocks.join(number, "dim").withColumn("shard", F.explode(F.expr("filter(sequence(0L, shards - 1), s -> s <> block % shards)")))
         others = materialize(rest.join(trees, ["dim", "shard"]).select("tree", "queries").mapInArrow(_search(k), hits), "hits")
-    finally:
-        bounded_batches(spark, BATCH_ROWS)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     best = seeds.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
