@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 
+#: Schemes of Hadoop's connectors, and what the Arrow file systems call the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
 
 def _local(uri: str) -> str | None:
     """The path of a ``file:`` URI or plain path; None for another store."""
@@ -16,6 +18,14 @@ def _local(uri: str) -> str | None:
     return unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
+def _store(folder: str):
+    """The Arrow file system of a URI, and the path in it."""
+    from pyarrow import fs
+
+    scheme, rest = folder.split(":", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 def write_array(folder: str, name: str, array: np.ndarray) -> None:
     """Write ``array`` under ``name``; a repeated or concurrent attempt leaves one whole file."""
     own = f".{name}-{uuid.uuid4().hex}"
@@ -24,9 +34,7 @@ def write_array(folder: str, name: str, array: np.ndarray) -> None:
         array.tofile(f"{path}/{own}")
         os.replace(f"{path}/{own}", f"{path}/{name}")
         return
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(folder)
+    store, at = _store(folder)
     store.create_dir(at, recursive=True)
     with store.open_output_stream(f"{at}/{own}") as out:
         out.write(array.tobytes())
@@ -36,18 +44,15 @@ def write_array(folder: str, name: str, array: np.ndarray) -> None:
 def map_array(folder: str, name: str, kind: np.dtype) -> np.ndarray:
     """Map an array that ``write_array`` wrote; empty where there is none.
 
-    A file of another store is first copied into an unnamed local file, which ends with the mapping.
+    A file of a store that can't be mapped is read into the worker's memory; nothing is put on local disks.
     """
     if (path := _local(folder)) is not None:
         path = f"{path}/{name}"
         return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(folder)
+    store, at = _store(folder)
     if store.get_file_info(f"{at}/{name}").type == fs.FileType.NotFound:
         return np.zeros(0, kind)
-    with store.open_input_stream(f"{at}/{name}") as source, tempfile.TemporaryFile() as copy:
-        while block := source.read(1 << 22):
-            copy.write(block)
-        copy.flush()
-        return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
+    with store.open_input_file(f"{at}/{name}") as source:
+        return np.frombuffer(source.read(), kind)

@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram's vector is the product of its letters'
+Every letter of any script has a random vector of +1 and -1, hashed from its code point. A letter trigram's vector is the product of its letters'
 vectors, permuted by their place (bound); a text's vector is the sum of its trigrams' (bundled); a
 language's prototype is the sum over its training texts, less what all languages share. A text gets the
 language of greatest cosine.
@@ -14,47 +14,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import bounded_batches
-from quire.llm.hashing import chunks
+from quire.llm.hashing import chunks, mix
 
-#: Vector length, letter slots (slot 0: any run of other characters) and the seed of the letters' vectors.
-DIM, SLOTS, SEED = 1024, 64, 9
-#: Letters a-z and U+00DF to U+00FF have slots of their own; all others share the last four by code point.
-_slot_of: list[np.ndarray] = []
+#: Vector length and the seed of the letters' vectors.
+DIM, SEED = 1024, np.uint64(9)
+#: Bits of a code point; a trigram's three make one number.
+BITS = 21
+_letters: list[np.ndarray] = []
 
 
-def letter_slots() -> np.ndarray:
-    """The slot of each code point; 0 for what is no letter."""
-    if not _slot_of:
-        table = np.zeros(0x110000, np.uint8)
+def letter_table() -> np.ndarray:
+    """Each code point's letter, in lower case; 0 for what is no letter. Made by rule from the character database."""
+    if not _letters:
+        table = np.zeros(0x110000, np.uint32)
         for c in range(0x110000):
             if chr(c).isalpha():
-                low = ord(chr(c).lower()[0])
-                table[c] = low - 96 if 97 <= low <= 122 else low - 0xDF + 27 if 0xDF <= low <= 0xFF else 60 + low % 4
-        _slot_of.append(table)
-    return _slot_of[0]
+                table[c] = ord(chr(c).lower()[0])
+        _letters.append(table)
+    return _letters[0]
 
 
 def trigrams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Each text's distinct trigram codes and their counts, and whether it has a letter."""
+    """Each text's distinct trigram codes and their counts, and whether it has a letter. A run of other characters is one letter 0."""
     codes, counts, letters = [], [], []
-    slots = letter_slots()
+    table = letter_table()
     for t in texts:
-        x = slots[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
+        x = table[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
         x = x[np.flatnonzero((x[1:] != 0) | (x[:-1] != 0)) + 1] if len(x) > 1 else x
-        x = np.concatenate(([0], x, [0])).astype(np.int32)
+        x = np.concatenate(([0], x, [0])).astype(np.int64)
         letters.append(bool(x.any()))
-        three = (x[:-2] * SLOTS + x[1:-1]) * SLOTS + x[2:]
-        some, n = np.unique(three, return_counts=True)
+        some, n = np.unique((x[:-2] << (2 * BITS)) | (x[1:-1] << BITS) | x[2:], return_counts=True)
         codes.append(some)
         counts.append(n)
     return codes, counts, np.array(letters, bool)
 
 
+def signs(letters: np.ndarray) -> np.ndarray:
+    """Each letter's vector of +1 and -1, a row each, from a hash of its code point."""
+    words = mix(letters.astype(np.uint64)[:, None] * np.uint64(DIM) + np.arange(DIM // 64, dtype=np.uint64) + (SEED << np.uint64(40)))
+    return (np.unpackbits(words.view(np.uint8).reshape(len(letters), -1), axis=1).astype(np.int8) * 2 - 1)[:, :DIM]
+
+
 def vectors(codes: np.ndarray) -> np.ndarray:
     """The bound vectors of trigram codes: a row each."""
-    base = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIM), np.int8) * 2 - 1
-    first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-    return first[codes // SLOTS**2] * second[codes // SLOTS % SLOTS] * base[codes % SLOTS]
+    three = np.stack((codes >> (2 * BITS), (codes >> BITS) & ((1 << BITS) - 1), codes & ((1 << BITS) - 1)))
+    letters, at = np.unique(three, return_inverse=True)
+    base, at = signs(letters), at.reshape(three.shape)
+    return np.roll(base, 2, axis=1)[at[0]] * np.roll(base, 1, axis=1)[at[1]] * base[at[2]]
 
 
 def _profile(batches):
@@ -62,16 +68,17 @@ def _profile(batches):
     for batch in batches:
         texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
         for a, b in chunks(texts):
+            by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for lang, codes, counts in zip(langs[a:b], *trigrams(texts[a:b])[:2], strict=True):
-                if lang not in sums:
-                    sums[lang] = np.zeros(SLOTS**3, np.int64)
-                sums[lang][codes] += counts
-    for lang, counts in sums.items():
-        codes = np.flatnonzero(counts)
-        total = np.zeros(DIM)
-        for at in range(0, len(codes), 4096):
-            total += counts[codes[at : at + 4096]] @ vectors(codes[at : at + 4096]).astype(np.float64)
-        yield pa.record_batch({"lang": pa.array([lang] * DIM), "at": pa.array(range(DIM), pa.int32()), "value": pa.array(total.astype(np.int64))})
+                by.setdefault(lang, []).append((codes, counts))
+            for lang, parts in by.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([n for _, n in parts]), len(codes))
+                total = sums.setdefault(lang, np.zeros(DIM))
+                for s in range(0, len(codes), 4096):
+                    total += counts[s : s + 4096].astype(np.float32) @ vectors(codes[s : s + 4096]).astype(np.float32)
+    for lang, total in sums.items():
+        yield pa.record_batch({"lang": pa.array([lang] * DIM), "at": pa.array(range(DIM), pa.int32()), "value": pa.array(np.rint(total).astype(np.int64))})
 
 
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:

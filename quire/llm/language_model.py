@@ -27,11 +27,16 @@ RANGE_TOKENS, HELD_TOKENS, SCORED = 2_000_000, 1_000_000, 2 << 20
 #: Rows looked at to find the contexts that crowd a range: one in so many. They decide where sums go, no count.
 LOOK = 16
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Second words keep 48 bits of their hash.
+#: Second words keep 48 bits of their hash: one in 2**48 / (number of words) shares its counts with another.
 SHORT = np.uint64((1 << 48) - 1)
+#: Counts of bigrams from MOST on stand in a range's ``large`` file. Only those of frequent contexts can be: all
+#: other contexts occur less often than a range has tokens, so that their counts fit 32 bits.
+MOST = (1 << 32) - 1
 BIGRAM = np.dtype([("key", "<u8"), ("n", "<u4")])
+LARGE = np.dtype([("key", "<u8"), ("n", "<u8")])
 CONTEXT = np.dtype([("key", "<u8"), ("n", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-AHEAD = np.dtype([("key", "<u8"), ("n", "<u4")])
+HOT_CONTEXT = np.dtype([("key", "<u8"), ("n", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
+AHEAD = np.dtype([("key", "<u8"), ("n", "<u8")])
 
 
 def _range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -83,7 +88,7 @@ def _packed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
     head = np.array([len(at), len(v), len(large)], "<u4")
     return b"".join(
         x.tobytes()
-        for x in (head, v[at].astype("<u8"), np.diff(np.append(at, len(v))).astype("<u4"), (w & np.uint64(0xFFFFFFFF)).astype("<u4"), (w >> np.uint64(32)).astype("<u2"), np.minimum(n, 255).astype("u1"), large.astype("<u4"), n[large].astype("<u4"))
+        for x in (head, v[at].astype("<u8"), np.diff(np.append(at, len(v))).astype("<u4"), (w & np.uint64(0xFFFFFFFF)).astype("<u4"), (w >> np.uint64(32)).astype("<u2"), np.minimum(n, 255).astype("u1"), large.astype("<u4"), n[large].astype("<u8"))
     )
 
 
@@ -98,8 +103,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return x
 
     heads, lengths, low, high, n = take("<u8", a), take("<u4", a), take("<u4", m), take("<u2", m), take("u1", m).astype(np.int64)
-    large, more = take("<u4", k), take("<u4", k)
-    n[large] = more
+    large, more = take("<u4", k), take("<u8", k)
+    n[large] = more.astype(np.int64)
     return np.repeat(heads, lengths), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), n
 
 
@@ -153,9 +158,9 @@ def _of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _context_rows(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _context_rows(v: np.ndarray, n: np.ndarray, kind: np.dtype) -> np.ndarray:
     at = _runs(v)
-    out = np.zeros(len(at), CONTEXT)
+    out = np.zeros(len(at), kind)
     out["key"] = v[at]
     if len(at):
         out["n"] = np.add.reduceat(n, at)
@@ -172,14 +177,19 @@ def _store(folder: str, hot: np.ndarray, ranges: int):
         parts = [_unpacked(x.as_py()) for x in table["blob"]]
         v, w, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         pairs = np.zeros(len(v), BIGRAM)
-        pairs["key"], pairs["n"] = _key(v, w), n
+        pairs["key"], pairs["n"] = _key(v, w), np.minimum(n, MOST)
+        large = np.zeros(int((n >= MOST).sum()), LARGE)
+        large["key"], large["n"] = pairs["key"][n >= MOST], n[n >= MOST]
         pairs.sort(order="key")
         write_array(folder, f"bigram-{own}", pairs)
+        if len(large):
+            large.sort(order="key")
+            write_array(folder, f"large-{own}", large)
         is_hot = np.isin(v, hot)
-        contexts = _context_rows(v[~is_hot], n[~is_hot])
+        contexts = _context_rows(v[~is_hot], n[~is_hot], CONTEXT)
         write_array(folder, f"context-{own}", contexts)
         stats = [int(n.sum()), len(v), len(contexts), *_of_counts(n)]
-        rows = [(own, "stats", b"", stats)] + [(own, "hot", b"", [int(np.uint64(x["key"]).astype(np.int64)), *(int(x[k]) for k in ("n", "n1", "n2", "n3"))]) for x in _context_rows(v[is_hot], n[is_hot])]
+        rows = [(own, "stats", b"", stats)] + [(own, "hot", b"", [int(np.uint64(x["key"]).astype(np.int64)), *(int(x[k]) for k in ("n", "n1", "n2", "n3"))]) for x in _context_rows(v[is_hot], n[is_hot], HOT_CONTEXT)]
         words, times = np.unique(w, return_counts=True)
         where = _range_of(words, 48, ranges)
         for s, e in _spans(where):
@@ -229,7 +239,7 @@ def train(docs: DataFrame) -> dict:
     add = lambda df, n: [df.agg(*(F.sum(F.get("numbers", F.lit(i))).alias(f"s{i}") for i in range(n))).first()[i] or 0 for i in range(n)]
     tokens, types, contexts, *c = add(stored.where("kind = 'stats'"), 7)
     parts = stored.where("kind = 'hot'").groupBy(F.get("numbers", F.lit(0)).alias("v")).agg(*(F.sum(F.get("numbers", F.lit(i))).alias(k) for i, k in enumerate(("n", "n1", "n2", "n3"), 1))).collect()
-    table = np.zeros(len(parts), CONTEXT)
+    table = np.zeros(len(parts), HOT_CONTEXT)
     for i, r in enumerate(parts):
         table[i] = (int(np.int64(r.v).astype(np.uint64)), r.n, r.n1, r.n2, r.n3)
     table.sort(order="key")
@@ -240,7 +250,7 @@ def train(docs: DataFrame) -> dict:
 
 @lru_cache(4096)
 def _mapped(folder: str, kind: str, own: int) -> np.ndarray:
-    return map_array(folder, f"{kind}-{own}", {"bigram": BIGRAM, "context": CONTEXT, "ahead": AHEAD}[kind])
+    return map_array(folder, f"{kind}-{own}", {"bigram": BIGRAM, "large": LARGE, "context": CONTEXT, "ahead": AHEAD}[kind])
 
 
 def _look_up(folder: str, kind: str, where: np.ndarray, keys: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
@@ -289,7 +299,10 @@ def _score(model: dict):
         pair, back = np.unique(vi * len(every) + wi, return_inverse=True)
         a, b = pair // len(every), pair % len(every)
         where = np.where(np.isin(every[a], hot), _range_of(short[b], 48, ranges), _range_of(every[a], 64, ranges))
-        c = _look_up(folder, "bigram", where, _key(every[a], short[b]), ("n",))[0]
+        key = _key(every[a], short[b])
+        c = _look_up(folder, "bigram", where, key, ("n",))[0]
+        if (most := c == MOST).any():
+            c[most] = _look_up(folder, "large", where[most], key[most], ("n",))[0]
         total = np.maximum(n[a], 1)
         left = np.where(n[a] > 0, (d[0] * n1[a] + d[1] * n2[a] + d[2] * n3[a]) / total, 1.0)
         chance = np.log10(_discounted(c, d) / total + left * unigram[b])[back]

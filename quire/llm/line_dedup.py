@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quire.llm import native
 from quire.sources.shared import materialize
 
-#: A line is boilerplate on over this share of its host's pages, if on as many pages at least.
+#: A line is boilerplate on over this share of its host's pages, if on as many pages at least: on a host of fewer
+#: than 1 / RATIO pages any line of a single page would exceed the share.
 RATIO, LEAST_PAGES = 0.02, 5
 
 
@@ -42,6 +43,19 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     return total.join(bad.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")), "left").select("host", "n_pages", F.coalesce("bad", F.array().cast("array<bigint>")).alias("bad"))
 
 
+def _stripped(docs: DataFrame, host: str, ratio: float, least_pages: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with boilerplate taken out of ``text``, two more columns, and their names: lines with a word, and those dropped."""
+    text = F.col("text").cast("string")
+    own, bad, before, good, lines, dropped = (native.fresh(docs, n) for n in ("host_key", "bad", "before", "good", "lines", "dropped"))
+    found = materialize(boilerplate(docs.select(F.col(host).cast("string").alias("host"), text.alias("text")), ratio, least_pages).select(F.col("host").alias(own), F.col("bad").alias(bad)), "boilerplate")
+    rows = docs.join(found, F.col(host).cast("string").eqNullSafe(F.col(own)), "left").withColumn(before, _lines(text))
+    left = F.filter(F.col(before), lambda x: ~(_has_word(x) & F.array_contains(F.col(bad), line_key(x))))
+    rows = rows.withColumn(good, F.when(F.size(bad) > 0, left).otherwise(F.col(before)))
+    kept = F.when(text.isNotNull(), F.array_join(good, "\n"))
+    columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, F.size(F.filter(F.col(before), _has_word)).cast("long").alias(lines), (F.size(before) - F.size(good)).cast("long").alias(dropped)), lines, dropped
+
+
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; ``lines`` and ``dropped`` are added.
 
@@ -50,22 +64,18 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     stay null; blank lines are never dropped; other lines keep their order. Repeated rows each count as a
     page. An empty table gives an empty result. Columns named lines or dropped are replaced.
     """
-    text = F.col("text").cast("string")
-    found = materialize(boilerplate(docs.select(F.col(host).cast("string").alias("host"), text.alias("text")), ratio, least_pages).select(F.col("host").alias("_host"), "bad"), "boilerplate")
-    columns = [c for c in docs.columns if c not in ("text", "lines", "dropped")]
-    rows = docs.join(found.withColumnRenamed("bad", "_bad"), F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
-    rows = rows.withColumn("_lines", _lines(text))
-    good = F.filter(F.col("_lines"), lambda x: ~(_has_word(x) & F.array_contains(F.col("_bad"), line_key(x))))
-    whole = F.size(F.filter(F.col("_lines"), _has_word)).cast("long")
-    rows = rows.withColumn("_good", F.when(F.size("_bad") > 0, good).otherwise(F.col("_lines")))
-    out = rows.withColumns({"lines": whole, "dropped": (F.size("_lines") - F.size("_good")).cast("long")})
-    kept = F.when(text.isNotNull(), F.array_join("_good", "\n"))
-    return out.select(*columns, kept.alias("text"), "lines", "dropped")
+    out, lines, dropped = _stripped(docs, host, ratio, least_pages)
+    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lines", "dropped")]
+    return out.select(*columns, F.col(lines).alias("lines"), F.col(dropped).alias("dropped"))
 
 
 def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows and columns of ``docs``, in order, with boilerplate lines dropped and n_chars counted anew."""
-    out = drop_boilerplate(docs, host)
+    """The rows and columns of ``docs``, in order, with boilerplate lines dropped and n_chars counted anew.
+
+    Nulls, blank lines, repeated rows and empty tables fare as in ``drop_boilerplate``; extra columns of any
+    name keep their values.
+    """
+    out = _stripped(docs, host, RATIO, LEAST_PAGES)[0]
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

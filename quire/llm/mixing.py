@@ -4,11 +4,13 @@ A source's documents, shuffled by a hash, form a line of tokens, run through twi
 equal blocks. Slot i of the mix goes to the source at golden-ratio point frac(i / phi) of the cumulative
 target weights; the slots of a source are ranked, and slot rank r takes block r of its source's line.
 Nothing is gathered but one row a source: positions and ranks are prefix sums in two levels, over
-hash buckets (or slot ranges) and inside each, so a hot source is spread over many tasks.
+hash buckets (or slot ranges) and inside each, so a hot source is spread over many tasks of ``BUCKET`` rows or so.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,26 +101,27 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, weights: tuple[int, .
     """The mix itself: rows of ``docs`` with all their columns, as often as the mix takes them.
 
     A row taken in part comes with its first words, joined by a space, and its n_chars, if it has that
-    column, counted anew. Rows of which nothing is taken are left out.
+    column, counted anew. Rows of which nothing is taken are left out, so null and wordless texts are. Rows that
+    repeat a doc_id, or have none, are matched by source, size and the order of their texts. Extra columns of any
+    name keep their values; an empty table gives an empty result.
     """
     taken = materialize(mix(docs, share, weights).select("doc_id", "source", "size", "taken"), "taken")
-    keys = ["doc_id"]
+    keys, rows = {"doc_id": F.col("doc_id").cast("long")}, docs
     if not taken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        keys = ["doc_id", "source", "size", "nth"]
-        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken"))
-        taken = taken.withColumn("nth", nth)
-        same = Window.partitionBy("doc_id", "_source", "_size").orderBy(F.xxhash64(F.col("text")))
-        docs = docs.withColumns({"_source": F.col("source").cast("string"), "_size": native.n_words(F.col("text").cast("string"))}).withColumn("_nth", F.row_number().over(same))
-    taken = taken.where("taken > 0").select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("size").alias("_full"), F.col("taken").alias("_taken"))
-    match = None
-    for k in keys:
-        test = (F.col("doc_id").cast("long") if k == "doc_id" else F.col(f"_{k}")).eqNullSafe(F.col(f"_k_{k}"))
-        match = test if match is None else match & test
+        # rows alike in id, source and size are numbered on both sides; ids repeat seldom, and so do all three
+        size, nth = native.fresh(docs, "size"), native.fresh(docs, "nth")
+        taken = taken.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken")))
+        same = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64(F.col("text")))
+        rows = docs.withColumn(size, native.n_words(F.col("text").cast("string"))).withColumn(nth, F.row_number().over(same))
+        keys |= {"source": F.col("source").cast("string"), "size": F.col(size), "nth": F.col(nth)}
+    names = {k: native.fresh(rows, f"of_{k}") for k in ("doc_id", "source", "size", "nth", "full", "taken", "take")}
+    taken = taken.where("taken > 0").select(*(F.col(k).alias(names[k]) for k in keys), F.col("size").alias(names["full"]), F.col("taken").alias(names["taken"]))
+    match = reduce(lambda a, b: a & b, (value.eqNullSafe(F.col(names[k])) for k, value in keys.items()))
+    full, took, take = (F.col(names[k]) for k in ("full", "taken", "take"))
     # as many rows as documents: a shuffle at every size
-    rows = docs.join(taken.hint("merge"), match).withColumn("_take", F.explode(F.expr("filter(array(least(_taken, _full), _taken - _full), x -> x > 0)")))
-    part = F.array_join(F.slice(native.words(F.col("text")), 1, F.col("_take").cast("int")), " ")
-    out = rows.withColumn("text", F.when(F.col("_take") == F.col("_full"), F.col("text")).otherwise(part))
-    columns = [c for c in docs.columns if c not in ("_source", "_size", "_nth")]
-    if "n_chars" in columns:
+    rows = rows.join(taken.hint("merge"), match).withColumn(names["take"], F.explode(F.filter(F.array(F.least(took, full), took - full), lambda x: x > 0)))
+    part = F.array_join(F.slice(native.words(F.col("text")), 1, take.cast("int")), " ")
+    out = rows.withColumn("text", F.when(take == full, F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

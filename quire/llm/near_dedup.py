@@ -175,6 +175,7 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def open_nodes(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of regions over ``WHOLE`` whose nodes are of several components; distinct."""
     crowded = found.where("step = 1").groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WHOLE).select("part")
+    crowded = small_side(materialize(crowded, "crowded"), BROADCAST_NODES)
     ends = found.where("step = 1").join(crowded, "part").select("part", F.explode(F.array("a", "b")).alias("node"))
     labels = small_side(classes.select("node", "component"), BROADCAST_NODES)
     members = ends.join(labels, "node", "left").select("part", "node", F.coalesce("component", "node").alias("component"))

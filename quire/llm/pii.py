@@ -39,11 +39,11 @@ CHECKS = {
 }
 #: What the candidates look like; alternatives in the order of WIDE_KINDS.
 WIDE = {
-    "secret": r"[0-9A-Fa-f]{32,128}+(?![A-Za-z0-9])",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "secret": r"(?:[0-9A-Fa-f]{32,}+|(?:sk|pk|rk|ghp|gho|ghs|glpat|xox[abps]|AKIA|ASIA|AIza)[A-Za-z0-9_-]{16,}+|[A-Za-z0-9+/_-]{40,}+={0,2}+)(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "phone": r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-])",
-    "email": r"[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}+){1,8}+",
+    "email": r"[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
 }
 WIDE_PATTERN = "(?<![A-Za-z0-9._%+-])(?:" + "|".join(f"{p}" for p in WIDE.values()) + ")"
 KINDS = ["email", "ip", "card", "phone", "iban", "secret", "ssn"]
@@ -60,9 +60,13 @@ NEAR = {
 }
 AGAINST = "sha|md5|hash|commit|checksum|digest|isbn|order|invoice|version|page|serial|part|figure|table"
 IBAN_LANDS = "DE|FR|ES|IT|NL|BE|AT|CH|GB|IE|PT|PL|SE|DK|FI|NO|LU|CZ|GR|HU|RO"
+_IBAN = "regexp_replace(x.m, ' ', '')"
+#: An account number's check: its letters as two digits, the first four characters last, leave 1 of 97.
+_MOD_97 = f"aggregate(split(concat(substr({_IBAN}, 5), left({_IBAN}, 4)), ''), 0, (a, c) -> case when c = '' then a when c between '0' and '9' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end) = 1"
+_SECRET = "case when x.m rlike '^[0-9A-Fa-f]+$' then if(x.m rlike '[0-9]' and x.m rlike '[A-Fa-f]' and length(x.m) % 8 = 0, 1, 0) when x.m rlike '^(sk|pk|rk|gh|glpat|xox|AKIA|ASIA|AIza)' then 1 else if(x.m rlike '[0-9]' and x.m rlike '[A-Z]' and x.m rlike '[a-z]', 1, 0) end"
 #: Votes of the labelers on a candidate x (k: kind, m: text, b: before, a: after): 1, 0, or null to abstain.
 LABELERS = {
-    "regex": "case x.k when 'secret' then if(x.m rlike '[0-9]' and x.m rlike '[A-Fa-f]' and length(x.m) in (32, 40, 48, 56, 64, 96, 128), 1, 0) when 'ssn' then if(x.m rlike '^(000|666|9)', 0, 1) when 'phone' then if(regexp_replace(x.m, '[^0-9]', '') rlike '^[2-9]', 1, 0) when 'email' then if(x.m rlike '[A-Za-z]{2,6}$', 1, 0) end",
+    "regex": f"case x.k when 'secret' then {_SECRET} when 'iban' then if({_MOD_97}, 1, 0) when 'ssn' then if(x.m rlike '^(000|666|9)', 0, 1) when 'phone' then if(regexp_replace(x.m, '[^0-9]', '') rlike '^[2-9]', 1, 0) when 'email' then if(x.m rlike '[A-Za-z]{{2,6}}$', 1, 0) end",
     "gazetteer": f"case when x.k = 'iban' then if(x.m rlike '^({IBAN_LANDS})', 1, 0) " + " ".join(f"when x.k = '{k}' and lower(x.b) rlike '(^|[^a-z])({w})[^a-z]*$' then 1" for k, w in NEAR.items() if k != "iban") + " end",
     "context": f"case when lower(x.b) rlike '(^|[^a-z])({AGAINST})[^a-z]*$' then 0 " + " ".join(f"when x.k = '{k}' and lower(x.b) rlike '({w})' then 1" for k, w in NEAR.items()) + " end",
     "mark": r"""case when x.b rlike r'[:=]\s*["(\[]?$' then 1 when x.b rlike r'[#/\\]$' then 0 end""",
@@ -99,7 +103,11 @@ def located(pattern: str) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """A row per row of ``docs``: doc_id, base (kind, start, end), found (the candidates, with their votes and features)."""
+    """A row per row of ``docs``: doc_id, base (kind, start, end), found (the candidates, with their votes and features).
+
+    Null texts count as empty; other columns are ignored. Candidates that overlap a base span are left out, which
+    takes time in proportion to a text's candidates times its base spans.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("d", F.expr("t rlike '[0-9]'"))
     base = [f"if({NEEDS[k]}, transform(filter({located(p)}, x -> {CHECKS[k]}), x -> named_struct('k', '{k}', 's', x.s, 'e', x.e)), array_repeat(named_struct('k', '', 's', 0, 'e', 0), 0))" for k, p in PATTERNS.items()]
     rows = rows.withColumn("base", F.expr(f"concat({', '.join(base)})"))

@@ -32,18 +32,21 @@ CUTS, CONDITIONS, RULES, PRECISION, SUPPORT = 64, 3, 8, 0.95, 4
 BASE_FAILED = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 
 #: Words of the array ``w`` in 3-word windows that occur twice or more in it. A window is packed as
-#: ``hash * n + position`` so that a sort of longs brings equal windows together; the hash has the bits
-#: that the position leaves of 63. ``transform(array(x), y -> ...)`` computes x once a row.
+#: ``hash * n + position`` so that a sort of longs brings windows that may be equal together; the hash has the bits
+#: that the position leaves of 63. Windows whose hash recurs are then told apart by their words.
+#: ``transform(array(x), y -> ...)`` computes x once a row.
 _REPEATED = """
 if(size(w) < 4, 0L, element_at(transform(array(
     sort_array(transform(sequence(0, size(w) - 3), i -> coalesce(pmod(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), 9223372036854775807L div size(w)) * size(w) + i, 0L)))
-), s -> aggregate(
+), s -> element_at(transform(array(
     sort_array(transform(
         filter(s, (x, k) -> x div size(w) = get(s, k - 1) div size(w) or x div size(w) = get(s, k + 1) div size(w)),
-        x -> x % size(w))),
+        x -> named_struct('m', concat_ws(' ', get(w, cast(x % size(w) as int)), get(w, cast(x % size(w) as int) + 1), get(w, cast(x % size(w) as int) + 2)), 'p', x % size(w))))
+), v -> aggregate(
+    sort_array(transform(filter(v, (x, k) -> x.m = get(v, k - 1).m or x.m = get(v, k + 1).m), x -> x.p)),
     named_struct('end', 0L, 'total', 0L),
     (a, p) -> named_struct('end', p + 3, 'total', a.total + p + 3 - greatest(p, a.end)),
-    a -> a.total)), 1))
+    a -> a.total)), 1)), 1))
 """
 
 
@@ -181,24 +184,20 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` that ``judge`` keeps.
 
     Rejected doc_ids are few beside the rows they leave, so they are what is joined. Where rows that
-    repeat a doc_id, or have none, are judged differently, each row is judged on its own statistics.
+    repeat a doc_id, or have none, are judged differently, each row is judged on its own statistics. Null and
+    empty texts go, repeated rows stay or go together, and extra columns of any name keep their values.
     """
-    found = materialize(judge(docs, labels).select("doc_id", "kept"), "verdicts")
-    mixed = found.groupBy("doc_id").agg(F.min("kept").alias("every"), F.max("kept").alias("some"))
+    stats = materialize(statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED)), "statistics")
+    rules = learn_from(stats, labels)
+    mixed = stats.select("doc_id", (~F.col("base_failed") & decision(rules)).alias("kept")).groupBy("doc_id").agg(F.min("kept").alias("every"), F.max("kept").alias("some"))
     rejected = materialize(mixed.where("not every"), "rejected")
+    own = native.fresh(docs, "own")
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(own))
+    out = docs.join(small_side(rejected.select(F.col("doc_id").alias(own))), key, "left_anti")
     split = rejected.where("some")
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-    out = docs.join(small_side(rejected.select(F.col("doc_id").alias("_doc_id"))), key, "left_anti")
     if split.isEmpty():
         return out
-    again = docs.join(split.select(F.col("doc_id").alias("_doc_id")), key, "left_semi")
-    return out.unionByName(_by_row(again, docs, labels))
-
-
-def _by_row(some: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``some`` that the rules learned from ``docs`` accept."""
-    rules = learn_from(materialize(statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED)), "statistics"), labels)
-    numbered = materialize(some.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    stats = statistics(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    good = stats.where(~F.expr(BASE_FAILED) & decision(rules)).select(F.col("doc_id").alias("_row"))
-    return numbered.join(good, "_row", "left_semi").drop("_row")
+    again = materialize(docs.join(split.select(F.col("doc_id").alias(own)), key, "left_semi").withColumn(own, F.monotonically_increasing_id()), "rows")
+    by_row = statistics(again.select(F.col(own).alias("doc_id"), "text"))
+    good = by_row.where(~F.expr(BASE_FAILED) & decision(rules)).select(F.col("doc_id").alias(own))
+    return out.unionByName(again.join(good, own, "left_semi").drop(own))

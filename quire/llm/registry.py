@@ -43,7 +43,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in ``documents``."""
     found = pii.detect(load(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = '{k}')) as long)").alias(f"n_{k}") for k in pii.PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(pii.digest("base")), 256).alias("base_sha256"), F.expr(pii.digest("all_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.digest("base")), 256).alias("base_sha256"), F.expr(pii.digest("all_spans")).alias("spans"), F.size("all_spans").cast("long").alias("n_spans"))
 
 
 QUERIES["op1_pii"] = op1_pii

@@ -30,8 +30,8 @@ EDGE = [
 @pytest.fixture(scope="session")
 def edge(spark):
     rows = spark.createDataFrame(EDGE, "doc_id long, text string, lang string, source string, n_chars long, x int")
-    for name in ("node", "size", "part", "rank", "key", "t", "d", "host", "score", "words", "lines", "ids", "label", "v", "row"):
-        rows = rows.withColumn(name, rows.x)
+    for name in ("node", "size", "part", "rank", "key", "t", "d", "host", "score", "words", "lines", "ids", "label", "v", "row", "own", "_own", "dropped", "bad", "before", "good", "host_key", "nth", "of_full", "of_taken", "take", "_host", "_bad", "_lines", "_doc_id", "_full", "_take", "class", "order"):
+        rows = rows.withColumn(name, rows.x + len(name))
     return rows.cache()
 
 

@@ -99,12 +99,25 @@ def test_near_duplicates_templates(spark):
     assert got == {i: i if i < 5000 else (i - 5000) * 20 for i, _ in rows}
 
 
+EXTRA = ("x", "row", "own", "lines", "dropped", "size", "_take", "class", "node")
+
+
+def extras(rows):
+    """The values of columns that operators keep, by doc_id."""
+    return {r.doc_id: tuple(r[c] for c in EXTRA) for r in rows.collect()}
+
+
+def kept_extras(out, rows):
+    have, want = extras(out), extras(rows)
+    return set(have) <= set(want) and all(want[i] == v for i, v in have.items())
+
+
 def test_near_duplicates_edges(edge, none):
     got = sorted((r.doc_id if r.doc_id is not None else 99, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(edge).collect())
     assert got == [(-7, 2, -7, True), (1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 7, 6, True), (99, 3, 1, False)]
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.keep_one(edge)
-    assert kept.columns == edge.columns
+    assert kept.columns == edge.columns and kept_extras(kept, edge)
     assert Counter(r.doc_id for r in kept.collect()) == Counter([-7, 1, 2, 3, 4, 5, 6])
     assert near_dedup.keep_one(none).columns == edge.columns
 
@@ -140,6 +153,25 @@ def test_personal_data_votes(spark):
     assert sum(got[100 + i] for i in range(20)) == 0
 
 
+def test_personal_data_kinds(spark):
+    """Spans beyond the base patterns, each kind with look-alikes that stay out: no length ends a secret or an address."""
+    account = "DE89 3704 0044 0532 0130 00"
+    found = {
+        0: ("the secret key: ", hashlib.sha512(b"x").hexdigest() * 2),
+        1: ("our bank account, IBAN: ", account),
+        2: ("my IBAN = ", account.replace(" ", "")),
+        3: ("auth token: ", "ghp_" + "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3z"),
+        4: ("contact e-mail: ", "someone (at) " + "x" * 70 + ".example [dot] org"),
+    }
+    rows = [(10 * n + k, a + b + " end.") for n in range(30) for k, (a, b) in found.items()]
+    rows += [(1000 + i, "commit " + hashlib.sha1(str(i).encode()).hexdigest()) for i in range(40)]
+    rows += [(2000 + i, f"page AB12 CDEF GHIJ KLMN {i}") for i in range(40)]
+    got = {r.doc_id: [tuple(x) for x in r.all_spans] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (a, b) in found.items():
+        assert [x[1:] for x in got[k]] == [(len(a), len(a) + len(b))], (k, got[k])
+    assert not any(got[i] for i in got if i >= 1000)
+
+
 def test_personal_data_edges(edge, none):
     got = {r.doc_id: r for r in pii.detect(edge).collect()}
     assert [x.k for x in got[6].base] == ["email", "ip", "card", "phone"]
@@ -153,6 +185,13 @@ def test_quality_statistics(docs, edge):
         assert got == {i: statistics(t) for i, t in texts(rows).items()}
 
 
+def test_quality_statistics_of_a_long_text(spark):
+    """A million distinct words, two windows of which recur: no hash makes it more."""
+    text = F.concat_ws(" ", F.expr("array_join(transform(sequence(1, 1000000), i -> cast(i * 7 as string)), ' ')"), F.lit("7 14 21 28"))
+    r = quality.statistics(spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))).first()
+    assert (r.n_words, r.n_repeat_words) == (1_000_004, 8)
+
+
 def test_quality_rules(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.judge(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
@@ -166,12 +205,15 @@ def test_quality_edges(edge, none, labels):
     got = Counter((r.doc_id, r.kept) for r in quality.judge(edge, labels.where("false")).collect())
     assert got == Counter([(1, False), (1, False), (2, False), (None, False), (3, False), (4, False), (5, False), (6, False), (-7, False)])
     assert quality.accepted(edge, labels).columns == edge.columns
+    long = edge.withColumn("text", F.when(F.col("doc_id") == 1, F.expr("array_join(transform(sequence(1, 80), i -> concat('word', i)), ' ')")).otherwise(F.col("text")))
+    out = quality.accepted(long, labels.where("false"))
+    assert [r.doc_id for r in out.collect()] == [1, 1] and kept_extras(out, long)
     assert quality.decision([[quality.Condition("n_words", True, 5.0)]]) is not None
 
 
 def test_line_dedup_edges(edge, none):
     out = line_dedup.cleaned(edge)
-    assert out.columns == edge.columns and out.count() == edge.count()
+    assert out.columns == edge.columns and out.count() == edge.count() and extras(out) == extras(edge)
     assert {r.doc_id: r.text for r in out.collect() if r.doc_id in (2, 3, 6)} == {2: None, 3: "", 6: edge.where("doc_id = 6").first().text}
     assert line_dedup.cleaned(none).count() == 0
 
@@ -221,7 +263,7 @@ def test_mixed_documents(docs, edge, none):
         got[r.doc_id] += len(words(r.text))
         assert r.n_chars == len(r.text)
     assert got == Counter({i: n for i, n in taken.items() if n})
-    assert mixing.mixed_documents(edge).columns == edge.columns
+    assert mixing.mixed_documents(edge).columns == edge.columns and kept_extras(mixing.mixed_documents(edge), edge)
     sums = Counter()
     for r in mixing.mixed_documents(edge).collect():
         sums[r.doc_id] += len(words(r.text))
@@ -258,6 +300,26 @@ def test_language(spark, edge, none):
     assert language.identify(none).count() == 0
 
 
+def test_language_other_scripts(spark):
+    """Languages of one script that differ in a few letters: Russian and Ukrainian, Polish and Czech, and Greek."""
+    said = {
+        "ru": "это было очень давно и никто уже не помнит как все началось но люди говорят что первый дом стоял у реки",
+        "uk": "це було дуже давно і ніхто вже не пам'ятає як усе почалося але люди кажуть що перша хата стояла біля річки",
+        "el": "αυτό έγινε πολύ παλιά και κανείς δεν θυμάται πια πώς άρχισαν όλα αλλά ο κόσμος λέει πως το πρώτο σπίτι ήταν στο ποτάμι",
+        "pl": "to było bardzo dawno i nikt już nie pamięta jak się wszystko zaczęło ale ludzie mówią że pierwszy dom stał nad rzeką",
+        "cs": "bylo to velmi dávno a nikdo si už nepamatuje jak všechno začalo ale lidé říkají že první dům stál u řeky",
+    }
+    rows = []
+    for n, (lang, text) in enumerate(said.items()):
+        w = text.split()
+        for i in range(12):
+            some = w[i // 2 :: 2] if i % 2 else w[i:] + w[:i]
+            rows.append((100 * n + i, " ".join(some), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, "doc_id % 2 = 0").join(docs, "doc_id").where("doc_id % 2 = 1").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
+
+
 def test_language_model(docs):
     start, end = object(), object()
     pairs, seen = Counter(), Counter()
