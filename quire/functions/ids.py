@@ -7,15 +7,32 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import ascii_fold
 
-# The shapes of identifiers and labels.
+# The shapes of identifiers, labels and file names.
 DOI = r"10\.\d{4,9}/[^\s\"<>]+"
-ARXIV = r"(?i)arXiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?)"
+ARXIV = r"(?i)arXiv:\s*((?:\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?)"
 TRAILING = r"[.,;:)\]}'\"]+$"
 DOI_PREFIXES = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
 FIGURE_LABEL = r"(?i)^\s*(?:fig(?:ure|\.)?)\s*(S?\d+[a-z]?)"
+INITIALS_NAME = r"^((?:[A-Z]\.?(?:-[A-Z]\.?)?[\s.]*){1,4}?)\s*([A-Z][a-z][A-Za-z'\u2019-]*)$"
+ITEM_IDENTIFIER = r"(?i)\bPII:?\s*S?(\d{4}-\d{3}[\dX]\s*\(\d{2}\)\s*\d{5}-[\dX])"
 TABLE_LABEL = r"(?i)^\s*table\s+(S?\d+|[IVX]+)"
 SUPPLEMENT_TOKENS = ["supp", "suppl", "si", "sm", "esm", "supporting"]
-OSA_JOURNALS = ["josa", "josaa", "josab", "ao", "ol", "oe", "optica", "ome", "boe", "prj"]
+#: How publishers name files: of the whole stem, or of the stem without a copy's number, and the DOI by the pattern's groups.
+WHOLE, CUT = "stem", "base"
+PUBLISHER_FILES = [
+    (WHOLE, r"(?i)\b(PhysRev(?:Lett|Applied|Fluids|Materials|Research|[A-EX])?|RevModPhys)\.(\d+)\.(\d+)\b", "10.1103/$1.$2.$3"),
+    (WHOLE, r"(?i)\b(josa|josaa|josab|ao|ol|oe|optica|ome|boe|prj)-(\d+)-(\d+)-(\d+)\b", "10.1364/$1.$2.000000$4"),
+    (WHOLE, r"(?i)\b(s\d{5}-\d{3}-\d{5}-[\dxyz])\b", "10.1038/$1"),
+    (WHOLE, r"\b((?:rspa|rspb|rsta|rstb|rsif|rsos)\.\d{4}\.\d{4})\b", "10.1098/$1"),
+    (CUT, r"(?i)^([a-z]{2}\d{6,7}[a-z]?)$", "10.1021/$1"),
+    (CUT, r"(?i)^([a-z]{2}\d{10})$", "10.1039/$1"),
+    (CUT, r"(?i)^([a-z]{2,8}\.\d{8,13})$", "10.1002/$1"),
+    (CUT, r"(?i)^(bf\d{8})$", "10.1007/$1"),
+    (WHOLE, r"\bS(\d{4})(\d{3}[\dX])([6-9]\d)(\d{5})([\dX])\b", "10.1016/$1-$2($3)$4-$5"),
+    (CUT, r"^(\d{4}\.\d{4,5})(?:v\d+)?$", "10.48550/arXiv.$1"),
+    (WHOLE, r"^(97[89]-\d{1,5}-\d{1,7}-\d{1,7}-[\dX])$", "10.1007/$1"),
+    (CUT, r"^(97[89]-\d{1,5}-\d{1,7}-\d{1,7}-[\dX])$", "10.1007/$1"),
+]
 
 
 def normalize_doi(text: Column) -> Column:
@@ -24,9 +41,19 @@ def normalize_doi(text: Column) -> Column:
     return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(bare))
 
 
+def first_seen(values: Column) -> Column:
+    """An array's values as first printed, those left out that an earlier one equals but for case."""
+
+    def kept(found: Column) -> Column:
+        low = F.transform(found, F.lower)
+        return F.filter(found, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+    return F.element_at(F.transform(F.array(values), kept), 1)
+
+
 def doi_candidates(text: Column) -> Column:
-    """DOIs in a text without trailing punctuation, lower case, first seen first, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(DOI), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, TRAILING, ""))))
+    """DOIs in a text without trailing punctuation, as printed, first seen first, each once whatever its case."""
+    return first_seen(F.transform(F.regexp_extract_all(text, F.lit(DOI), F.lit(0)), lambda x: F.regexp_replace(x, TRAILING, "")))
 
 
 def arxiv_candidates(text: Column) -> Column:
@@ -61,47 +88,53 @@ def supplement_name(name: Column) -> Column:
 def filename_dois(name: Column) -> Column:
     """DOIs that a file name encodes by its publisher's custom, normalised, each once."""
     stem = F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), r"^.*/", ""), r"(?i)\.pdf$", "")
-    base = F.regexp_replace(stem, r"[-_ ]\d$", "")
-
-    def made(source: Column, pattern: str, build, keep=None) -> Column:
-        hits = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-        part = lambda x, i: F.regexp_extract(x, pattern, i)
-        if keep is not None:
-            hits = F.filter(hits, lambda x: keep(x, part))
-        return F.transform(hits, lambda x: build(x, part))
-
-    whole = lambda prefix: lambda x, part: F.concat(F.lit(prefix), x)
-    found = [
-        made(stem, r"(?i)\b(PhysRev(?:Lett|Applied|Fluids|Materials|Research|[A-EX])?|RevModPhys)\.(\d+)\.(\d+)\b", whole("10.1103/")),
-        made(
-            stem,
-            r"(?i)\b([a-z]+)-(\d+)-(\d+)-(\d+)\b",
-            lambda x, part: F.concat(F.lit("10.1364/"), part(x, 1), F.lit("."), part(x, 2), F.lit("."), F.lpad(part(x, 4), 6, "0")),
-            lambda x, part: F.lower(part(x, 1)).isin(OSA_JOURNALS),
-        ),
-        made(stem, r"(?i)\b(s\d{5}-\d{3}-\d{5}-[\dxyz])\b", whole("10.1038/")),
-        made(stem, r"\b((?:rspa|rspb|rsta|rstb|rsif|rsos)\.\d{4}\.\d{4})\b", whole("10.1098/")),
-        made(base, r"(?i)^[a-z]{2}\d{6,7}[a-z]?$", whole("10.1021/")),
-        made(base, r"(?i)^[a-z]{2}\d{10}$", whole("10.1039/")),
-        made(base, r"(?i)^[a-z]{2,8}\.\d{8,13}$", whole("10.1002/")),
-        made(base, r"(?i)^bf\d{8}$", whole("10.1007/")),
-        made(
-            stem,
-            r"\bS(\d{4})(\d{3}[\dX])(\d{2})(\d{5})([\dX])\b",
-            lambda x, part: F.concat(F.lit("10.1016/"), part(x, 1), F.lit("-"), part(x, 2), F.lit("("), part(x, 3), F.lit(")"), part(x, 4), F.lit("-"), part(x, 5)),
-            lambda x, part: part(x, 3).cast("int") >= 60,
-        ),
-        made(base, r"^(\d{4}\.\d{4,5})(v\d+)?$", lambda x, part: F.concat(F.lit("10.48550/arxiv."), arxiv_base(x))),
-        F.when(F.size(made(stem, r"^97[89]-\d{1,5}-\d{1,7}-\d{1,7}-[\dX]$", whole(""))) > 0, made(stem, r"^97[89]-\d{1,5}-\d{1,7}-\d{1,7}-[\dX]$", whole("10.1007/"))).otherwise(made(base, r"^97[89]-\d{1,5}-\d{1,7}-\d{1,7}-[\dX]$", whole("10.1007/"))),
-    ]
-    return F.array_distinct(F.filter(F.transform(F.concat(*found), normalize_doi), lambda x: x.isNotNull()))
+    part = {WHOLE: stem, CUT: F.regexp_replace(stem, r"[-_ ]\d$", "")}
+
+    def made(of: str, pattern: str, doi: str) -> Column:
+        return F.transform(F.regexp_extract_all(part[of], F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, pattern, doi))
+
+    found = F.concat(*(made(*row) for row in PUBLISHER_FILES))
+    padded = F.transform(found, lambda x: F.when(x.startswith("10.1364/"), F.regexp_replace(x, r"(?<=\.)0+(\d{6,})$", "$1")).otherwise(x))
+    return F.array_distinct(F.filter(F.transform(padded, normalize_doi), lambda x: x.isNotNull()))
 
 
 def split_name(name: Column) -> Column:
-    """Initials and surname of ``A. B. Surname`` as (given, family); null for other names."""
-    pattern = r"^((?:\p{Lu}\.[\s-]*)+)\s*(\p{L}[\p{L}' -]*)$"
-    text = F.trim(F.regexp_replace(name, r"\s+", " "))
-    return F.when(text.rlike(pattern), F.struct(F.trim(F.regexp_extract(text, pattern, 1)).alias("given"), F.regexp_extract(text, pattern, 2).alias("family")))
+    """Initials and surname as (given, family), where a name is one to four initials and one capitalised surname; else null."""
+    words = F.trim(F.regexp_replace(name, r"\s+", " "))
+    given = F.trim(F.regexp_extract(words, INITIALS_NAME, 1))
+    return F.when(words.rlike(INITIALS_NAME) & (given != ""), F.struct(given.alias("given"), F.regexp_extract(words, INITIALS_NAME, 2).alias("family")))
+
+
+def bibtex_authors(names: Column) -> Column:
+    """The names of a BibTeX author field as (given, family, sequence): ``Family, Given`` or ``Given Family``."""
+
+    def person(name: Column, i: Column) -> Column:
+        comma = F.split(name, ",", 2)
+        words = F.split(F.trim(name), r"\s+")
+        family = F.when(name.contains(","), F.trim(F.get(comma, F.lit(0)))).otherwise(F.element_at(words, -1))
+        given = F.when(name.contains(","), F.trim(F.get(comma, F.lit(1)))).otherwise(F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))
+        return F.struct(F.nullif(given, F.lit("")).alias("given"), family.alias("family"), F.when(i == 0, "first").otherwise("additional").alias("sequence"))
+
+    return F.transform(F.split(F.trim(names), r"\s+and\s+"), person)
+
+
+def weak_dois(value: Column) -> Column:
+    """DOIs that printed item identifiers (``PII: S0022-4073(81)90057-1``) suggest, in order."""
+    return F.transform(F.regexp_extract_all(value, F.lit(ITEM_IDENTIFIER), F.lit(1)), lambda x: F.concat(F.lit("10.1016/"), F.replace(x, F.lit(" "), F.lit(""))))
+
+
+def utc_time(given: Column) -> Column:
+    """A date or time of ISO 8601 as given, where it is one and in UTC; a time without an offset is. Else null."""
+    bare = F.regexp_replace(F.regexp_replace(given, r"(Z|[+-]00:?00(:?00)?)$", ""), "T", " ")
+    day = given.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    time = given.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]00:?00(:?00)?)?$")
+    full = F.when(bare.rlike(r" \d{2}$"), F.concat(bare, F.lit(":00:00"))).when(bare.rlike(r" \d{2}:\d{2}$"), F.concat(bare, F.lit(":00"))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
+    return F.when((day & given.try_cast("date").isNotNull()) | (time & full.try_cast("timestamp_ntz").isNotNull()), given)
+
+
+def label_order(label: Column) -> list[Column]:
+    """Keys that sort printed labels as people do: by length, then by text."""
+    return [F.length(label), label]
 
 
 def stable_shard(key: Column, shards: int) -> Column:

@@ -22,7 +22,7 @@ def identical_groups(sources: DataFrame, key: str = "sha256", path: str = "path"
 
 def content_key(body: Column) -> Column:
     """The text digest of texts long enough to compare; else null."""
-    norm = text.squash(body)
+    norm = text.normalized(body)
     return F.when(F.length(norm) >= LEAST_TEXT, F.sha2(norm, 256))
 
 
@@ -54,6 +54,18 @@ def known_sources(batch: DataFrame, library: DataFrame, key: str = "sha256") ->
     return batch.join(library.groupBy(key).agg(F.min("directory").alias("known_as")), key, "left")
 
 
+def unknown_sources(batch: DataFrame, library: DataFrame, key: str = "sha256") -> DataFrame:
+    """The rows of ``batch`` whose digest the library doesn't hold."""
+    return batch.join(library.select(key), key, "left_anti")
+
+
+def intake_titles(batch: DataFrame, library: DataFrame) -> DataFrame:
+    """(title_key, batch, in_library): keys that several rows of a batch share, or a row with the library; counts, no pairs."""
+    own = batch.where("title_key <> ''").groupBy("title_key").agg(F.count(F.lit(1)).alias("batch"))
+    there = library.select("title_key").distinct().withColumn("in_library", F.lit(True))
+    return own.join(there, "title_key", "left").select("title_key", "batch", F.coalesce("in_library", F.lit(False)).alias("in_library")).where("batch > 1 or in_library")
+
+
 def pair_supplements(files: DataFrame) -> DataFrame:
     """(name, paper, reason) for each supplement among ``files`` (name, dois).
 

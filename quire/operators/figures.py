@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text
+from quire.operators.scanners import json_object
 
 #: Characters of a region that can confirm anything, of a string that says something, of a context.
 LEAST_REGION, LEAST_STRING, LONGEST_CONTEXT = 20, 3, 600
@@ -89,3 +90,48 @@ def printed_check(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Seri
 def call_cost(input_tokens: Column, output_tokens: Column, price_in: Column, price_out: Column) -> Column:
     """Dollars of a model call, from prices of a million tokens."""
     return (input_tokens * price_in + output_tokens * price_out) / F.lit(1e6)
+
+
+# The members of a description that claim something of a figure, and of each of its panels.
+_LISTS = ["legend", "printed_text", "printed_numbers", "trends", "features", "uncertain"]
+CLAIMS = (
+    "figure_type string, summary string, uncertain array<string>, relationships array<string>, panels array<struct<label string, kind string, "
+    + ", ".join(f"{c} array<string>" for c in _LISTS)
+    + ", approximate_readings array<struct<what string, value string>>>>"
+)
+
+
+def parse_claims(answer: Column) -> Column:
+    """(problem, claims) of a model's answer: its first JSON object read as claims; null claims where a problem is told.
+
+    The object may have no panels. Lists must be lists of strings or numbers, panels a list of objects; blank strings and
+    readings without both parts are dropped.
+    """
+    body = json_object(answer)
+    v = F.try_parse_json(body)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    text_like = lambda path: kind(path).isin("VOID", "STRING")
+    scalars = lambda path: kind(path).rlike("^(VOID|ARRAY<(VOID|STRING|BIGINT|DOUBLE|DECIMAL.*)>|ARRAY<VARIANT>)$")
+    panels_like = kind("$.panels").rlike("^(VOID|ARRAY<(VOID|OBJECT.*)>)$")
+    problem = (
+        F.when(body.isNull(), "no JSON object")
+        .when(~text_like("$.figure_type") | ~text_like("$.summary"), "a text is not a string")
+        .when(~scalars("$.uncertain") | ~scalars("$.relationships"), "a list is not one of strings")
+        .when(~panels_like, "panels are not a list of objects")
+    )
+    c = F.from_json(body, CLAIMS)
+    kept = lambda values: F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    panel = lambda p: F.struct(
+        F.nullif(F.trim(p["label"]), F.lit("")).alias("label"),
+        F.nullif(F.trim(p["kind"]), F.lit("")).alias("kind"),
+        *(kept(p[n]).alias(n) for n in _LISTS),
+        F.filter(F.coalesce(p["approximate_readings"], F.array().cast("array<struct<what string, value string>>")), lambda r: F.coalesce(F.trim(r["what"]) != "", F.lit(False)) & F.coalesce(F.trim(r["value"]) != "", F.lit(False))).alias("approximate_readings"),
+    )
+    claims = F.struct(
+        F.nullif(F.trim(c["figure_type"]), F.lit("")).alias("figure_type"),
+        F.nullif(F.trim(c["summary"]), F.lit("")).alias("summary"),
+        kept(c["uncertain"]).alias("uncertain"),
+        kept(c["relationships"]).alias("relationships"),
+        F.when(c["panels"].isNotNull(), F.transform(c["panels"], panel)).alias("panels"),
+    )
+    return F.struct(problem.alias("problem"), F.when(problem.isNull(), claims).alias("claims"))

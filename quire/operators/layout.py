@@ -61,6 +61,19 @@ def page_ranges(pages: DataFrame, group: str, page: str) -> DataFrame:
     return pages.select(group, page).distinct().withColumn("_i", island).groupBy(group, "_i").agg(F.min(page).alias("first"), F.max(page).alias("last")).drop("_i")
 
 
+def leading_pages(blocks: DataFrame, doc: str, page: str, most: int = 2) -> DataFrame:
+    """The blocks of each document's first ``most`` pages that have any."""
+    rank = F.dense_rank().over(Window.partitionBy(doc).orderBy(page))
+    return blocks.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def author_line(blocks: DataFrame, doc: str, pos: str, heading: str, body: str) -> DataFrame:
+    """(doc, pos, body): each document's first block behind its first one flagged ``heading`` that isn't one itself."""
+    before = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    rows = blocks.withColumn("_seen", F.max(F.col(heading).cast("int")).over(before)).where(F.col("_seen") == 1).where(~F.col(heading))
+    return rows.groupBy(doc).agg(F.min(pos).alias(pos), F.min_by(body, pos).alias(body))
+
+
 def match_tables(tables: DataFrame, candidates: DataFrame) -> DataFrame:
     """(page, id, match, overlap): each table's candidate of greatest overlap on its page, the later on ties.
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.functions import text
+from quire.functions import ids, text
+from quire.sources.shared import materialize, small_side
 
 #: Column weights, and BM25's saturation and length parameters.
 WEIGHTS = {"title": 10.0, "authors": 5.0, "abstract": 3.0, "body": 1.0, "descriptions": 0.5}
@@ -36,8 +39,8 @@ def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def bm25(rows: DataFrame, key: str, columns: list[str], query: str, k: int, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(key, score): the k best rows for a query, lower scores better; ties to the smaller key.
 
-    Counts phrases in each row's words in place, so that only rows with every phrase leave the scan; the
-    corpus statistics are one small aggregate.
+    Counts phrases in each row's words in place, in one pass over the texts; the corpus statistics are one
+    small aggregate of the counts. ``bm25_index`` answers from stored postings instead.
     """
     phrases = parse(query)
     if not phrases:
@@ -58,38 +61,172 @@ def bm25(rows: DataFrame, key: str, columns: list[str], query: str, k: int, weig
         terms = [add([F.lit(weights[c]) * hits(row[c], p) for c in columns]).alias(f"tf{j}") for j, p in enumerate(phrases)]
         return F.struct(add([F.size(row[c]) for c in columns]).cast("double").alias("d"), *terms)
 
-    counted = rows.select(key, F.element_at(F.transform(F.array(toks), counts), 1).alias("c")).select(key, "c.*")
+    # a narrow table, stored, as both the statistics and the hits are read from it
+    counted = materialize(rows.select(key, F.element_at(F.transform(F.array(toks), counts), 1).alias("c")).select(key, "c.*"), "counted")
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n_all"), F.avg("d").alias("avgdl"), *(F.count_if(F.col(f"tf{j}") > 0).cast("double").alias(f"df{j}") for j in range(len(phrases))))
     hit = counted.where(" and ".join(f"tf{j} > 0" for j in range(len(phrases)))).crossJoin(F.broadcast(stats))  # one row of statistics
+    return _ranked(hit, key, len(phrases), k)
+
+
+def index_terms(rows: DataFrame, key: str, columns: list[str], path: str, buckets: int = 64) -> None:
+    """Store an index of ``rows`` at ``path``: postings in folders by the term's hash, and each row's length.
+
+    A term's postings are one row a document: its places in each field. Terms so frequent that they would fill a
+    task are spread by the adaptive writer.
+    """
+    spots = postings(rows, key, columns).groupBy("term", key, "field").agg(F.sort_array(F.collect_list("pos")).alias("spots"))
+    spots.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+    sizes = [F.size(text.words(F.coalesce(F.col(c), F.lit("")))) for c in columns]
+    rows.select(key, reduce(lambda a, b: a + b, sizes).cast("double").alias("d")).write.parquet(f"{path}/lengths")
+
+
+def bm25_index(spark: SparkSession, key: str, path: str, query: str, k: int, weights: dict[str, float] = WEIGHTS, buckets: int = 64) -> DataFrame:
+    """``bm25`` from an index of ``index_terms``: only the folders of the query's terms are read.
+
+    A phrase is found by its words' places: those of word j, less j, that all of its words share.
+    """
+    phrases = parse(query)
+    lengths = spark.read.parquet(f"{path}/lengths")
+    if not phrases:
+        return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
+    words = sorted({w for p in phrases for w in p})
+    homes = [r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # the query's words
+    found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(homes) & F.col("term").isin(words))
+    per = found.groupBy(key, "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "spots"))).alias("m"))  # as many entries as the query has words
+    spots = lambda w: F.coalesce(F.try_element_at("m", F.lit(w)), F.array().cast("array<int>"))
+    shifted = lambda w, j: F.transform(spots(w), lambda x: x - j)
+    count = lambda p: F.size(reduce(F.array_intersect, [shifted(w, j) for j, w in enumerate(p)])) if len(p) > 1 else F.size(spots(p[0]))
+    weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("field"))
+    counted = per.groupBy(key).agg(*(F.sum(weight * count(p)).alias(f"tf{j}") for j, p in enumerate(phrases)))
+    counted = materialize(counted, "counted")
+    stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n_all"), F.avg("d").alias("avgdl")).crossJoin(counted.agg(*(F.count_if(F.col(f"tf{j}") > 0).cast("double").alias(f"df{j}") for j in range(len(phrases)))))
+    hit = counted.where(" and ".join(f"tf{j} > 0" for j in range(len(phrases)))).join(lengths, key)
+    return _ranked(hit.crossJoin(F.broadcast(stats)), key, len(phrases), k)  # one row of statistics
+
+
+def _ranked(hit: DataFrame, key: str, n: int, k: int) -> DataFrame:
+    """The k best of rows with tf0, tf1, ..., their length d and the corpus's n_all, avgdl and df0, df1, ..."""
     idf = lambda j: F.greatest(F.log((F.col("n_all") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5)), F.lit(1e-6))
     part = lambda j: idf(j) * F.col(f"tf{j}") * (K1 + 1) / (F.col(f"tf{j}") + K1 * (1 - B + B * F.col("d") / F.col("avgdl")))
-    score = part(0)
-    for j in range(1, len(phrases)):
-        score = score + part(j)
-    return hit.select(key, (-score).alias("score")).orderBy("score", key).limit(k)
+    return hit.select(key, (-reduce(lambda a, b: a + b, (part(j) for j in range(n)))).alias("score")).orderBy("score", key).limit(k)
+
+
+def merged(results: list[DataFrame], key: str) -> DataFrame:
+    """Results of several libraries, (library, key, score), in one order; each library keeps its own best k."""
+    out = reduce(lambda a, b: a.unionByName(b), results)
+    return out.orderBy("score", "library", key)
 
 
 def snippet(body: str, query: str, width: int = 12) -> Column:
-    """SQL-side snippet: ``width`` words from the first hit of the query's first word, hits in brackets."""
-    first = [w for p in parse(query) for w in p]
-    marks = ", ".join(f"'{w}'" for w in first)
-    return F.expr(
-        f"element_at(transform(array(split({body}, '\\\\s+')), w -> array_join(transform(slice(w, greatest(1, array_position(transform(w, x -> lower(x) in ({marks})), true) - 2), {width}), x -> if(lower(x) in ({marks}), concat('[', x, ']'), x)), ' ')), 1)"
-    )
+    """``width`` words of a text from a little before its first hit, hits in brackets.
+
+    A word is a hit if one of the words it folds to is a word of the query, whatever marks and punctuation it has.
+    """
+    wanted = F.array(*(F.lit(w) for p in parse(query) for w in p))
+
+    def shown(w: Column) -> Column:
+        hits = F.transform(w, lambda x: F.arrays_overlap(text.words(x), wanted))
+        start = F.greatest(F.lit(1), F.array_position(hits, F.lit(True)).cast("int") - 2)
+        return F.array_join(F.zip_with(F.slice(w, start, width), F.slice(hits, start, width), lambda x, hit: F.when(hit, F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)), " ")
+
+    return F.element_at(F.transform(F.array(F.split(F.col(body), r"\s+")), shown), 1)
 
 
 def lookup(queries: DataFrame, steps: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
-    """(query, directory, status, reason): each query's evidence, the strongest for a directory; else absent.
+    """(query, directory, held, status, reason): each query's evidence, the strongest for a directory; else absent.
 
-    ``steps``, strongest first: status, reason, evidence (value, directory) and the query's column to match.
+    ``steps``, strongest first: status, reason, evidence (value, directory) and the query's column to match, one value or
+    an array. Directories that share a value are one class: its first directory stands for it, and ``held`` counts it, so
+    that copies are never expanded into pairs.
     """
     found = None
     for rank, (status, reason, table, column) in enumerate(steps):
-        hit = queries.where(F.col(column).isNotNull()).join(table.select(F.col("value").alias(column), "directory"), column).select("query", "directory", F.lit(rank).alias("rank"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+        classes = table.where("value is not null").groupBy("value").agg(F.min("directory").alias("directory"), F.count_distinct("directory").alias("held"))
+        value = F.explode(F.col(column)) if isinstance(queries.schema[column].dataType, T.ArrayType) else F.col(column)
+        asked = queries.select("query", value.alias("value")).where("value is not null")
+        hit = asked.join(classes, "value").select("query", "directory", "held", F.lit(rank).alias("rank"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
         found = hit if found is None else found.unionByName(hit)
-    best = found.groupBy("query", "directory").agg(F.min(F.struct("rank", "status", "reason")).alias("b")).select("query", "directory", "b.status", "b.reason")
-    absent = queries.select("query").distinct().join(best.select("query").distinct(), "query", "left_anti").select("query", F.lit(None).cast("long").alias("directory"), F.lit("absent").alias("status"), F.lit("").alias("reason"))
-    return best.unionByName(absent)
+    best = found.groupBy("query", "directory").agg(F.min(F.struct("rank", "status", "reason", "held")).alias("b")).select("query", "directory", "b.held", "b.status", "b.reason")
+    return with_absent(queries, best)
+
+
+def with_absent(queries: DataFrame, best: DataFrame) -> DataFrame:
+    """``best`` with a row ``absent`` for each of the ``queries`` that has no evidence."""
+    none = F.lit(None).cast(best.schema["directory"].dataType)
+    absent = queries.select("query").distinct().join(best.select("query").distinct(), "query", "left_anti").select("query", none.alias("directory"), F.lit(0).cast("long").alias("held"), F.lit("absent").alias("status"), F.lit("").alias("reason"))
+    return best.select("query", "directory", "held", "status", "reason").unionByName(absent)
+
+
+def lookup_library(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """``lookup`` by all evidence there is, strongest first.
+
+    ``queries``: query, sha256, text_sha256, arxiv, arxiv_candidates, doi, doi_candidates, title, author, year, first_page.
+    ``index``: sources (directory, sha256), texts (directory, text_sha256), arxiv (directory, identifier), papers
+    (directory, doi, title_key, title_key_observed, families, year), candidates (directory, doi). Bytes and text come first,
+    then identifiers of the file, identifiers it mentions, similar titles, and titles that the first page prints.
+    """
+    bare = lambda c: F.transform(F.col(c), ids.arxiv_base)
+    asked = queries.withColumns({"_arxiv": ids.arxiv_base(F.col("arxiv")), "_mentioned": bare("arxiv_candidates"), "_doi": F.lower("doi"), "_dois": F.transform("doi_candidates", F.lower)})
+    table = lambda name, column: index[name].select(F.lower(column).alias("value"), "directory")
+    steps = [
+        ("present", "identical bytes", table("sources", "sha256"), "sha256"),
+        ("present", "identical text on every page", table("texts", "text_sha256"), "text_sha256"),
+        ("present", "arXiv identifier", table("arxiv", "identifier"), "_arxiv"),
+        ("present", "validated DOI", table("papers", "doi"), "_doi"),
+        ("related", "the file mentions the paper's arXiv identifier", table("arxiv", "identifier"), "_mentioned"),
+        ("related", "the file mentions the paper's DOI", table("papers", "doi"), "_dois"),
+        ("related", "both mention a DOI", table("candidates", "doi"), "_dois"),
+    ]
+    sure = lookup(asked, steps).where("status <> 'absent'")
+    titled = title_matches(queries, index["papers"]).select("query", "directory", F.lit(1).cast("long").alias("held"), F.lit("candidate").alias("status"), F.lit("similar titles; titles alone never prove identity").alias("reason"))
+    keys = index["papers"].where("title_key <> ''").select(F.col("directory").alias("title_id"), F.col("title_key").alias("key"))
+    pages = queries.where("first_page is not null").select(F.col("query").alias("page_id"), text.title_key(F.col("first_page")).alias("page_key"))
+    printed = printed_titles(keys, pages).select(F.col("page_id").alias("query"), F.col("title_id").alias("directory"), F.lit(1).cast("long").alias("held"), F.lit("candidate").alias("status"), F.lit("the first page prints the paper's title").alias("reason"))
+    weaker = titled.unionByName(printed.join(titled.select("query", "directory"), ["query", "directory"], "left_anti"))
+    return with_absent(queries, sure.unionByName(weaker.join(sure.select("query", "directory"), ["query", "directory"], "left_anti")))
+
+
+#: How far two years may be apart for one paper.
+YEAR_TOLERANCE = 1
+
+
+def title_matches(queries: DataFrame, papers: DataFrame, least: float = 0.8) -> DataFrame:
+    """(query, directory, overlap): papers whose title, validated or observed, has ``least`` of the words' union with a query's.
+
+    ``queries``: query, title, author, year; ``papers``: directory, title_key, title_key_observed, families, year. Where the
+    query names an author, one of the paper's family names must contain it; where both have a year, they must be near.
+    Pairs are found by a prefix filter: the rarest words of two such titles have one in common.
+    """
+    keys = F.array_compact(F.array("title_key", "title_key_observed"))
+    left = queries.where("title is not null").select(F.col("query").alias("id"), text.title_key(F.col("title")).alias("k"))
+    right = papers.select(F.col("directory").alias("id"), F.explode(F.array_distinct(keys)).alias("k"))
+    pairs = _similar(left, right, least, between=True).groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
+    rows = pairs.join(queries.select(F.col("query").alias("a"), "author", F.col("year").alias("_asked")), "a").join(papers.select(F.col("directory").alias("b"), "families", "year"), "b")
+    wanted = text.title_key(F.col("author"))
+    fits = F.col("author").isNull() | F.exists(F.coalesce("families", F.array().cast("array<string>")), lambda f: F.contains(text.title_key(f), wanted))
+    near = F.col("_asked").isNull() | F.col("year").isNull() | (F.abs(F.col("_asked") - F.col("year")) <= YEAR_TOLERANCE)
+    return rows.where(fits & near).select(F.col("a").alias("query"), F.col("b").alias("directory"), "overlap")
+
+
+def _similar(left: DataFrame, right: DataFrame, least: float, between: bool) -> DataFrame:
+    """(a, b, overlap) of rows (id, k) whose blank-separated words overlap by ``least`` of their union; a < b unless ``between``."""
+    split = lambda rows: rows.select("id", F.array_distinct(F.filter(F.split("k", " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0).withColumn("n", F.xxhash64("w"))
+    left = split(left)
+    right = split(right) if between else left
+    words = left.unionByName(right) if between else left
+    rarity = words.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        ranked = rows.select("id", "n", F.size("w").alias("size"), F.explode("w").alias("t")).join(rarity, "t").withColumn("r", F.row_number().over(Window.partitionBy("id", "n").orderBy("often", "t")))
+        return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "n", "size", "t")
+
+    a, b = prefix(left).alias("a"), prefix(right).alias("b")
+    fits = (F.col("a.size") * least <= F.col("b.size")) & (F.col("b.size") * least <= F.col("a.size"))
+    fits = fits if between else fits & (F.col("a.id") < F.col("b.id"))
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & fits).select(F.col("a.id").alias("a"), F.col("a.n").alias("na"), F.col("b.id").alias("b"), F.col("b.n").alias("nb")).distinct()
+    full = lambda rows, c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("w").alias(f"w_{c}"))
+    overlap = F.size(F.array_intersect("w_a", "w_b")) / F.size(F.array_union("w_a", "w_b"))
+    return pairs.join(full(left, "a"), ["a", "na"]).join(full(right, "b"), ["b", "nb"]).select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= least)
 
 
 def similar_titles(rows: DataFrame, key: str, title: str, least: float = 0.8) -> DataFrame:
@@ -97,25 +234,19 @@ def similar_titles(rows: DataFrame, key: str, title: str, least: float = 0.8) ->
 
     Prefix filter: of a title's words, rarest first, one of the first n - ceil(least * n) + 1 must be shared.
     """
-    words = rows.select(F.col(key).alias("id"), F.array_distinct(F.filter(F.split(F.col(title), " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
-    rarity = words.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ranked = words.select("id", F.size("w").alias("size"), F.explode("w").alias("t")).join(rarity, "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("n", "t")))
-    prefix = ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "size", "t")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    fits = (F.col("a.id") < F.col("b.id")) & (F.col("a.size") * least <= F.col("b.size")) & (F.col("b.size") * least <= F.col("a.size"))
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    full = lambda c: words.select(F.col("id").alias(c), F.col("w").alias(f"w_{c}"))
-    overlap = F.size(F.array_intersect("w_a", "w_b")) / F.size(F.array_union("w_a", "w_b"))
-    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= least)
+    return _similar(rows.select(F.col(key).alias("id"), F.col(title).alias("k")), rows, least, between=False)
 
 
 def printed_titles(titles: DataFrame, pages: DataFrame, least_words: int = 4) -> DataFrame:
     """(title_id, page_id): title keys of four words or more that begin at a word of the page's key.
 
     The last word may be a prefix. Titles are found by their first three words, which every page that
-    prints them has as a run; then the whole key is looked for.
+    prints them has as a run; only ids and runs meet, and a page's key joins the pairs found, once a page.
     """
     head = titles.where(F.size(F.split("key", " ")) >= least_words).withColumn("head", F.array_join(F.slice(F.split("key", " "), 1, 3), " "))
     threes = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-    runs = pages.select("page_id", "page_key", F.explode(F.element_at(F.transform(F.array(F.split(F.col("page_key"), " ")), threes), 1)).alias("head"))
-    return runs.join(head, "head").where(F.contains(F.concat(F.lit(" "), "page_key", F.lit(" ")), F.concat(F.lit(" "), "key"))).select("title_id", "page_id").distinct()
+    stored = materialize(pages.select("page_id", "page_key"), "pages")
+    runs = stored.select("page_id", F.explode(F.element_at(F.transform(F.array(F.split(F.col("page_key"), " ")), threes), 1)).alias("head"))
+    pairs = runs.join(small_side(materialize(head, "titles")), "head").groupBy("page_id").agg(F.collect_set(F.struct("title_id", "key")).alias("met"))
+    sure = F.filter("met", lambda t: F.contains(F.concat(F.lit(" "), "page_key", F.lit(" ")), F.concat(F.lit(" "), t["key"])))
+    return stored.join(pairs, "page_id").select(F.explode(sure).alias("t"), "page_id").select("t.title_id", "page_id").distinct()

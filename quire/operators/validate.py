@@ -28,6 +28,14 @@ def finite(number: Column) -> Column:
     return number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
 
 
+def strict_integer(json: Column, name: str, least: int = 1) -> Column:
+    """(value, state): the integer that is a JSON object's only member; accepted from ``least`` on, no booleans or fractions."""
+    v = F.try_parse_json(json)
+    value = F.try_variant_get(v, f"$.{name}", "bigint")
+    good = (F.json_object_keys(json) == F.array(F.lit(name))) & (kind(v, f"$.{name}") == "BIGINT") & (value >= least)
+    return F.struct(value.alias("value"), F.when(good, "accepted").otherwise("rejected").alias("state"))
+
+
 def record_state(records: DataFrame, versions: DataFrame) -> DataFrame:
     """Adds ``state``: current, older or unsupported, by (schema, version) against (schema, oldest, current)."""
     state = F.when(F.col("schema_version") == F.col("current"), "current").when(F.col("schema_version").between(F.col("oldest"), F.col("current")), "outdated").otherwise("unsupported")

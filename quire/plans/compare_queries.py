@@ -112,8 +112,7 @@ def top_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("block_histogram", "SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS user, count(*) FILTER (WHERE role = 'assistant') AS assistant, count(*) FILTER (WHERE role = 'system') AS system, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
 def block_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of blocks of a document, conversations in documents' place."""
-    n = lambda r: F.count_if(F.col("role") == r).alias(r)
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(n("user"), n("assistant"), n("system"), F.sum(F.length("text")).alias("characters"))
+    return compare.histogram(load(spark, sf_dir, "conversations"), "conv_id", "role", ["user", "assistant", "system"], F.length("text"))
 
 
 @query("validation_counts", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'click') AS warnings, count(*) FILTER (WHERE event_type NOT IN ('error', 'click')) AS infos, CASE WHEN bool_or(event_type = 'error') THEN 'fail' WHEN bool_or(event_type = 'click') THEN 'review' ELSE 'pass' END AS status FROM events GROUP BY 1")

@@ -42,7 +42,7 @@ def known_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unknown_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose bytes no document has."""
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("sha256"))
-    return rows.join(load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256")), "sha256", "left_anti").select("conv_id", "turn")
+    return dedup.unknown_sources(rows, load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"))).select("conv_id", "turn")
 
 
 @query(
@@ -111,6 +111,4 @@ def relation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intake_title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title keys that a batch of documents shares with itself or with ``benchmark``."""
     key = text.title_key(text.first_line(F.col("text"))).alias("title_key")
-    batch = load(spark, sf_dir, "documents").select(key).where("title_key <> ''").groupBy("title_key").agg(F.count(F.lit(1)).alias("batch"))
-    library = load(spark, sf_dir, "benchmark").select(key).distinct().withColumn("in_library", F.lit(True))
-    return batch.join(library, "title_key", "left").select("title_key", "batch", F.coalesce("in_library", F.lit(False)).alias("in_library")).where("batch > 1 or in_library")
+    return dedup.intake_titles(load(spark, sf_dir, "documents").select(key), load(spark, sf_dir, "benchmark").select(key))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions import text
-from quire.operators import layout
+from quire.operators import catalog, layout
 from quire.plans.registry import query
 from quire.sources.tables import load
 
@@ -53,15 +52,14 @@ def reference_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leading_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of the first two pages, two turns a page."""
     rows = load(spark, sf_dir, "conversations").withColumn("page", F.expr("turn div 2"))
-    return rows.withColumn("r", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("page"))).where("r <= 2").select("conv_id", "turn", "role")
+    return layout.leading_pages(rows, "conv_id", "page").select("conv_id", "turn", "role")
 
 
 @query("author_hint", "WITH h AS (SELECT conv_id, min(turn) AS h FROM conversations WHERE role = 'user' GROUP BY 1) SELECT c.conv_id, arg_min(length(text), turn) AS characters, min(turn) AS turn FROM conversations c JOIN h USING (conv_id) WHERE turn > h AND role <> 'user' GROUP BY 1")
 def author_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first other block after the first heading, users' turns in headings' place."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = load(spark, sf_dir, "conversations").withColumn("seen", F.max((F.col("role") == "user").cast("int")).over(before))
-    return rows.where("seen = 1 and role <> 'user'").groupBy("conv_id").agg(F.min_by(F.length("text"), "turn").alias("characters"), F.min("turn").alias("turn"))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("heading"), F.length("text").alias("characters"))
+    return layout.author_line(rows, "conv_id", "turn", "heading", "characters").select("conv_id", "characters", "turn")
 
 
 @query(
@@ -119,11 +117,8 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("catalog_order", "SELECT row_number() OVER (ORDER BY coalesce(nullif(c_mktsegment, 'BUILDING'), '~'), (1990 + c_nationkey)::VARCHAR, c_custkey) AS place, c_custkey FROM customer")
 def catalog_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in a catalog by family, year and key: ranks within sorted ranges, added to the ranges' starts."""
-    rows = load(spark, sf_dir, "customer").select(F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("~")).alias("family"), (F.col("c_nationkey") + 1990).cast("string").alias("year"), "c_custkey")
-    counts = rows.groupBy("family", "year").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("family", "year").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("family", "year").orderBy("c_custkey"))
-    return rows.withColumn("r", inside).join(starts, ["family", "year"]).select((F.col("start") + F.col("r")).alias("place"), "c_custkey")
+    rows = load(spark, sf_dir, "customer").select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("family"), (F.col("c_nationkey") + 1990).alias("year"), "c_custkey")
+    return catalog.display_order(rows, "family", "year", "c_custkey").select("place", "c_custkey")
 
 
 @query("box_unions", f"SELECT l_orderkey AS page, round(min(x0), 6) AS x0, round(min(y0), 6) AS y0, round(max(x1), 6) AS x1, round(max(y1), 6) AS y1 FROM (SELECT l_orderkey, {_BOX} FROM lineitem) GROUP BY 1")

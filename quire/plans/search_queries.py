@@ -9,6 +9,7 @@ from quire.functions import text
 from quire.operators import search
 from quire.plans import sql
 from quire.plans.registry import query
+from quire.sources.shared import materialize, new_path
 from quire.sources.tables import load
 
 _W = search.WEIGHTS
@@ -57,29 +58,29 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(load(spark, sf_dir, "benchmark"), "item_id", ["text"]).select("item_id", "pos", "term")
 
 
-_STEPS = """
-    SELECT q.query, d.doc_id AS directory, 0 AS rank, 'present' AS status, 'identical bytes' AS reason FROM q JOIN documents d ON q.h = sha256(d.text)
-    UNION ALL SELECT q.query, d.doc_id, 1, 'present', 'identical text' FROM q JOIN documents d ON q.norm = sha256({squash})
-    UNION ALL SELECT q.query, d.doc_id, 2, 'candidate', 'equal titles; titles alone never prove identity' FROM q JOIN documents d ON q.key = {key} WHERE q.key <> ''
-""".format(squash=sql.squash("d.text"), key=sql.title_key("split_part(d.text, chr(10), 1)"))
+_KEYED = f"sha256(text) AS h, sha256({sql.squash('text')}) AS norm, nullif({sql.title_key(sql.FIRST_LINE)}, '') AS key"
+_STEP = "SELECT q.query, c.directory, {rank} AS rank, c.held, '{status}' AS status, '{reason}' AS reason FROM q JOIN (SELECT {column} AS v, min(doc_id) AS directory, count(DISTINCT doc_id) AS held FROM d GROUP BY 1) c ON q.{column} = c.v"
+_STEPS = " UNION ALL ".join(
+    _STEP.format(rank=i, status=status, reason=reason, column=column)
+    for i, (status, reason, column) in enumerate((("present", "identical bytes", "h"), ("present", "identical text", "norm"), ("candidate", "equal titles; titles alone never prove identity", "key")))
+)
 
 
 @query(
     "lookup_cascade",
     f"""
-    WITH q AS (SELECT 1000000 + item_id AS query, sha256(text) AS h, sha256({sql.squash('text')}) AS norm, {sql.title_key(sql.FIRST_LINE)} AS key FROM benchmark UNION ALL SELECT doc_id, sha256(text), sha256({sql.squash('text')}), {sql.title_key(sql.FIRST_LINE)} FROM documents WHERE source = 'src7'),
-    e AS ({_STEPS}), b AS (SELECT query, directory, status, reason FROM (SELECT *, row_number() OVER (PARTITION BY query, directory ORDER BY rank) AS r FROM e) WHERE r = 1)
-    SELECT * FROM b UNION ALL SELECT query, NULL, 'absent', '' FROM q WHERE query NOT IN (SELECT query FROM b)
+    WITH d AS MATERIALIZED (SELECT doc_id, {_KEYED} FROM documents), q AS (SELECT 1000000000 + item_id AS query, {_KEYED} FROM benchmark UNION ALL SELECT doc_id AS query, h, norm, key FROM d),
+    e AS ({_STEPS}), b AS (SELECT query, directory, held, status, reason FROM (SELECT *, row_number() OVER (PARTITION BY query, directory ORDER BY rank) AS r FROM e) WHERE r = 1)
+    SELECT * FROM b UNION ALL SELECT query, NULL, 0, 'absent', '' FROM q WHERE query NOT IN (SELECT query FROM b)
     """,
 )
 def lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages and one source's documents looked up among all by bytes, text and title."""
-    docs = load(spark, sf_dir, "documents")
-    key = text.title_key(text.first_line(F.col("text")))
-    columns = lambda name: [name.alias("query"), F.sha2("text", 256).alias("sha256"), text.text_digest(F.col("text")).alias("text_sha256"), F.nullif(key, F.lit("")).alias("title_key")]
-    queries = load(spark, sf_dir, "benchmark").select(*columns(F.col("item_id") + 1000000)).unionByName(docs.where("source = 'src7'").select(*columns(F.col("doc_id"))))
-    library = docs.select(F.col("doc_id").alias("directory"), F.sha2("text", 256).alias("sha256"), text.text_digest(F.col("text")).alias("text_sha256"), key.alias("title_key"))
-    table = lambda c: library.select(F.col(c).alias("value"), "directory")
+    """Every passage and every document looked up among the documents by bytes, text and title, a class of copies at a time."""
+    columns = lambda name: [name.alias("query"), F.sha2("text", 256).alias("sha256"), text.text_digest(F.col("text")).alias("text_sha256"), F.nullif(text.title_key(text.first_line(F.col("text"))), F.lit("")).alias("title_key")]
+    # keyed once and stored: documents are both asked and searched by each of the keys
+    docs = materialize(load(spark, sf_dir, "documents").select(*columns(F.col("doc_id"))), "keyed")
+    queries = load(spark, sf_dir, "benchmark").select(*columns(F.col("item_id") + 1000000000)).unionByName(docs)
+    table = lambda c: docs.select(F.col(c).alias("value"), F.col("query").alias("directory"))
     steps = [
         ("present", "identical bytes", table("sha256"), "sha256"),
         ("present", "identical text", table("text_sha256"), "text_sha256"),
@@ -88,6 +89,42 @@ def lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lookup(queries, steps)
 
 
+_PAPERS = "SELECT p_partkey AS directory, '10.1000/p' || p_partkey AS doi, p_name || ' ' || p_partkey // 2 || ' in ' || p_type AS title, p_brand AS family, 1990 + p_size % 30 AS year FROM part"
+
+
+@query(
+    "library_lookup",
+    f"""
+    WITH p AS MATERIALIZED ({_PAPERS}), k AS MATERIALIZED (SELECT directory, year, lower(replace(family, '#', ' ')) AS f, list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM p),
+    q AS (SELECT 100000000 + directory AS query, directory AS own, w, f, year FROM k),
+    t AS (SELECT q.query, k.directory FROM q JOIN k ON k.f LIKE '%' || q.f || '%' AND abs(k.year - q.year) <= 1 WHERE len(list_intersect(q.w, k.w))::DOUBLE / (len(q.w) + len(k.w) - len(list_intersect(q.w, k.w))) >= 0.8),
+    d AS (SELECT query, own AS directory, 'present' AS status, 'validated DOI' AS reason FROM q WHERE own % 2 = 0)
+    SELECT query, directory, 1 AS held, status, reason FROM d
+    UNION ALL SELECT query, directory, 1, 'candidate', 'similar titles; titles alone never prove identity' FROM t WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.query = t.query AND d.directory = t.directory)
+    """,
+)
+def library_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from ``part`` looked up in a library made from it: half of them with a DOI, all with title, author and year."""
+    made = "concat(p_name, ' ', p_partkey div 2, ' in ', p_type)"
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("directory"), F.expr("concat('10.1000/P', p_partkey)").alias("doi"), F.expr(made).alias("title"), F.array("p_brand").alias("families"), F.expr("1990 + p_size % 30").alias("year"))
+    papers = parts.select("directory", F.lower("doi").alias("doi"), text.title_key(F.col("title")).alias("title_key"), F.lit(None).cast("string").alias("title_key_observed"), "families", "year")
+    none = F.lit(None).cast("string")
+    empty = F.array().cast("array<string>")
+    asked = parts.select((F.col("directory") + 100000000).alias("query"), none.alias("sha256"), none.alias("text_sha256"), none.alias("arxiv"), empty.alias("arxiv_candidates"), F.expr("if(directory % 2 = 0, doi, null)").alias("doi"), empty.alias("doi_candidates"), "title", F.get("families", F.lit(0)).alias("author"), "year", none.alias("first_page"))
+    blank = lambda column: papers.where("false").select("directory", none.alias(column))
+    index = {"sources": blank("sha256"), "texts": blank("text_sha256"), "arxiv": blank("identifier"), "candidates": blank("doi"), "papers": papers}
+    return search.lookup_library(asked, index)
+
+
+@query("indexed_search", _bm25_sql([["apache", "license"], ["the"]], 20))
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrase query answered from a stored index of the documents: folders of the query's terms alone are read."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", text.first_line(F.col("text")).alias("title"), F.col("text").alias("body"))
+    path = new_path(spark, "index")
+    search.index_terms(rows, "doc_id", ["title", "body"], path)
+    return search.bm25_index(spark, "doc_id", path, '"Apache License" the', 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
 _TITLES = f"SELECT min(doc_id) AS id, k FROM (SELECT doc_id, {sql.title_key(sql.FIRST_LINE)} AS k FROM documents) WHERE k <> '' GROUP BY k"
 
 

@@ -1,6 +1,6 @@
 """Pieces of DuckDB SQL that several oracles share."""
 
-SQUASH = "trim(regexp_replace({x}, '[\\s\\v\\p{{Z}}]+', ' ', 'g'))"
+SQUASH = "trim(regexp_replace(nfc_normalize({x}), '[\\s\\v\\p{{Z}}]+', ' ', 'g'))"
 FOLD = "replace(lower(strip_accents({x})), 'ß', 'ss')"
 TITLE_KEY = "regexp_replace(trim(regexp_replace(" + FOLD + ", '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '^(a|an|the) ', '')"
 WORDS = "regexp_extract_all(" + FOLD + ", '[\\p{{L}}\\p{{N}}]+')"

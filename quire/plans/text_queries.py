@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids, text
-from quire.operators import export, identity
+from quire.operators import export, identity, records, validate
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -15,7 +15,7 @@ from quire.sources.tables import load
 @query("text_digest", f"SELECT doc_id, length({sql.squash('text')}) AS characters, sha256({sql.squash('text')}) AS text_sha256 FROM documents")
 def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's normalised length and digest."""
-    norm = text.squash(F.col("text"))
+    norm = text.normalized(F.col("text"))
     return load(spark, sf_dir, "documents").select("doc_id", F.length(norm).alias("characters"), F.sha2(norm, 256).alias("text_sha256"))
 
 
@@ -50,15 +50,15 @@ def stable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", ids.stable_shard(F.col("o_orderkey").cast("string"), 7).alias("shard"))
 
 
-_DOIS = "'See https://doi.org/10.' || (1000 + p_partkey) || '/' || upper(replace(p_name, ' ', '.')) || '.' || p_size || '), also 10.1000/' || p_partkey || '; arXiv:2101.' || lpad(p_partkey::VARCHAR, 5, '0') || 'v2 and 10.1000/' || p_partkey || '.'"
+_DOIS = "'See https://doi.org/10.' || (1000 + p_partkey % 100000000) || '/' || upper(replace(p_name, ' ', '.')) || '.' || p_size || '), also 10.1000/' || p_partkey || '; arXiv:2101.' || lpad((p_partkey % 100000)::VARCHAR, 5, '0') || 'v2 and 10.1000/' || p_partkey || '.'"
 
 
 @query(
     "doi_candidates",
     f"""
-    WITH t AS (SELECT p_partkey, {_DOIS} AS text FROM part WHERE p_partkey < 100000),
-    d AS (SELECT p_partkey, text, list_transform(regexp_extract_all(text, '10\\.\\d{{4,9}}/[^\\s"<>]+'), lambda x: lower(regexp_replace(x, '[.,;:)\\]}}''"]+$', ''))) AS found FROM t)
-    SELECT p_partkey, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ' ') AS dois, regexp_extract(text, '(?i)arXiv:\\s*(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?)', 1) AS arxiv,
+    WITH t AS (SELECT p_partkey, {_DOIS} AS text FROM part),
+    d AS (SELECT p_partkey, text, list_transform(regexp_extract_all(text, '10\\.\\d{{4,9}}/[^\\s"<>]+'), lambda x: regexp_replace(x, '[.,;:)\\]}}''"]+$', '')) AS found FROM t)
+    SELECT p_partkey, array_to_string(list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: lower(y)), lower(x)) = i), ' ') AS dois, regexp_extract(text, '(?i)arXiv:\\s*(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?)', 1) AS arxiv,
         lower(regexp_replace(regexp_extract(text, '(?i)arXiv:\\s*(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?)', 1), 'v\\d+$', '')) AS base FROM d
     """,
 )
@@ -70,11 +70,12 @@ def doi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join(ids.doi_candidates(F.col("text")), " ").alias("dois"), arxiv.alias("arxiv"), ids.arxiv_base(arxiv).alias("base"))
 
 
-@query("normalized_dois", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE '10.' || (1000 + o_custkey) || '/' || lower(o_orderpriority) END AS doi FROM (SELECT * FROM orders WHERE strpos(o_orderpriority, ' ') = 0)")
+@query("normalized_dois", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE '10.' || (1000 + o_custkey % 100000000) || '/' || lower(replace(o_orderpriority, ' ', '_')) END AS doi FROM orders")
 def normalized_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOIs with prefixes, capitals and stray punctuation made from ``orders``, normalised; a third are none."""
-    made = F.expr("case o_orderkey % 3 when 0 then concat(' https://doi.org/10.', 1000 + o_custkey, '/', o_orderpriority, ').') when 1 then concat('DOI: 10.', 1000 + o_custkey, '/', o_orderpriority, ',') else concat('11.', o_custkey, '/x') end")
-    return load(spark, sf_dir, "orders").where("instr(o_orderpriority, ' ') = 0").select("o_orderkey", ids.normalize_doi(made).alias("doi"))
+    body = "1000 + o_custkey % 100000000, '/', replace(o_orderpriority, ' ', '_')"
+    made = F.expr(f"case o_orderkey % 3 when 0 then concat(' https://doi.org/10.', {body}, ').') when 1 then concat('DOI: 10.', {body}, ',') else concat('11.', o_custkey, '/x') end")
+    return load(spark, sf_dir, "orders").select("o_orderkey", ids.normalize_doi(made).alias("doi"))
 
 
 @query("plausible_titles", f"SELECT doc_id, length(regexp_replace({sql.FIRST_LINE}, '[^\\p{{L}}]', '', 'g')) >= 3 AND NOT regexp_matches({sql.FIRST_LINE}, '(?i)\\.(?:pdf|docx?|tex|dvi|indd|qxd)\\b|^microsoft word|^untitled|^doi:|^10\\.\\d{{4}}|^arxiv:') AS plausible FROM documents")
@@ -90,7 +91,7 @@ def supplement_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.supplement_name(name).alias("supplement"))
 
 
-@query("filename_dois", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '10.1103/physreva.' || (o_orderkey % 90) || '.' || o_custkey WHEN 1 THEN '10.1364/ao.' || (o_orderkey % 90) || '.' || lpad(o_custkey::VARCHAR, 6, '0') WHEN 2 THEN '10.48550/arxiv.2101.' || lpad((o_custkey % 100000)::VARCHAR, 5, '0') ELSE '' END AS dois FROM orders WHERE o_custkey < 1000000")
+@query("filename_dois", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '10.1103/physreva.' || (o_orderkey % 90) || '.' || o_custkey WHEN 1 THEN '10.1364/ao.' || (o_orderkey % 90) || '.' || lpad((o_custkey % 1000000)::VARCHAR, 6, '0') WHEN 2 THEN '10.48550/arxiv.2101.' || lpad((o_custkey % 100000)::VARCHAR, 5, '0') ELSE '' END AS dois FROM orders")
 def filename_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOIs of publishers' file names made from ``orders``."""
     name = F.expr("case o_orderkey % 4 when 0 then concat('PhysRevA.', o_orderkey % 90, '.', o_custkey, '.pdf') when 1 then concat('ao-', o_orderkey % 90, '-3-', o_custkey % 1000000, '.PDF') when 2 then concat('2101.', lpad(cast(o_custkey % 100000 as string), 5, '0'), 'v3.pdf') else concat('scan ', o_custkey, '.pdf') end")
@@ -121,11 +122,8 @@ def unmapped_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("strict_props", "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, CASE WHEN json_keys(props::JSON) = ['k'] AND json_type(props::JSON, '$.k') IN ('UBIGINT', 'BIGINT') AND (props::JSON ->> 'k')::BIGINT >= 1 THEN 'accepted' ELSE 'rejected' END AS state FROM events")
 def strict_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events' properties checked for exactly one key, an integer of 1 or more."""
-    rows = load(spark, sf_dir, "events")
-    v = F.try_parse_json(F.col("props"))
-    exact = (F.json_object_keys("props") == F.array(F.lit("k"))) & (F.schema_of_variant(F.variant_get(v, "$.k", "variant")) == "BIGINT")
-    k = F.try_variant_get(v, "$.k", "bigint")
-    return rows.select("event_id", k.alias("k"), F.when(exact & (k >= 1), "accepted").otherwise("rejected").alias("state"))
+    rows = load(spark, sf_dir, "events").select("event_id", validate.strict_integer(F.col("props"), "k").alias("r"))
+    return rows.select("event_id", F.col("r.value").alias("k"), "r.state")
 
 
 @query("page_selections", "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_concat(range(l_linenumber, l_linenumber + 3), [l_suppkey % 20 + 1]))), ',') AS pages FROM lineitem")
@@ -233,4 +231,5 @@ def title_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def registry_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records made from ``customer``, one row a field."""
-    return load(spark, sf_dir, "customer").select("c_custkey", F.expr("stack(3, 'title', c_name, 'journal', nullif(c_mktsegment, 'BUILDING'), 'year', cast(c_nationkey as string)) as (field, value)")).withColumn("status", F.when(F.col("value").isNull(), "MISSING").otherwise("REGISTRY"))
+    rows = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("title"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("journal"), F.col("c_nationkey").alias("year"))
+    return records.flatten(rows, "c_custkey", ["title", "journal", "year"])

@@ -13,7 +13,7 @@ def column(spark, values, expression):
 
 
 def test_title_key(spark):
-    cases = {"The": "the", "The Étude: ﬁne—Straße": "etude ﬁne strasse", "A  b": "b", "An": "an", "": "", "x2 Ångström": "x2 angstrom"}
+    cases = {"The": "the", "The Étude: ﬁne—Straße": "etude fine strasse", "Ｆｕｌｌ ½": "full 1 2", "Việt Nam ά": "viet nam α", "İ ǅ": "i dz", "A  b": "b", "An": "an", "": "", "x2 Ångström": "x2 angstrom"}
     assert column(spark, list(cases), text.title_key(F.col("x"))) == list(cases.values())
 
 
@@ -24,15 +24,16 @@ def test_ascii_fold(spark):
 def test_identifiers(spark):
     assert column(spark, ["https://doi.org/10.1000/AbC).", "doi: 10.1/x", "DOI:10.1234/a;"], ids.normalize_doi(F.col("x"))) == ["10.1000/abc", None, "10.1234/a"]
     assert column(spark, ["10.1000/a, 10.1000/A; 10.12345/b."], ids.doi_candidates(F.col("x"))) == [["10.1000/a", "10.12345/b"]]
+    assert column(spark, ["see 10.1000/AbC; again 10.1000/abc"], ids.doi_candidates(F.col("x"))) == [["10.1000/AbC"]]
     assert column(spark, ["arXiv:2206.01062v2", "hep-th/9901001"], ids.arxiv_base(F.col("x"))) == ["2206.01062", "hep-th/9901001"]
 
 
 @pytest.mark.parametrize(
     ("name", "doi"),
     [
-        ("PhysRevA.13.1422-2.pdf", "10.1103/physreva.13.1422"), ("ao-47-17-3143.pdf", "10.1364/ao.47.003143"), ("s41598-018-34641-y.pdf", "10.1038/s41598-018-34641-y"), ("rspa.1920.0020.pdf", "10.1098/rspa.1920.0020"),
-        ("jp980221f.pdf", "10.1021/jp980221f"), ("tf9686401776.pdf", "10.1039/tf9686401776"), ("bbpc.19920960517.pdf", "10.1002/bbpc.19920960517"), ("bf00504004.pdf", "10.1007/bf00504004"),
-        ("1-s2.0-S0092640X83710132-main.pdf", "10.1016/0092-640x(83)71013-2"), ("2206.01062v2.pdf", "10.48550/arxiv.2206.01062"), ("978-3-030-84632-9.pdf", "10.1007/978-3-030-84632-9"),
+        ("PhysRevLett.88.123456-1.pdf", "10.1103/physrevlett.88.123456"), ("ol-30-2-77.pdf", "10.1364/ol.30.000077"), ("s12345-020-98765-x.pdf", "10.1038/s12345-020-98765-x"), ("rsta.2011.0099.pdf", "10.1098/rsta.2011.0099"),
+        ("ja123456b.pdf", "10.1021/ja123456b"), ("ab2001123456.pdf", "10.1039/ab2001123456"), ("andp.190512345678.pdf", "10.1002/andp.190512345678"), ("bf12345678.pdf", "10.1007/bf12345678"),
+        ("x-S0123456785123456-y.pdf", "10.1016/0123-4567(85)12345-6"), ("1905.12345v3.pdf", "10.48550/arxiv.1905.12345"), ("978-0-12-345678-9_2.pdf", "10.1007/978-0-12-345678-9"), ("oe-9-1-1234567.pdf", "10.1364/oe.9.1234567"),
     ],
 )
 def test_filename_dois(spark, name, doi):
@@ -72,7 +73,27 @@ def test_tables(spark):
     grid = html.table_grid("<table><tr><td rowspan=2>a<td colspan=2>b</tr><tr><td>c<td>d &amp; e</tr></table>")
     assert [(c["row"], c["column"], c["text"]) for c in grid["cells"]] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (1, 2, "d & e")]
     assert (grid["rows"], grid["columns"], grid["problems"]) == (2, 3, [])
-    assert html.table_grid("<table><tr><td>a<td>b</tr><tr><td colspan=x>c</tr></table>")["problems"] == ["invalid colspan attribute 'x' treated as 1", "rows of different lengths"]
+    assert html.table_grid("<table><tr><td>a<td>b</tr><tr><td colspan=x>c</tr></table>")["problems"] == ["colspan 'x' is no span; 1 is taken", "row 2 has 1 of 2 columns"]
+    long = html.table_grid("<table><tr><td rowspan=3>a</td><td>b</td></tr><tr><td>c</td></tr></table>")
+    assert (long["rows"], long["cells"][0]["row_span"], long["problems"]) == (3, 3, ["spans go down to row 3 of 2"])
+    wide = html.table_grid("<table><tr><td colspan=1000000000>a</td></tr><tr><td rowspan=2>x<table><tr><td>in</td></tr></table></td></tr><tr><td>c</td></tr></table><table><tr><td>no</td></tr></table>")
+    assert [(c["row"], c["column"], c["text"]) for c in wide["cells"]] == [(0, 0, "a"), (1, 0, "xin"), (2, 1, "c")]
+    assert wide["problems"] == ["row 2 has 1 of 1000000000 columns", "row 3 has 2 of 1000000000 columns"]
+
+
+def test_clean_title(spark):
+    cases = {"On <i>N</i><sub>2</sub> &amp; H_{2}[?]*": "On N2 & H2", "Decay of [alpha] and \\Beta-rays &#233;&#x3b1;": "Decay of α and Β-rays éα", "  Plain † ": "Plain", "a &unknown; b": "a &unknown; b"}
+    assert column(spark, list(cases), text.clean_title(F.col("x"))) == list(cases.values())
+    assert column(spark, [r"\mathrm{CO}_{2} \varphi"], text.math_as_text(F.col("x"))) == ["CO2φ"]
+
+
+def test_text_digest(spark):
+    import hashlib
+    import unicodedata
+
+    once = "Étude  de\u00a0la\tlumière"
+    want = hashlib.sha256(" ".join(unicodedata.normalize("NFC", once).split()).encode()).hexdigest()
+    assert column(spark, [once, unicodedata.normalize("NFD", once)], text.text_digest(F.col("x"))) == [want, want]
 
 
 def test_furniture(spark):

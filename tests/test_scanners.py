@@ -6,9 +6,9 @@ from quire.operators import export, scanners
 
 
 def test_latex():
-    assert scanners.latex_problems(r"\frac{a}{b} \left( x \right)") == []
-    assert scanners.latex_problems(r"}{ \{ \left( \begin{a}\end{b}") == ["closing brace without an opening brace", "1 unclosed brace(s)", "1 \\left versus 0 \\right", "\\end{b} without matching \\begin"]
-    assert scanners.latex_problems(r"\begin{x}") == ["\\begin{x} without matching \\end"]
+    assert scanners.latex_problems(r"\frac{a}{b} \left( x \right) \{ \\\\ \leftarrow") == []
+    assert scanners.latex_problems(r"}{ \{ \left( \begin{a}\end{b}") == ["a brace closes that was not opened", "open braces at the end: 1", "left delimiters: 1, right ones: 0", "environment b ends where a is open"]
+    assert scanners.latex_problems(r"\begin{x}") == ["environment x does not end"]
 
 
 def test_json():
@@ -19,6 +19,8 @@ def test_json():
 def test_references():
     text = "See Supplementary Figure 2, Table S3b and the Supporting Information."
     assert [(r["kind"], r["number"]) for r in scanners.supplement_references(text)] == [("figure", "2"), ("table", "3b"), ("document", "")]
+    text_2 = "Suppl. Fig. 3, fig. s2 and Fig. (S1), but not Fig. 4; supplementary note (7)."
+    assert [(r["kind"], r["number"]) for r in scanners.supplement_references(text_2)] == [("figure", "3"), ("figure", "2"), ("figure", "1"), ("section", "7")]
     assert scanners.linked(text, {("table", "3b"): "si.md#t3"}) == "See Supplementary Figure 2, [Table S3b](si.md#t3) and the Supporting Information."
 
 
