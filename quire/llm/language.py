@@ -39,9 +39,8 @@ def trigrams(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray
     codes, counts, letters = [], [], []
     table = letter_table()
     for t in texts:
-        x = table[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
-        x = x[np.flatnonzero((x[1:] != 0) | (x[:-1] != 0)) + 1] if len(x) > 1 else x
-        x = np.concatenate(([0], x, [0])).astype(np.int64)
+        x = np.concatenate(([0], table[np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)], [0])).astype(np.int64)
+        x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]
         letters.append(bool(x.any()))
         some, n = np.unique((x[:-2] << (2 * BITS)) | (x[1:-1] << BITS) | x[2:], return_counts=True)
         codes.append(some)

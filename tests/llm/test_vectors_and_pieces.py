@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quire.llm import hashing, segmentation, topk
+from brute import classes, statistics
+from quire.llm import hashing, line_dedup, mixing, segmentation, topk
 
 
 def test_top_k(spark):
@@ -74,23 +75,52 @@ def test_round_trip(docs, edge, none):
     assert segmentation.encode(none).count() == 0
 
 
+def _plain_lines(rows):
+    """Texts without the lines that over RATIO of their source's pages, and LEAST_PAGES at least, hold."""
+    pages, often = Counter(), Counter()
+    bare = lambda x: x.strip(" \t\n\x0b\f\r")
+    for r in rows:
+        pages[r.source] += 1
+        often.update({(r.source, bare(x)) for x in (r.text or "").split("\n") if bare(x)})
+    bad = {k for k, n in often.items() if n >= line_dedup.LEAST_PAGES and n > line_dedup.RATIO * pages[k[0]]}
+    return {r.doc_id: None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, bare(x)) not in bad) for r in rows}
+
+
 def test_stages(spark, docs):
-    """Each stage keeps or changes its own input as its operator says."""
+    """Each stage against a plain version of it over its own input, and all in a row."""
     sf_dir = "/root/testdata/sf0.001"
-    rows = docs
+    rows, seen = docs, {}
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, rows, sf_dir)
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns, name
             out = out.cache()
-            ids = {r.doc_id for r in out.select("doc_id").collect()}
-            assert ids <= {r.doc_id for r in rows.select("doc_id").collect()}
-            if name == "line_dedup":
-                assert out.count() == rows.count()
-            if name in ("quality_rules", "near_dedup"):
-                assert len(ids) == out.count() < rows.count()
+        seen[name] = ({r.doc_id: r for r in rows.collect()}, out.collect())
         rows = out
-    assert Counter(r.doc_id for r in rows.collect()) == Counter(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect())
+    before, after = seen["quality_rules"]
+    found = {i: statistics(r.text) for i, r in before.items()}
+    fails = {i for i, (n, _, _, _, again) in found.items() if n < 50 or 100 * again > 50 * n}
+    ids = {r.doc_id for r in after}
+    assert not ids & fails and len(ids) == len(after) and len(set(before) - fails - ids) < 0.1 * len(before)
+    before, after = seen["line_dedup"]
+    assert {r.doc_id: r.text for r in after} == _plain_lines(before.values())
+    assert all(r.n_chars == len(r.text) for r in after)
+    before, after = seen["near_dedup"]
+    assert sorted(r.doc_id for r in after) == sorted(i for i, (n, least) in classes({i: r.text for i, r in before.items()}, 80).items() if i == least or not n)
+    assert all(r == before[r.doc_id] for r in after)
+    before, after = seen["mixing"]
+    taken = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(list(before.values()), docs.schema)).collect()}
+    words_of = Counter()
+    for r in after:
+        whole, part = before[r.doc_id].text.split(), r.text.split()
+        assert whole[: len(part)] == part
+        words_of[r.doc_id] += len(part)
+    assert words_of == Counter({i: n for i, n in taken.items() if n})
+    before, after = seen["sentencepiece"]
+    copies = Counter((r.doc_id, r.text) for r in seen["mixing"][1])
+    back = Counter((r.doc_id, r.text) for r in segmentation.decode(rows).collect() if r["rank"] == 1)
+    assert back == copies
+    assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect())
 
 
 def test_stages_edges(spark, edge, none):
