@@ -1,4 +1,9 @@
-"""Documents through the corpus stages in order: each stage's rows are written and read again as the next one's."""
+"""Documents through the corpus stages in order: each stage's rows are written and read again as the next one's.
+
+Every stage takes all rows of ``docs``, whatever their columns: nulls in any column, repeated rows, empty and very long
+texts and empty tables have a result, which each docstring states. All stages but the last return the columns of ``docs``,
+extra ones and clashing names included, with the values that they had.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +17,45 @@ from quire.sources.tables import load
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects; rows that repeat a doc_id stay or go by their own text."""
+    """Documents that no quality rule rejects.
+
+    Each row stays or goes by its own text, so repeated rows fare alike; null, empty and wordless texts go. Rules are learned
+    from the rows with labels; without any, only the base rule rejects.
+    """
     return quality.accepted(docs, load(spark, sf_dir, "labels"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that too many documents of their source share."""
+    """All documents, without the lines that too many documents of their source share.
+
+    No row goes. Null texts stay null, a null source is a source of its own, and repeated rows count as pages each.
+    """
     return line_dedup.cleaned(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, that of the smallest doc_id.
+
+    Of several such rows the one whose other columns come first stays; a null id counts last. Null, empty and wordless texts
+    are duplicates of nothing and stay.
+    """
     return near_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in part where it takes a part.
+
+    A null source is a source of its own, last in order. Null, empty and wordless texts have no words to take and go. Which of
+    several rows alike is taken doesn't matter; reruns agree.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document: doc_id, rank, ids, log_prob, perturbed, inclusion."""
+    """Two sampled segmentations of each document: doc_id, rank, ids, log_prob, perturbed, inclusion.
+
+    Repeated rows have as many. A null text has null ids, an empty one a single empty segmentation.
+    """
     return segmentation.encode(docs)
 
 

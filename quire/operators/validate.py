@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.shared import small_side
+
 
 def exact_keys(json: Column, keys: list[str]) -> Column:
     """Whether a JSON object has exactly these keys."""
@@ -39,7 +41,7 @@ def strict_integer(json: Column, name: str, least: int = 1) -> Column:
 def record_state(records: DataFrame, versions: DataFrame) -> DataFrame:
     """Adds ``state``: current, older or unsupported, by (schema, version) against (schema, oldest, current)."""
     state = F.when(F.col("schema_version") == F.col("current"), "current").when(F.col("schema_version").between(F.col("oldest"), F.col("current")), "outdated").otherwise("unsupported")
-    return records.join(F.broadcast(versions), "schema", "left").withColumn("state", F.when(F.col("current").isNull(), "unsupported").otherwise(state)).drop("oldest", "current")
+    return records.join(small_side(versions), "schema", "left").withColumn("state", F.when(F.col("current").isNull(), "unsupported").otherwise(state)).drop("oldest", "current")
 
 
 def integrity(listed: DataFrame, found: DataFrame) -> DataFrame:

@@ -89,8 +89,8 @@ _PAPERS = f"SELECT doc_id AS id, doc_id AS directory, CASE WHEN doc_id % 3 = 0 T
 @query(
     "library_relations",
     f"""
-    WITH p AS ({_PAPERS}), work AS (SELECT DISTINCT a.id, b.directory FROM p a JOIN p b ON a.doi = b.doi AND a.directory <> b.directory),
-    twin AS (SELECT DISTINCT a.id, b.directory FROM p a JOIN p b ON a.title_key = b.title_key AND a.family = b.family AND a.year = b.year AND a.directory <> b.directory WHERE a.title_key <> '' EXCEPT SELECT * FROM work)
+    WITH p AS ({_PAPERS}), work AS (SELECT a.id, min(b.directory) AS directory FROM p a JOIN p b ON a.doi = b.doi AND a.directory <> b.directory GROUP BY 1),
+    twin AS (SELECT a.id, min(b.directory) AS directory FROM p a JOIN p b ON a.title_key = b.title_key AND a.family = b.family AND a.year = b.year AND coalesce(a.doi, a.directory::VARCHAR) <> coalesce(b.doi, b.directory::VARCHAR) WHERE a.title_key <> '' GROUP BY 1)
     SELECT id, directory, 'same_work' AS relation FROM work UNION ALL SELECT id, directory, 'possible_duplicate' FROM twin
     """,
 )

@@ -12,8 +12,15 @@ DEFAULT_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI: ``spark.checkpoint.dir``, or a local default where it is unset."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_SHARED).rstrip("/")
+    """The shared folder's URI: ``spark.checkpoint.dir``, or in local mode a default where that is unset.
+
+    On a cluster there is no default: what one machine writes below its own folders, the others can't read.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (folder or DEFAULT_SHARED).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
