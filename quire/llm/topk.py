@@ -1,9 +1,11 @@
 """Exact top-k inner products by ball trees.
 
-Vectors are dealt to shards of bounded size, and each shard becomes a ball tree kept as one binary value.
-Queries go in blocks; a block meets every shard in a task of its own. A search takes the node of greatest
-upper bound q.c + |q| r first and ends when that is below the query's kth score so far. Each block first
-searches one shard, and what it finds there is the kth score that all its other searches start from.
+Vectors are dealt to clusters round centres that are learned from a bounded sample, and within a cluster to shards of
+bounded size; each shard becomes a ball tree kept as one binary value. Queries go in blocks of one cluster. A block first
+searches one shard of its own cluster: its kth score so far is what all its other searches start from, and clusters
+whose ball can't reach it for any query of the block are never met. A search takes the node of greatest upper bound
+q.c + |q| r first and ends when that is below the query's kth score so far. Clusters and their order decide the work,
+never the result: every vector is in a shard, and only what a bound excludes is passed over.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ from quire.sources.shared import materialize
 
 #: Numbers in a shard and in a block of queries (their rows: this over the dimension), and rows of a leaf.
 SHARD_VALUES, BLOCK_VALUES, LEAF = 1 << 18, 1 << 14, 64
+#: Clusters of a dimension, and about how many vectors their centres are learned from.
+CLUSTERS, SAMPLE, STEPS = 64, 8192, 8
+#: Shards that a cluster holds on average at least: smaller clusters would be pruned more often, but leave blocks and shards half empty.
+SHARDS_EACH = 4
+#: Vectors handed to Python at a time where only their clusters are told.
+ORDER_ROWS = 4096
 #: Rows of tree and queries handed to Python at a time.
 PAIR_ROWS = 4
 #: Above this, float64 sums may round; integers are then used.
@@ -91,6 +99,63 @@ def search(tree: dict[str, np.ndarray], vectors: np.ndarray, ids: np.ndarray, ro
     return best
 
 
+def centres(sample: np.ndarray, k: int) -> np.ndarray:
+    """Up to ``k`` centres of a sample: far points first, then means of what is nearest to each."""
+    points = sample.astype(np.float64)
+    found = [points[0]]
+    away = ((points - found[0]) ** 2).sum(axis=1)
+    while len(found) < k and away.max() > 0:
+        found.append(points[away.argmax()])
+        away = np.minimum(away, ((points - found[-1]) ** 2).sum(axis=1))
+    table = np.array(found)
+    for _ in range(STEPS):
+        own = _nearest(points, table)
+        table = np.array([points[own == c].mean(axis=0) if (own == c).any() else table[c] for c in range(len(table))])
+    return table
+
+
+def _nearest(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return ((table * table).sum(axis=1) - 2 * (points @ table.T)).argmin(axis=1)
+
+
+def _assigned(tables: dict[int, np.ndarray]):
+    """Adds each vector's cluster, and its distance from the cluster's centre."""
+
+    def run(batches):
+        for batch in batches:
+            dims = batch["dim"].to_numpy(zero_copy_only=False)
+            cluster, away = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
+                if d in tables:
+                    at = np.flatnonzero(dims == d)
+                    points = np.array(batch["v"].take(pa.array(at)).to_pylist(), np.int64).astype(np.float64)
+                    cluster[at] = _nearest(points, tables[d])
+                    away[at] = np.sqrt(((points - tables[d][cluster[at]]) ** 2).sum(axis=1))
+            yield batch.append_column("cluster", pa.array(cluster)).append_column("away", pa.array(away))
+
+    return run
+
+
+def _in_reach(balls: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """For each block of queries the clusters that may hold a score at or above a query's kth so far."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                dim, own, block = (batch[c][i].as_py() for c in ("dim", "cluster", "block"))
+                q = dict(np.load(io.BytesIO(batch["queries"][i].as_py())))
+                points = q["vectors"].astype(np.float64)
+                clusters, table, radii = balls[dim]
+                length = np.sqrt((points * points).sum(axis=1))[:, None]
+                bounds = points @ table.T + length * radii
+                bounds += 1e-9 * (np.abs(bounds) + length * radii + 1) + 1e-6
+                near = (bounds >= np.where(q["known"], q["least"], np.iinfo(np.int64).min)[:, None]).any(axis=0)
+                other = clusters[near]
+                yield pa.record_batch({"dim": pa.array([dim] * len(other), pa.int32()), "cluster": pa.array([own] * len(other), pa.int32()), "block": pa.array([block] * len(other), pa.int64()), "other": pa.array(other, pa.int32())})
+
+    return run
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -107,7 +172,7 @@ def _tree(table: pa.Table) -> pa.Table:
     tree = build(vectors)
     order = tree.pop("order")
     blob = _pack(**tree, vectors=vectors[order], ids=ids[order], rows=rows[order])
-    return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "tree": pa.array([blob], pa.binary())})
+    return pa.table({"dim": table["dim"][:1], "other": table["cluster"][:1], "shard": table["shard"][:1], "tree": pa.array([blob], pa.binary())})
 
 
 def _block(k: int):
@@ -115,7 +180,7 @@ def _block(k: int):
         vectors, ids, rows = _columns(table)
         least = table["least"].to_pylist()
         blob = _pack(vectors=vectors, ids=ids, rows=rows, least=np.array([x or 0 for x in least], np.int64), known=np.array([x is not None for x in least], bool))
-        return pa.table({"dim": table["dim"][:1], "block": table["block"][:1], "queries": pa.array([blob], pa.binary())})
+        return pa.table({"dim": table["dim"][:1], "cluster": table["cluster"][:1], "block": table["block"][:1], "queries": pa.array([blob], pa.binary())})
 
     return run
 
@@ -144,29 +209,46 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: str = "vec_id % 50 = 0", sca
     holds; candidates are all rows but the query's own, a repeated vec_id's other rows included. Returns
     query_id, rank (from 1), vec_id, score; equal scores go to the smaller vec_id. Vectors that are null,
     or hold null or non-finite components, take no part, nor do rows without a vec_id; vectors only meet
-    those of their own dimension, and an empty vector none. An empty table gives an empty result.
+    those of their own dimension, and an empty vector none. Scores have 64 bits and wrap beyond. An empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     x = F.col("embedding").cast("array<double>")
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
     rows = materialize(sound.select("vec_id", F.monotonically_increasing_id().alias("row"), F.expr(f"transform(x, c -> cast(floor({scale} * c) as bigint))").alias("v"), F.expr("size(x)").alias("dim")), "vectors")
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.expr(f"count_if({is_query})").alias("m"))
-    sizes = sizes.select("dim", F.expr(f"ceil(n / greatest({SHARD_VALUES} div dim, 64))").alias("shards"), F.expr(f"greatest(1, ceil(m / greatest({BLOCK_VALUES} div dim, 8)))").alias("blocks"))
-    dealt = rows.join(sizes, "dim").select("*", F.expr("pmod(xxhash64(row, 1), shards)").alias("shard"))
-    shape = "dim int, shard long, vec_id long, row long, v array<long>"
-    trees = materialize(dealt.select(*[c.split()[0] for c in shape.split(", ")]).groupBy("dim", "shard").applyInArrow(_tree, "dim int, shard long, tree binary"), "trees")
-    asked = dealt.where(is_query).select("dim", F.expr("pmod(xxhash64(row, 2), blocks)").alias("block"), "vec_id", "row", "v", "shards")
-    pack = lambda df: df.groupBy("dim", "block").applyInArrow(_block(k), "dim int, block long, queries binary")
+    per_shard = lambda dim: max(SHARD_VALUES // dim, 64)
+    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a dimension
+    tables = {}
+    for dim, n in sizes.items():
+        if (k_clusters := min(CLUSTERS, n // (SHARDS_EACH * per_shard(dim)))) > 1:
+            some = rows.where(F.col("dim") == dim).where(F.expr(f"pmod(xxhash64(row, 3), {n}L) < {SAMPLE}L")).select("v").collect()
+            if some:
+                tables[dim] = centres(np.array([r.v for r in some], np.int64), k_clusters)
+    with batches_of(spark, ORDER_ROWS):
+        placed = materialize(rows.mapInArrow(_assigned(tables), "vec_id long, row long, v array<long>, dim int, cluster int, away double"), "placed")
+    groups = materialize(placed.groupBy("dim", "cluster").agg(F.count(F.lit(1)).alias("n"), F.expr(f"count_if({is_query})").alias("m"), F.max("away").alias("radius")), "groups")
+    balls = {}
+    for r in sorted(groups.collect()):  # CLUSTERS rows a dimension at most
+        balls.setdefault(r.dim, []).append((r.cluster, r.radius))
+    balls = {d: (np.array([c for c, _ in x], np.int32), tables[d][[c for c, _ in x]] if d in tables else np.zeros((1, d)), np.array([r if d in tables else np.inf for _, r in x])) for d, x in balls.items()}
+    numbers = groups.select("dim", "cluster", F.expr(f"ceil(n / greatest({SHARD_VALUES} div dim, 64))").alias("shards"), F.expr(f"greatest(1, ceil(m / greatest({BLOCK_VALUES} div dim, 8)))").alias("blocks"))
+    dealt = placed.join(F.broadcast(numbers), ["dim", "cluster"]).select("*", F.expr("pmod(xxhash64(row, 1), shards)").alias("shard"))
+    shape = ("dim", "cluster", "shard", "vec_id", "row", "v")
+    trees = materialize(dealt.select(*shape).groupBy("dim", "cluster", "shard").applyInArrow(_tree, "dim int, other int, shard long, tree binary"), "trees")
+    asked = dealt.where(is_query).select("dim", "cluster", F.expr("pmod(xxhash64(row, 2), blocks)").alias("block"), "vec_id", "row", "v")
+    pack = lambda df: df.groupBy("dim", "cluster", "block").applyInArrow(_block(k), "dim int, cluster int, block long, queries binary")
     hits = "query_id long, query_row long, score long, vec_id long, vec_row long"
-    number = sizes.select("dim", "shards")
+    own = numbers.select("dim", "cluster", "shards")
     with batches_of(spark, PAIR_ROWS):
-        first = pack(asked.withColumn("least", F.lit(None).cast("long"))).join(number, "dim").withColumn("shard", F.expr("block % shards"))
-        seeds = materialize(first.join(trees, ["dim", "shard"]).select("tree", "queries").mapInArrow(_search(k), hits), "seeds")
+        first = pack(asked.withColumn("least", F.lit(None).cast("long"))).join(F.broadcast(own), ["dim", "cluster"]).withColumn("other", F.col("cluster")).withColumn("shard", F.expr("block % shards"))
+        seeds = materialize(first.join(trees, ["dim", "other", "shard"]).select("tree", "queries").mapInArrow(_search(k), hits), "seeds")
         kth = seeds.groupBy("query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_row").alias("row"), "least")
         blocks = materialize(pack(asked.join(kth, "row", "left")), "blocks")
-        rest = blocks.join(number, "dim").withColumn("shard", F.explode(F.expr("filter(sequence(0L, shards - 1), s -> s <> block % shards)")))
-        others = materialize(rest.join(trees, ["dim", "shard"]).select("tree", "queries").mapInArrow(_search(k), hits), "hits")
+        met = materialize(blocks.mapInArrow(_in_reach(balls), "dim int, cluster int, block long, other int"), "met")
+        met = met.join(F.broadcast(own.select("dim", F.col("cluster").alias("other"), "shards")), ["dim", "other"])
+        rest = met.select("dim", "cluster", "block", "other", F.explode(F.expr("filter(sequence(0L, shards - 1), s -> other <> cluster or s <> block % shards)")).alias("shard"))
+        others = materialize(rest.join(blocks, ["dim", "cluster", "block"]).join(trees, ["dim", "other", "shard"]).select("tree", "queries").mapInArrow(_search(k), hits), "hits")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     best = seeds.unionByName(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

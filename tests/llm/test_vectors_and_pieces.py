@@ -26,6 +26,23 @@ def test_top_k(spark):
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
 
 
+def test_top_k_clusters(spark, monkeypatch):
+    """Vectors round many centres in small shards: pruned clusters hold nothing that is missed."""
+    monkeypatch.setattr(topk, "SHARD_VALUES", 1)
+    monkeypatch.setattr(topk, "CLUSTERS", 12)
+    rng = np.random.default_rng(5)
+    spots = rng.normal(size=(9, 8))
+    rows = [(i, (spots[i % 9] * (1 + i % 3) + rng.normal(size=8) * 0.05).astype(np.float32).tolist()) for i in range(2000)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    v = np.floor(256 * np.array([x for _, x in rows], np.float32).astype(np.float64)).astype(np.int64)
+    want = []
+    for i in range(0, 2000, 50):
+        score = v @ v[i]
+        best = sorted((-int(x), j) for j, x in enumerate(score) if j != i)[:5]
+        want += [(i, n, j, -x) for n, (x, j) in enumerate(best, 1)]
+    assert got == want
+
+
 def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
