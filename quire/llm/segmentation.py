@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 2 << 20
 #: The mark of a word's start in the vocabulary.
 MARK = "▁"
+#: Steps of a path whose open siblings are scored first, and more than the greatest Gumbel variable that ``uniform`` gives.
+AHEAD, REACH = 32, 37.0
 
 
 def vocabulary(model: str = MODEL) -> tuple[list[bytes], list[float], int]:
@@ -67,26 +69,34 @@ class Lattice:
         for n in sorted(by_length):
             up = _power_tables(64)[0]
             texts = np.frombuffer(b"".join(by_length[n]), np.uint8).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-            keys = (texts * up[:n]).sum(axis=1, dtype=np.uint64)
+            keys = (texts * up[1 : n + 1]).sum(axis=1, dtype=np.uint64)
             order = np.argsort(keys)
             rows = np.array(list(by_length[n].values()))[order]
-            self.tables.append((keys[order], rows[:, 0].astype(np.int32), rows[:, 1].astype(bool)))
+            keys = np.append(keys[order], np.uint64((1 << 64) - 1))  # the last stands for no piece
+            rows = np.append(rows, [[-1, 0]], axis=0)
+            shift = np.uint64(62 - len(keys).bit_length())  # a key's leading bits say where to look for it
+            places = np.searchsorted(keys, np.arange(1 << 64 - int(shift), dtype=np.uint64) << shift)
+            self.tables.append((keys, shift, places.astype(np.int32), rows[:, 0].astype(np.int32), rows[:, 1].astype(bool)))
 
     def _edges(self, data: np.ndarray, stop: np.ndarray, chars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Starts and piece ids of the edges of each length from 1 byte up."""
         n = len(data)
         up, down = _power_tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[1 : n + 1], out=sums[1:])
         alive, found = chars, []
-        for length, (keys, ids, longer) in enumerate(self.tables, 1):
+        for length, (keys, shift, places, ids, longer) in enumerate(self.tables, 1):
             if length > 1:
                 alive = alive[alive + length <= stop[alive]]
             if not len(alive):
                 break
             key = (sums[alive + length] - sums[alive]) * down[alive]
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
+            at = places[key >> shift]
+            behind = np.flatnonzero(keys[at] < key)
+            while len(behind):
+                at[behind] += 1
+                behind = behind[keys[at[behind]] < key[behind]]
+            hit = np.flatnonzero(keys[at] == key)
             alive, at = alive[hit], at[hit]
             piece = ids[at]
             whole = piece >= 0
@@ -98,8 +108,9 @@ class Lattice:
         """The lattice of the units ``data[starts:ends]``, which follow one another.
 
         Edges stand by start, longest first: ``first`` and ``last`` of each byte. ``below`` is the chance of
-        the edges up to one, among those of its start.
+        the edges up to one, among those of its start; 1 for the last, and no number of ``uniform`` exceeds it.
         """
+        self.src = self.dst = self.piece = self.log_p = self.below = None  # the last batch's go before new ones come
         n = len(data)
         stop = np.repeat(ends, ends - starts)
         chars = np.flatnonzero((data & 0xC0) != 0x80)
@@ -121,35 +132,36 @@ class Lattice:
         self.first = np.cumsum(degree) - degree
         self.last = self.first + degree - 1
         total = int(degree.sum())
-        self.src, self.dst, self.piece, score = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
+        self.src = np.repeat(np.arange(n + 1), degree)
+        self.dst, self.piece, score = np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
         free = self.first.copy()
         for length, (src, piece) in [*reversed([*enumerate(found, 1)]), (0, (bare, None))]:
             at = free[src]
             free[src] += 1
-            self.src[at] = src
             self.dst[at] = src + (spans if piece is None else length)
             self.piece[at] = np.where(spans == 1, self.byte_0 + data[bare].astype(np.int32), -1) if piece is None else piece
             score[at] = spell[bare + spans] - spell[bare] if piece is None else self.logs[piece]
-        beta = np.zeros(n + 1)
-        inner = self.dst < stop[self.src]
+        beta, part = np.zeros(n + 1), np.empty(total)
+        to = np.where(self.dst < np.repeat(stop, degree[:n]), self.dst, n)  # a unit's end is the place n, whose sum is 0
         far = (stop - np.arange(n))[chars]
         order = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
         cuts = np.flatnonzero(np.diff(far[order], prepend=-1)).tolist()
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             pos = chars[order[a:b]]
             edge, left = self.first[pos], degree[pos]
-            sums = score[edge] + np.where(inner[edge], beta[self.dst[edge]], 0)
+            sums = part[edge] = score[edge] + beta[to[edge]]
             for j in range(1, int(left.max())):
                 some = np.flatnonzero(left > j)
                 e = edge[some] + j
-                sums[some] = np.logaddexp(sums[some], score[e] + np.where(inner[e], beta[self.dst[e]], 0))
+                sums[some] = part[e] = np.logaddexp(sums[some], score[e] + beta[to[e]])
             beta[pos] = sums
-        self.log_p = np.minimum(score + np.where(inner, beta[self.dst], 0) - beta[self.src], 0)
-        self.below = np.exp(self.log_p)
-        some = chars
-        for j in range(1, int(degree.max(initial=0))):
-            some = some[degree[some] > j]
-            self.below[self.first[some] + j] += self.below[self.first[some] + j - 1]
+        score += beta[to]  # in place from here on, as these are the longest arrays
+        del to
+        whole = np.repeat(beta, degree)
+        score -= whole
+        part -= whole
+        self.log_p, self.below = np.minimum(score, 0, out=score), np.exp(part, out=part)
+        self.below[self.last[chars]] = 1
         self.data = data
 
     def walk(self, at: np.ndarray, stop: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +172,11 @@ class Lattice:
         steps, step = [], 0
         while len(active):
             u = uniform(key + np.uint64(step * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            edge, last = self.first[pos], self.last[pos]
-            todo = np.flatnonzero((self.below[edge] < u) & (edge < last))
+            edge = self.first[pos]
+            todo = np.flatnonzero(self.below[edge] < u)
             while len(todo):
                 edge[todo] += 1
-                todo = todo[(self.below[edge[todo]] < u[todo]) & (edge[todo] < last[todo])]
+                todo = todo[self.below[edge[todo]] < u[todo]]
             steps.append((active, edge))
             count[active] += 1
             pos = self.dst[edge]
@@ -202,20 +214,42 @@ def _below(phi: np.ndarray, top: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class _Path:
-    """One round's new nodes for every text: edges, log chances before and after them, and open siblings' scores."""
+    """One round's new nodes for every text: edges, log chances before and after them, and open siblings' scores.
 
-    def __init__(self, lattice: Lattice, edges: np.ndarray, bounds: np.ndarray, start: np.ndarray, top: np.ndarray, keys: np.ndarray) -> None:
-        own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    Scores stand for the first steps of a path, from ``open_at`` on: all that may be among its ``k`` best. The
+    chance before a step only falls, and no open sibling's score exceeds it by ``REACH``.
+    """
+
+    def __init__(self, lattice: Lattice, edges: np.ndarray, bounds: np.ndarray, start: np.ndarray, top: np.ndarray, keys: np.ndarray, k: int) -> None:
         log_p = lattice.log_p[edges]
         self.edges, self.bounds, self.before, self.end = edges, bounds, np.empty(len(edges)), start.copy()
         for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             if b > a:  # by text, so that sums don't depend on a batch's other texts
                 sums = start[d] + np.cumsum(log_p[a:b])
                 self.before[a], self.before[a + 1 : b], self.end[d] = start[d], sums[:-1], sums[-1]
-        rest = np.log(np.maximum(-np.expm1(np.minimum(log_p, 0)), 1e-300))
-        rest = np.where(lattice.first[lattice.src[edges]] == lattice.last[lattice.src[edges]], -np.inf, rest)
-        index = (np.arange(len(edges)) - bounds[:-1][own]).astype(np.uint64)
-        self.open = np.where(np.isneginf(rest), -np.inf, _below(self.before + rest, top[own], keys[own] + index * np.uint64(0xD1342543DE82EF95)))
+        steps = np.diff(bounds)
+        first = max(AHEAD, k)
+        some = np.minimum(steps, first)
+        self._score(lattice, log_p, some, top, keys)
+        long = np.flatnonzero(steps > first)
+        least = np.full(len(steps), np.inf)
+        least[long] = np.partition(self.open[self.open_at[long][:, None] + np.arange(first)], first - k, axis=1)[:, first - k] - REACH
+        while len(long := long[self.before[bounds[long] + some[long]] >= least[long]]):
+            some[long] = np.minimum(2 * some[long], steps[long])
+            long = long[some[long] < steps[long]]
+        if (some > first).any():
+            self._score(lattice, log_p, some, top, keys)
+
+    def _score(self, lattice: Lattice, log_p: np.ndarray, some: np.ndarray, top: np.ndarray, keys: np.ndarray) -> None:
+        """Scores of the first ``some`` steps of each text."""
+        self.open_at = np.concatenate(([0], np.cumsum(some)))
+        own = np.repeat(np.arange(len(some)), some)
+        index = np.arange(len(own)) - self.open_at[own]
+        at = self.bounds[own] + index
+        src = lattice.src[self.edges[at]]
+        rest = np.log(np.maximum(-np.expm1(log_p[at]), 1e-300))
+        rest = np.where(lattice.first[src] == lattice.last[src], -np.inf, rest)
+        self.open = np.where(np.isneginf(rest), -np.inf, _below(self.before[at] + rest, top[own], keys[own] + index.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
 
 
 def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -259,7 +293,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list
     step_at = np.concatenate(([0], np.cumsum(count)))
     unit_of_step = np.repeat(np.arange(len(count)), count)
     top = -np.log(-np.log(uniform(round_key(-1))))
-    paths = [_Path(lattice, edges, step_at[unit_at], np.zeros(n), top, round_key(1))]
+    paths = [_Path(lattice, edges, step_at[unit_at], np.zeros(n), top, round_key(1), k)]
     units = [unit_of_step]
     heads: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(n)]  # by text and round: edges before the round's own
     taken: dict[tuple[int, int], list[int]] = {}
@@ -268,10 +302,10 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list
     def best_open(d: int) -> tuple[float, int, int]:
         best = (-np.inf, -1, -1)
         for r, path in enumerate(paths):
-            a, b = int(path.bounds[d]), int(path.bounds[d + 1])
+            a, b = int(path.open_at[d]), int(path.open_at[d + 1])
             if b > a:
-                i = a + int(path.open[a:b].argmax())
-                best = max(best, (float(path.open[i]), r, i))
+                i = int(path.open[a:b].argmax())
+                best = max(best, (float(path.open[a + i]), r, int(path.bounds[d]) + i))
         return best
 
     for r in range(1, k):
@@ -279,6 +313,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list
         new_at, new_stop, new_key, sizes = [], [], [], np.zeros(n, np.int64)
         own_key, start, tops = round_key(3 * r + 1), np.zeros(n), np.zeros(n)
         branch: list[tuple[int, int]] = []
+        again: list[tuple[_Path, int, int, float, float]] = []
         for d in range(n):
             heads[d].append(None)
             score, q, i = best_open(d)
@@ -294,7 +329,7 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list
             out.append(e)
             left = float(p.sum() - np.exp(lattice.log_p[e]))
             phi = path.before[i] + (np.log(left) if left > 0 and len(rest) > 1 else -np.inf)
-            path.open[i] = -np.inf if np.isneginf(phi) else float(_below(np.array([phi]), np.array([score]), own_key[d : d + 1] + np.uint64(1))[0])
+            again.append((path, int(path.open_at[d]) + i - int(path.bounds[d]), d, phi, score))
             heads[d][r] = np.concatenate((heads[d][q], path.edges[int(path.bounds[d]) : i], [e]))
             start[d], tops[d] = path.before[i] + lattice.log_p[e], score
             u = int(units[q][i])
@@ -305,13 +340,16 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list
             sizes[d] = len(after) + 1
             branch.append((u, 1))
             found[d].append((r, 0.0, score))
+        phis, scores = np.array([x[3] for x in again]), np.array([x[4] for x in again])
+        for (path, i, *_), score in zip(again, _below(phis, scores, own_key[[x[2] for x in again]] + np.uint64(1)).tolist() if again else [], strict=True):
+            path.open[i] = score
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         edges, count = lattice.walk(join(new_at, np.int64), join(new_stop, np.int64), join(new_key, np.uint64))
         step_at = np.concatenate(([0], np.cumsum(count)))
         bounds = step_at[np.concatenate(([0], np.cumsum(sizes)))]
         names = [np.arange(u, u + m) for (u, _), m in zip(branch, sizes.tolist(), strict=True) if m]
         units.append(np.repeat(join(names, np.int64), count))
-        paths.append(_Path(lattice, edges, bounds, start, tops, round_key(3 * r + 2)))
+        paths.append(_Path(lattice, edges, bounds, start, tops, round_key(3 * r + 2), k))
         for d in range(n):
             if found[d][-1][0] == r:
                 found[d][-1] = (r, float(paths[r].end[d]), found[d][-1][2])
@@ -377,13 +415,15 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 4, model: str = MODEL) -> Da
 
 def _decode(shared, names: list[str]):
     def run(batches):
-        spelled = shared.value
+        spelled = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             ids = batch["ids"]
-            flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-            offsets = (offsets - offsets[0]).tolist()
-            words = list(map(spelled.__getitem__, flat.tolist()))
-            texts = [b"".join(words[a:b])[1:].decode("utf-8", "replace") if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], ids.is_valid().to_pylist(), strict=True)]
+            offsets = ids.offsets.to_numpy()
+            pieces = spelled.take(ids.flatten())  # their bytes stand one after another
+            at = np.frombuffer(pieces.buffers()[1], np.int64) if len(pieces) else np.zeros(1, np.int64)
+            data = memoryview(pieces.buffers()[2] or b"")
+            bounds = at[offsets - offsets[0]].tolist()
+            texts = [str(data[a + 1 : b], "utf-8", "replace") if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], ids.is_valid().to_pylist(), strict=True)]
             yield pa.record_batch({**{n: batch[n] for n in names}, "text": pa.array(texts, pa.string())})
 
     return run

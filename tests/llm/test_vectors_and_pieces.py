@@ -77,6 +77,28 @@ def test_batches_do_not_matter(lattice):
         assert [(x[0].tolist(), *x[1:]) for x in alone] == [(x[0].tolist(), *x[1:]) for x in whole[i]]
 
 
+def test_few_siblings_scored(lattice, monkeypatch):
+    """Of long texts only the first steps' siblings are scored, and the segmentations are those of scoring all."""
+    texts = ["Some words of a long text, " * 3000, "then", "wort " * 400, "deadbeef" * 5000]
+    keys = hashing.mix(np.arange(4).astype(np.uint64))
+    scored, below = [], segmentation._below
+    monkeypatch.setattr(segmentation, "_below", lambda phi, *x: scored.append(len(phi)) or below(phi, *x))
+    few = segmentation.sample(lattice, texts, keys, 5)
+    assert sum(scored) < 0.2 * sum(len(x[0]) for rows in few for x in rows)
+    monkeypatch.setattr(segmentation, "AHEAD", 1 << 20)
+    whole = segmentation.sample(lattice, texts, keys, 5)
+    assert [[(x[0].tolist(), *x[1:]) for x in rows] for rows in few] == [[(x[0].tolist(), *x[1:]) for x in rows] for rows in whole]
+
+
+def test_decode_plain(spark):
+    """Decoding against pieces joined one by one: null and no ids, a mark alone, bytes that are not UTF-8."""
+    spelled, _, byte_0 = segmentation.vocabulary()
+    mark = spelled.index(b" ")
+    rows = [(0, None), (1, []), (2, [mark]), (3, [mark, byte_0 + 0xC3, byte_0 + 0xA9, byte_0 + 0xFF]), (4, [*range(300, 900)] * 30)]
+    got = segmentation.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()
+    assert {r.doc_id: r.text for r in got} == {i: None if x is None else b"".join(spelled[p] for p in x)[1:].decode("utf-8", "replace") for i, x in rows}
+
+
 def test_round_trip(docs, edge, none):
     for rows in (docs, edge):
         found = segmentation.encode(rows, k=3)
