@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language, language_model, line_dedup, mixing, near_dedup, pii, quality, segmentation, topk, toxicity
+from quire.llm import divergence, exact_dedup, language, language_model, line_dedup, mixing, native, near_dedup, periodic, pii, quality, segmentation, topk, toxicity
 from quire.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,69 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_sentencepiece"] = op4_sentencepiece
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) where one document in ten, by its id's hash, repeats a stretch of its own words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    n = lambda w: F.size(w)
+    start = lambda w: (g % n(w)).cast("int")
+    period = lambda w: (1 + F.floor((n(w) - start(w)) / (3 + g % 8))).cast("int")
+    place = lambda i, a, p: F.when(i < a, i).otherwise(a + (i - a) % p)
+    repeated = lambda w, a, p: F.array_join(F.transform(F.sequence(F.lit(0), n(w) - 1), lambda i: F.get(w, place(i, a, p))), " ")
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    text = once(native.words(F.col("text")), lambda w: F.when(n(w) > 0, once(F.struct(start(w).alias("a"), period(w).alias("p")), lambda x: repeated(w, x["a"], x["p"]))))
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of ``documents``, one in ten of them made to repeat itself."""
+    found = periodic.periodic_runs(_repeating(load(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period")
+    return found.select("doc_id", "n_runs", start, length, period, F.expr("1000 * best.length div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal texts of ``documents``, blanks aside."""
+    return exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_exact_dedup"] = op12_exact_dedup
+ORACLES["op12_exact_dedup"] = r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+    k AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM k
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language of ``documents`` diverge, and on which terms."""
+    return divergence.divergence(load(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_source_divergence"] = op13_source_divergence
+ORACLES["op13_source_divergence"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    t AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+    kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+    v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+    c AS (SELECT t.lang, t.source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY t.lang, t.source, term),
+    g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.v) AS p,
+            1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.v) AS q
+        FROM g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0::HUGEINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        UNION ALL SELECT a.lang, a.source, 'pair', b.source, sum(abs(a.p - b.p))::HUGEINT FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    every AS (SELECT lang, source, part, item, sum(value)::BIGINT AS value FROM pair GROUP BY lang, source, part, item
+        UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+    SELECT * FROM (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+    WHERE part = 'pair' OR rank <= 50
+"""
