@@ -34,8 +34,7 @@ SHORT = np.uint64((1 << 48) - 1)
 MOST = (1 << 32) - 1
 BIGRAM = np.dtype([("key", "<u8"), ("n", "<u4")])
 LARGE = np.dtype([("key", "<u8"), ("n", "<u8")])
-CONTEXT = np.dtype([("key", "<u8"), ("n", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
-HOT_CONTEXT = np.dtype([("key", "<u8"), ("n", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
+CONTEXT = np.dtype([("key", "<u8"), ("n", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
 AHEAD = np.dtype([("key", "<u8"), ("n", "<u8")])
 
 
@@ -116,7 +115,7 @@ def _frequent(batches):
             keep = n * 20_000 >= n.sum()
             keep[: len(n) and 1] = True
             rest = n.sum() - n[keep].sum()
-            yield pa.record_batch({"v": pa.array(np.append(v[keep], 0).astype(np.int64)), "n": pa.array(np.append(n[keep], rest).astype(np.int64))})
+            yield pa.record_batch({"v": pa.array(np.append(v[keep].view(np.int64), np.int64(0))), "n": pa.array(np.append(n[keep], rest).astype(np.int64))})
 
 
 def _count(hot: np.ndarray, ranges: int):
@@ -158,9 +157,9 @@ def _of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _context_rows(v: np.ndarray, n: np.ndarray, kind: np.dtype) -> np.ndarray:
+def _context_rows(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     at = _runs(v)
-    out = np.zeros(len(at), kind)
+    out = np.zeros(len(at), CONTEXT)
     out["key"] = v[at]
     if len(at):
         out["n"] = np.add.reduceat(n, at)
@@ -186,10 +185,10 @@ def _store(folder: str, hot: np.ndarray, ranges: int):
             large.sort(order="key")
             write_array(folder, f"large-{own}", large)
         is_hot = np.isin(v, hot)
-        contexts = _context_rows(v[~is_hot], n[~is_hot], CONTEXT)
+        contexts = _context_rows(v[~is_hot], n[~is_hot])
         write_array(folder, f"context-{own}", contexts)
         stats = [int(n.sum()), len(v), len(contexts), *_of_counts(n)]
-        rows = [(own, "stats", b"", stats)] + [(own, "hot", b"", [int(np.uint64(x["key"]).astype(np.int64)), *(int(x[k]) for k in ("n", "n1", "n2", "n3"))]) for x in _context_rows(v[is_hot], n[is_hot], HOT_CONTEXT)]
+        rows = [(own, "stats", b"", stats)] + [(own, "hot", b"", [int(x["key"].view(np.int64)), *(int(x[k]) for k in ("n", "n1", "n2", "n3"))]) for x in _context_rows(v[is_hot], n[is_hot])]
         words, times = np.unique(w, return_counts=True)
         where = _range_of(words, 48, ranges)
         for s, e in _spans(where):
@@ -222,8 +221,11 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), float(k)) for k, d in enumerate(found, 1))
 
 
-def train(docs: DataFrame) -> dict:
-    """Count the texts of ``docs`` and store the model; returns its small header."""
+def train(docs: DataFrame, split: bool = True) -> dict:
+    """Count the texts of ``docs`` and store the model; returns its small header.
+
+    With ``split``, contexts of over a quarter of a range's tokens are dealt by the second word; the model is the same without.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
@@ -231,17 +233,17 @@ def train(docs: DataFrame) -> dict:
     some = materialize(some, "frequent")
     looked = some.agg(F.sum("n")).first()[0] or 0
     ranges = max(4, -(-looked * LOOK // RANGE_TOKENS))
-    hot = some.where(F.col("n") * 4 * ranges > looked).where("v <> 0").select("v").collect()  # 4 * ranges at most
-    hot = np.sort(np.array([r.v for r in hot], np.int64).astype(np.uint64))
+    hot = some.where(F.col("n") * 4 * ranges > looked).where("v <> 0").select("v").collect() if split else []  # 4 * ranges at most
+    hot = np.sort(np.array([r.v for r in hot], np.int64).view(np.uint64))
     folder = new_path(spark, "bigrams")
     sums = rows.select("text").mapInArrow(_count(hot, ranges), "range int, blob binary")
     stored = materialize(sums.groupBy("range").applyInArrow(_store(folder, hot, ranges), "range int, kind string, blob binary, numbers array<long>"), "stored")
     add = lambda df, n: [df.agg(*(F.sum(F.get("numbers", F.lit(i))).alias(f"s{i}") for i in range(n))).first()[i] or 0 for i in range(n)]
     tokens, types, contexts, *c = add(stored.where("kind = 'stats'"), 7)
     parts = stored.where("kind = 'hot'").groupBy(F.get("numbers", F.lit(0)).alias("v")).agg(*(F.sum(F.get("numbers", F.lit(i))).alias(k) for i, k in enumerate(("n", "n1", "n2", "n3"), 1))).collect()
-    table = np.zeros(len(parts), HOT_CONTEXT)
+    table = np.zeros(len(parts), CONTEXT)
     for i, r in enumerate(parts):
-        table[i] = (int(np.int64(r.v).astype(np.uint64)), r.n, r.n1, r.n2, r.n3)
+        table[i] = (np.int64(r.v).view(np.uint64), r.n, r.n1, r.n2, r.n3)
     table.sort(order="key")
     ahead = materialize(stored.where("kind = 'ahead'").select("range", "blob").groupBy("range").applyInArrow(_store_ahead(folder), "numbers array<long>"), "ahead")
     _, three, *a = add(ahead, 6)

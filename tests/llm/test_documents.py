@@ -411,6 +411,23 @@ def test_language_model(docs):
         assert math.isclose(r.score, sum(math.log10(chance(a, b)) for a, b in zip(w, w[1:], strict=False)), rel_tol=1e-6)
 
 
+def test_language_model_hot_contexts(spark):
+    """The start and frequent words are split off under their whole hashes, and the model is the same without the split."""
+    random = Random(6)
+    rows = [(i, " ".join("often" if random.random() < 0.12 else "half" if random.random() < 0.5 else f"w{random.randint(0, 4000)}" for _ in range(random.randint(1, 12)))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, plain = language_model.train(docs), language_model.train(docs, split=False)
+    often, half = language_model.word_hashes(["often half"])[0]
+    assert {int(often), int(half), int(language_model.START)} <= set(model["hot"].tolist()) == set(model["hot_contexts"]["key"].tolist())
+    counts = dict(zip(model["hot_contexts"]["key"].tolist(), model["hot_contexts"]["n"].tolist(), strict=True))
+    assert counts[int(half)] == sum(t.split().count("half") for _, t in rows) and counts[int(language_model.START)] == 4000
+    assert len(plain["hot"]) == len(plain["hot_contexts"]) == 0
+    assert all(model[k] == plain[k] for k in ("tokens", "types", "words", "discounts", "low_discounts", "low_counts"))
+    batches = docs.limit(300).toArrow().to_batches()
+    scored = [[x for out in language_model._score(m)(batches) for x in zip(*(c.to_pylist() for c in out.columns), strict=True)] for m in (model, plain)]
+    assert len(scored[0]) == 300 and scored[0] == scored[1]
+
+
 def test_language_model_edges(edge, none):
     got = Counter((r.doc_id, r.n_tokens) for r in language_model.perplexities(edge).collect())
     assert got[2, 1] == got[3, 1] == got[4, 1] == 1 and got[1, 8] == 2 and got[5, 60_001] == 1
