@@ -12,10 +12,10 @@ DOI = r"10\.\d{4,9}/[^\s\"<>]+"
 ARXIV = r"(?i)arXiv:\s*((?:\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?)"
 TRAILING = r"[.,;:)\]}'\"]+$"
 DOI_PREFIXES = r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)"
-FIGURE_LABEL = r"(?i)^\s*(?:fig(?:ure|\.)?)\s*(S?\d+[a-z]?)"
+FIGURE_LABEL = r"(?U)^\s*(?:Supplementary\s+)?(?:Fig\.?|Figure|FIG\.?)\s*(S?\d+[A-Za-z]?)\b"
 INITIALS_NAME = r"^((?:[A-Z]\.?(?:-[A-Z]\.?)?[\s.]*){1,4}?)\s*([A-Z][a-z][A-Za-z'\u2019-]*)$"
 ITEM_IDENTIFIER = r"(?i)\bPII:?\s*S?(\d{4}-\d{3}[\dX]\s*\(\d{2}\)\s*\d{5}-[\dX])"
-TABLE_LABEL = r"(?i)^\s*table\s+(S?\d+|[IVX]+)"
+TABLE_LABEL = r"(?U)^\s*(?:Supplementary\s+)?(?:Table|TABLE|Tab\.)\s*(S?(?:\d+|[IVXLC]+)[A-Za-z]?)\b"
 SUPPLEMENT_TOKENS = ["supp", "suppl", "si", "sm", "esm", "supporting"]
 #: How publishers name files: of the whole stem, or of the stem without a copy's number, and the DOI by the pattern's groups.
 WHOLE, CUT = "stem", "base"
@@ -67,10 +67,12 @@ def arxiv_base(identifier: Column) -> Column:
 
 
 def figure_label(caption: Column) -> Column:
+    """The figure's number that a caption begins with (``2``, ``S1``, ``3b``); null where it begins with none."""
     return F.nullif(F.regexp_extract(caption, FIGURE_LABEL, 1), F.lit(""))
 
 
 def table_label(caption: Column) -> Column:
+    """The table's number that a caption begins with, Arabic or Roman (``1``, ``III``, ``S2``); null where it begins with none."""
     return F.nullif(F.regexp_extract(caption, TABLE_LABEL, 1), F.lit(""))
 
 

@@ -75,7 +75,7 @@ def flatten_tree(native: DataFrame) -> DataFrame:
 
 _NODE = "struct<block_type: string, html: string, bbox: array<double>, image: string, children: {}>"
 _LEAF = "struct<block_type: string, html: string, bbox: array<double>, image: string>"
-MARKER_PAGES = "array<struct<page_number: int, children: array<" + _NODE.format(f"array<{_LEAF}>") + ">>>"
+MARKER_PAGES = "array<struct<id: string, children: array<" + _NODE.format(f"array<{_LEAF}>") + ">>>"
 # Block types of trees of HTML blocks, and the kinds and roles that they become.
 TREE_KINDS = {
     "SectionHeader": "heading", "Text": "paragraph", "TextInlineMath": "paragraph", "Reference": "paragraph", "Caption": "paragraph", "Footnote": "paragraph", "Code": "paragraph", "Handwriting": "paragraph",
@@ -83,17 +83,30 @@ TREE_KINDS = {
 }
 TREE_ROLES = {"Reference": "reference", "Caption": "caption", "Footnote": "footnote", "Code": "code", "PageHeader": "header", "PageFooter": "footer"}
 VISUALS = ["Picture", "Figure"]
+# Fixed value: an equation's number at its end.
 TRAILING_NUMBER = r"(?:\\quad|\\qquad|\s|~)*\(\s*(S?\d+[a-z]?)\s*\)\s*[.,]?\s*$"
 
 
+def _tree_pages(native: DataFrame) -> DataFrame:
+    """(doc, page, p): the pages of trees of HTML blocks with the number that their id gives, counted from 1."""
+    pages = native.select("doc", F.explode(F.from_json(F.get_json_object("json", "$.children"), MARKER_PAGES)).alias("p"))
+    number = F.nullif(F.regexp_extract("p.id", r"^/*page/(\d{1,9})(?:/|$)", 1), F.lit(""))
+    return pages.select("doc", (number.cast("int") + 1).alias("page"), "p")
+
+
+def malformed_pages(native: DataFrame) -> DataFrame:
+    """(doc, code): a finding for each page of trees of HTML blocks (doc, json) whose id has no number."""
+    return _tree_pages(native).where("page is null").select("doc", F.lit("PAGE_MALFORMED").alias("code"))
+
+
 def tree_blocks(native: DataFrame) -> DataFrame:
     """Blocks of documents (doc, json) that are trees of HTML blocks: doc, page, pos, kind, role, level, label, runs, html, caption, id, raw.
 
     A table or figure group becomes one block with the caption of its first caption block; a list group's items are one
-    block. An equation's label is the number in parentheses at its end. Types that aren't known keep their JSON in ``raw``.
+    block. An equation's label is the number in parentheses at its end. A page's number is in its id (``/page/3/Page/1`` is the fourth
+    page); one without a number in its id has no blocks and is reported by ``malformed_pages``. Types that aren't known keep their JSON in ``raw``.
     """
-    pages = native.select("doc", F.explode(F.from_json(F.get_json_object("json", "$.children"), MARKER_PAGES)).alias("p"))
-    rows = pages.select("doc", (F.col("p.page_number") + 1).alias("page"), F.posexplode("p.children").alias("at", "b"))
+    rows = _tree_pages(native).where("page is not null").select("doc", "page", F.posexplode("p.children").alias("at", "b"))
     typed = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     kind = F.coalesce(F.try_element_at(typed(TREE_KINDS), F.col("b.block_type")), F.lit("unknown"))
     members = F.coalesce("b.children", F.array().cast(f"array<{_LEAF}>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import ids, text
 from quire.operators import catalog, compare, figures, library_files, normalize, report, saved_page
 from quire.plans import sql
 from quire.plans.registry import query
@@ -238,17 +238,25 @@ def rich_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "block_trees",
-    """SELECT s_suppkey AS doc, b.page, b.pos, b.kind, b.label, b.caption FROM supplier, LATERAL (SELECT unnest([{'page': 1, 'pos': 1, 'kind': 'heading', 'label': NULL, 'caption': NULL}, {'page': 1, 'pos': 2, 'kind': 'figure', 'label': s_suppkey::VARCHAR, 'caption': 'Fig. ' || s_suppkey || ' A wave'},
-        {'page': 2, 'pos': 3, 'kind': 'equation', 'label': 'S' || s_nationkey, 'caption': NULL}, {'page': 2, 'pos': 4, 'kind': 'table', 'label': '2', 'caption': 'Table 2 Numbers'}, {'page': 2, 'pos': 5, 'kind': 'unknown', 'label': NULL, 'caption': NULL}]) AS b)""",
+    f"""WITH c AS (SELECT s_suppkey, s_nationkey, {sql.captions("s_suppkey")} AS c FROM supplier)
+    SELECT s_suppkey AS doc, b.page, b.pos, b.kind, b.label, b.caption FROM c, LATERAL (SELECT unnest([{{'page': 1, 'pos': 1, 'kind': 'heading', 'label': NULL, 'caption': NULL}},
+        {{'page': 1, 'pos': 2, 'kind': 'figure', 'label': {sql.label("c", ids.FIGURE_LABEL)}, 'caption': c}}, {{'page': 12, 'pos': 3, 'kind': 'equation', 'label': 'S' || s_nationkey, 'caption': NULL}},
+        {{'page': 12, 'pos': 4, 'kind': 'table', 'label': {sql.label("c", ids.TABLE_LABEL)}, 'caption': c}}, {{'page': 12, 'pos': 5, 'kind': 'unknown', 'label': NULL, 'caption': NULL}}]) AS b)""",
 )
 def block_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of native trees made from ``supplier``: a heading, a figure group, an equation, a table group and an unknown type."""
+    """Blocks of native trees made from ``supplier``: a heading, a figure group, an equation, a table group and an unknown type.
+
+    Pages are numbered by their ids, the last one's holds no number; captions take all forms of ``sql.CAPTIONS``.
+    """
+    caption = F.expr(sql.captions("s_suppkey"))
     native = F.concat(
-        F.lit('{"children":[{"page_number":0,"children":[{"block_type":"SectionHeader","html":"<h1>T</h1>"},{"block_type":"FigureGroup","children":[{"block_type":"Figure"},{"block_type":"Caption","html":"<p>Fig. '),
-        "s_suppkey",
-        F.lit(' <i>A</i> wave</p>"}]}]},{"page_number":1,"children":[{"block_type":"Equation","html":"<math>E = m \\\\quad (S'),
+        F.lit('{"children":[{"id":"/page/0/Page/9","children":[{"block_type":"SectionHeader","html":"<h1>T</h1>"},{"block_type":"FigureGroup","children":[{"block_type":"Figure"},{"block_type":"Caption","html":"<p>'),
+        caption,
+        F.lit('</p>"}]}]},{"id":"/page/11/Page/2","children":[{"block_type":"Equation","html":"<math>E = m \\\\quad (S'),
         "s_nationkey",
-        F.lit(')</math>"},{"block_type":"TableGroup","children":[{"block_type":"Table","html":"<table><tr><td>1</td></tr></table>"},{"block_type":"Caption","html":"Table 2 Numbers"}]},{"block_type":"Odd","html":"?"}]}]}'),
+        F.lit(')</math>"},{"block_type":"TableGroup","children":[{"block_type":"Table","html":"<table><tr><td>1</td></tr></table>"},{"block_type":"Caption","html":"'),
+        caption,
+        F.lit('"}]},{"block_type":"Odd","html":"?"}]},{"id":"/page/x","children":[{"block_type":"Text","html":"lost"}]}]}'),
     )
     return normalize.tree_blocks(load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc"), native.alias("json"))).select("doc", "page", "pos", "kind", "label", "caption")
 

@@ -98,10 +98,14 @@ def filename_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(ids.filename_dois(name), " ").alias("dois"))
 
 
-@query("object_labels", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN NULL ELSE (CASE WHEN l_linenumber % 3 = 1 THEN '' ELSE 'S' END) || l_suppkey END AS figure, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey::VARCHAR END AS \"table\", CASE WHEN l_linenumber > 1 THEN l_partkey::VARCHAR END AS equation FROM lineitem")
+@query(
+    "object_labels",
+    f"""SELECT l_orderkey, l_linenumber, {sql.label(sql.captions("l_suppkey"), ids.FIGURE_LABEL)} AS figure, {sql.label(sql.captions("l_suppkey"), ids.TABLE_LABEL)} AS "table",
+        CASE WHEN l_linenumber > 1 THEN l_partkey::VARCHAR END AS equation FROM lineitem""",
+)
 def object_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed labels of captions and formulas made from ``lineitem``."""
-    caption = F.expr("concat(case l_linenumber % 3 when 0 then 'Table ' when 1 then 'FIG. ' else 'Figure S' end, l_suppkey, ': part ', l_partkey)")
+    """Printed labels of captions and formulas made from ``lineitem``; captions take all forms of ``sql.CAPTIONS``."""
+    caption = F.expr(sql.captions("l_suppkey"))
     latex = F.expr(r"concat('x = y \\tag{0} z', if(l_linenumber > 1, concat('\\tag*{ ', l_partkey, ' }'), '\\tag{ }'))")
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.figure_label(caption).alias("figure"), ids.table_label(caption).alias("table"), ids.equation_label(latex).alias("equation"))
 

@@ -42,6 +42,9 @@ def test_filename_dois(spark, name, doi):
 
 def test_labels_and_names(spark):
     assert column(spark, ["Figure S2: x", "Fig. 3b", "Table 1"], ids.figure_label(F.col("x"))) == ["S2", "3b", None]
+    captions = ["Table values of x", "Table XL: y", "Table 3A", "Figure 3abc", "Supplementary Table 2", "Supplementary\u00a0Fig. 3", "Tab. 3", "FIG. S1a|", "FIGURE 2", "table 2", "Fig 4", "Fig. 3\u00b5", "TABLE SIV."]
+    assert column(spark, captions, ids.figure_label(F.col("x"))) == [None] * 5 + ["3", None, "S1a", None, None, "4", None, None]
+    assert column(spark, captions, ids.table_label(F.col("x"))) == [None, "XL", "3A", None, "2", None, "3"] + [None] * 5 + ["SIV"]
     assert column(spark, ["/a/simple.pdf", "/a/x-SI.pdf", "supplementary2.pdf", "a_esm.pdf"], ids.supplement_name(F.col("x"))) == [False, True, True, True]
     assert column(spark, ["1-3,15", "2", "3,1-2", "x"], ids.pages(F.col("x"))) == [[1, 2, 3, 15], [2], [1, 2, 3], None]
     assert [None if r is None else tuple(r) for r in column(spark, ["A. B. Smith", "Smith"], ids.split_name(F.col("x")))] == [("A. B.", "Smith"), None]
