@@ -9,6 +9,7 @@ from html import escape
 from html.parser import HTMLParser
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,37 +227,58 @@ def grid_html(cells: DataFrame, table: str) -> DataFrame:
     return grid.select(table, _grid_html("_cells").alias("g")).select(table, "g.html", "g.problems")
 
 
-def written_grid(cells: list[dict]) -> dict:
-    """HTML of cells in order of place; see ``grid_html``."""
-    owner: dict[tuple[int, int], int] = {}
-    kept, problems = {}, []
-    for n, c in enumerate(cells):
-        spots = [(c["row"] + i, c["column"] + j) for i in range(max(1, c["row_span"])) for j in range(max(1, c["column_span"]))]
-        if any(s in owner for s in spots):
-            problems.append(f"the cell at {c['row']}, {c['column']} lies over another one and is left out")
+#: Places that a written grid has at most: one that claims more is reported and not written.
+MOST_PLACES = 1_000_000
+
+
+def written_grid(cells: list[dict], rows: int | None = None, columns: int | None = None) -> dict:
+    """HTML of cells in the order given, on a grid of the given size or of the cells' own; see ``grid_html``."""
+    spans = lambda c: (max(1, c["row_span"]), max(1, c["column_span"]))
+    height = max((c["row"] + spans(c)[0] for c in cells), default=0) if rows is None else rows
+    width = max((c["column"] + spans(c)[1] for c in cells), default=0) if columns is None else columns
+    if height * width > MOST_PLACES:
+        return {"html": "", "problems": [f"a grid of {height} by {width} places is not written"]}
+    taken, kept, problems = np.zeros((height, width), bool), {}, []
+    for c in cells:
+        spot, (down, across) = (c["row"], c["column"]), spans(c)
+        if spot in kept:
             continue
-        kept[spots[0]] = c
-        owner.update((s, n) for s in spots)
-    height, width = (1 + max((s[k] for s in owner), default=-1) for k in (0, 1))
+        area = taken[spot[0] : spot[0] + down, spot[1] : spot[1] + across]
+        if area.any():
+            problems.append(f"the cell {c['text']!r} at {spot[0]}, {spot[1]} lies over another one and is left out")
+            continue
+        kept[spot] = c
+        area[:] = True
 
     def element(spot: tuple[int, int]) -> str:
         if spot not in kept:
-            return "" if spot in owner else "<td></td>"
+            return "" if taken[spot] else "<td></td>"
         c = kept[spot]
-        spans = "".join(f' {name}="{c[key]}"' for name, key in (("rowspan", "row_span"), ("colspan", "column_span")) if c[key] > 1)
+        given = "".join(f' {name}="{c[key]}"' for name, key in (("rowspan", "row_span"), ("colspan", "column_span")) if c[key] > 1)
         tag = "th" if c["header"] else "td"
-        return f"<{tag}{spans}>{escape(c['text'] or '', quote=False)}</{tag}>"
+        return f"<{tag}{given}>{escape(c['text'] or '', quote=False)}</{tag}>"
+
+    lines = ("<tr>" + "".join(element((r, k)) for k in range(width)) + "</tr>" for r in range(height))
+    return {"html": "<table>" + "".join(lines) + "</table>", "problems": problems}
 
-    rows = ("<tr>" + "".join(element((r, k)) for k in range(width)) + "</tr>" for r in range(height))
-    return {"html": "<table>" + "".join(rows) + "</table>", "problems": problems}
 
+GRID_HTML = T.StructType([T.StructField("html", T.StringType()), T.StructField("problems", T.ArrayType(T.StringType()))])
 
-@F.pandas_udf(T.StructType([T.StructField("html", T.StringType()), T.StructField("problems", T.ArrayType(T.StringType()))]))
+
+@F.pandas_udf(GRID_HTML)
 def _grid_html(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for tables in parts:
         yield pd.DataFrame([written_grid(list(t)) for t in tables], columns=["html", "problems"])
 
 
+@F.pandas_udf(GRID_HTML)
+def cells_html(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """``written_grid`` of cells, rows and columns."""
+    for cells, rows, columns in parts:
+        found = [written_grid(list(c) if c is not None else [], int(r), int(k)) for c, r, k in zip(cells, rows, columns, strict=True)]
+        yield pd.DataFrame(found, columns=["html", "problems"])
+
+
 def refined(blocks: DataFrame) -> DataFrame:
     """Blocks (doc, page, pos, kind, role, key, x0, y0, text) after the fixed chain of rewrites, with new_pos and lost_glyphs.
 
