@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import bags, compare
+from quire.sources.shared import materialize
 
 #: Characters of body text that a whole article has at least.
 LEAST_CHARACTERS = 3000
+TABLE_CODES = {"only_in_page": ("HTML_TABLE_NOT_IN_PDF", "warning"), "not_comparable": ("HTML_TABLE_NOT_COMPARABLE", "info"), "agrees": ("HTML_TABLE_AGREED", "info"), "differs": ("HTML_TABLE_DISAGREED", "warning")}
 
 
 def identity(page_doi: Column, paper_doi: Column, page_title: Column, paper_title: Column) -> Column:
@@ -29,6 +31,12 @@ def _finding(rows: DataFrame, code: str, severity: str, detail: Column | None =
     return rows.select("doc", F.lit(code).alias("code"), F.lit(severity).alias("severity"), (F.lit(None).cast("string") if detail is None else detail.cast("string")).alias("detail"))
 
 
+def _by_status(rows: DataFrame, codes: dict[str, tuple[str, str]]) -> DataFrame:
+    """Findings of labelled objects, code and severity by their status."""
+    of = lambda k: F.try_element_at(F.create_map(*(F.lit(x) for status, found in codes.items() for x in (status, found[k]))), F.col("status"))
+    return rows.select("doc", of(0).alias("code"), of(1).alias("severity"), F.col("label").alias("detail")).where("code is not null")
+
+
 def heading_differences(page: DataFrame, paper: DataFrame) -> DataFrame:
     """(doc, side, text): headings (doc, text) that only the page, or only the paper, has, by their words."""
     key = F.array_join(text.words(F.col("text")), "")
@@ -81,6 +89,7 @@ def check(pages: DataFrame, parts: dict[str, tuple[DataFrame, DataFrame]], math:
     nothing of it is compared.
     """
     rows = pages.withColumn("status", identity(*(F.col(c) for c in ("page_doi", "paper_doi", "page_title", "paper_title"))))
+    rows = materialize(rows, "saved_pages")
     good = rows.where(compared(F.col("status"))).select("doc", "characters")
     here = lambda name: tuple(side.join(good.select("doc"), "doc", "left_semi") for side in parts[name])
     found = [
@@ -95,13 +104,9 @@ def check(pages: DataFrame, parts: dict[str, tuple[DataFrame, DataFrame]], math:
         absent = uncovered_of_own(own, other)
         found.append(_finding(absent.groupBy("doc").agg(F.count(F.lit(1)).alias("n")), "HTML_TEXT_NOT_IN_PDF", "warning", F.col("n")))
     if "figures" in parts:
-        figures = caption_status(*here("figures"))
-        found.append(_finding(figures.where("status = 'only_in_page'"), "HTML_FIGURE_NOT_IN_PDF", "warning", F.col("label")))
-        found.append(_finding(figures.where("status = 'differs'"), "HTML_CAPTION_DIFFERS", "warning", F.col("label")))
+        found.append(_by_status(caption_status(*here("figures")), {"only_in_page": ("HTML_FIGURE_NOT_IN_PDF", "warning"), "differs": ("HTML_CAPTION_DIFFERS", "warning")}))
     if "tables" in parts:
-        tables = table_status(*here("tables"), math)
-        for status, code, severity in (("only_in_page", "HTML_TABLE_NOT_IN_PDF", "warning"), ("not_comparable", "HTML_TABLE_NOT_COMPARABLE", "info"), ("agrees", "HTML_TABLE_AGREED", "info"), ("differs", "HTML_TABLE_DISAGREED", "warning")):
-            found.append(_finding(tables.where(F.col("status") == status), code, severity, F.col("label")))
+        found.append(_by_status(table_status(*here("tables"), math), TABLE_CODES))
     if "references" in parts:
         counts = reference_counts(*here("references")).where("page > 0 and page <> paper")
         found.append(_finding(counts, "HTML_REFERENCES_DIFFER", "warning", F.concat_ws(" / ", "page", "paper")))
@@ -114,10 +119,6 @@ def check(pages: DataFrame, parts: dict[str, tuple[DataFrame, DataFrame]], math:
 def uncovered_of_own(page: DataFrame, paper: DataFrame) -> DataFrame:
     """(doc, pos, share): paragraphs (doc, pos, text) of pages of which the same document's paper has less than half.
 
-    Paragraphs under twelve words are left out; the join is on document and six-word run.
+    Paragraphs under twelve words are left out; the join is on document and hashes of six-word runs.
     """
-    runs = lambda rows: rows.select("doc", "pos", text.words(F.col("text")).alias("_w")).where(F.size("_w") >= compare.LEAST_WORDS)
-    own = runs(page).select("doc", "pos", F.explode(compare.shingles(F.col("_w"))).alias("_s"))
-    there = paper.select("doc", text.words(F.col("text")).alias("_w")).select("doc", F.explode(compare.shingles(F.col("_w"))).alias("_s")).distinct().withColumn("_hit", F.lit(1))
-    share = own.join(there, ["doc", "_s"], "left").groupBy("doc", "pos").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("share"))
-    return share.where(F.col("share") < compare.COVERED)
+    return compare.uncovered_within(page, paper, ["doc", "pos"], ["doc"])

@@ -1,4 +1,4 @@
-"""Documents of JSON pointers, made from the tables' columns."""
+"""Documents of JSON pointers made from the tables' columns, and articles of pages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids
-from quire.operators import pointer_tree
+from quire.operators import page_events, pointer_tree, saved_page
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -70,3 +70,66 @@ def pointer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda runs: F.array_join(F.transform(runs, lambda r: r["text"]), "")
     shown = F.when(F.col("kind") == "list", F.array_join(F.transform("items", text), "|")).otherwise(text(F.col("runs")))
     return found.select("doc", "pos", "page", "kind", "role", F.when(F.col("kind") == "unknown", "").otherwise(shown).alias("shown"), "caption", "label")
+
+
+#: SQL of both engines: what each page gets in front of its article's end: two figures, a table below a heading, hidden and publishers' parts, references.
+PARTS = (
+    """'<h2>Results ' || CAST(page_id % 7 AS STRING) || '</h2><div class="advert"><p>Never read this advertisement, however long it is.</p></div><figure><img src="1.png"><figcaption><b>Fig. 1</b> Wave of ' || url || '</figcaption></figure><div class="fig"><p>Figure 2: Field ' || CAST(page_id % 5 AS STRING) || ' <span hidden>no</span></p></div>"""
+    """<div><h4>Table ' || CASE WHEN page_id % 2 = 0 THEN 'II' ELSE '2' END || ' Sums</h4><div><table><tr><th>n</th><td>' || CAST(page_id AS STRING) || '.5</td></tr><tr><td colspan=2>7</td></tr></table></div></div>"""
+    """<section id="references"><ol><li>Ada. Waves. 10.1000/' || CAST(page_id AS STRING) || ' <span class="links">link</span></li>' || CASE WHEN page_id % 3 = 0 THEN '<li>Another <i>one</i></li>' ELSE '' END || '</ol></section></article>'"""
+)
+HEAD = """'<meta name="citation_doi" content="10.1000/' || CASE WHEN page_id % 4 = 1 THEN 'x' ELSE '' END || CAST(page_id AS STRING) || '"><meta name="citation_title" content="Page"></head>'"""
+HTML = f"replace(replace(html, '</article>', {PARTS}), '</head>', {HEAD})"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc"), F.expr(HTML).alias("html"))
+
+
+@query(
+    "page_parts",
+    """WITH a AS (SELECT page_id::VARCHAR AS doc, page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS body FROM pages),
+    p AS (SELECT doc, trim(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&middot;', '·', 'g'), '[ \n\t]+', ' ', 'g')) AS text FROM (SELECT doc, unnest(string_split(body, '<p>')[2:]) AS x FROM a))
+    SELECT doc, 'paragraphs' AS part, NULL AS label, text FROM (SELECT doc, html_unescape(text) AS text FROM p) WHERE length(text) >= 40
+    UNION ALL SELECT doc, 'headings', NULL, x FROM (SELECT doc, unnest(['Results ' || page_id % 7, 'Table ' || CASE WHEN page_id % 2 = 0 THEN 'II' ELSE '2' END || ' Sums']) AS x FROM a)
+    UNION ALL SELECT doc, 'figures', '1', 'Fig. 1 Wave of ' || url FROM a
+    UNION ALL SELECT doc, 'figures', '2', 'Figure 2: Field ' || page_id % 5 FROM a
+    UNION ALL SELECT doc, 'tables', CASE WHEN page_id % 2 = 0 THEN 'II' ELSE '2' END, 'n ' || page_id || '.5 7' FROM a
+    UNION ALL SELECT doc, 'references', '10.1000/' || page_id, 'Ada. Waves. 10.1000/' || page_id FROM a
+    UNION ALL SELECT doc, 'references', '', 'Another one' FROM a WHERE page_id % 3 = 0""".replace("html_unescape(text)", "replace(replace(replace(replace(text, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"),
+)
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, headings, figures, tables and references of ``pages``, each with a few parts put in."""
+    parts = page_events.article(_pages(spark, sf_dir))
+    none, cells = F.lit(None).cast("string"), F.array_join(F.transform("grid.cells", lambda c: c["text"]), " ")
+    columns = {"paragraphs": (none, F.col("text")), "headings": (none, F.col("text")), "figures": (F.col("label"), F.col("caption")), "tables": (F.col("label"), cells), "references": (F.array_join("dois", " "), F.col("text"))}
+    out = [parts[k].select("doc", F.lit(k).alias("part"), label.alias("label"), value.alias("text")) for k, (label, value) in columns.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query(
+    "page_findings",
+    """WITH p AS (SELECT page_id, page_id::VARCHAR AS doc, CASE WHEN page_id % 2 = 0 THEN 'II' ELSE '2' END AS label FROM pages WHERE page_id % 4 <> 1)
+    SELECT page_id::VARCHAR AS doc, 'HTML_VERSION_MISMATCH' AS code, 'error' AS severity, '10.1000/x' || page_id || ' / 10.1000/' || page_id AS detail FROM pages WHERE page_id % 4 = 1
+    UNION ALL SELECT doc, 'HTML_HEADING_NOT_IN_PDF', 'warning', 'Results ' || page_id % 7 FROM p
+    UNION ALL SELECT doc, 'HTML_FIGURE_NOT_IN_PDF', 'warning', '2' FROM p
+    UNION ALL SELECT doc, 'HTML_CAPTION_DIFFERS', 'warning', '1' FROM p WHERE page_id % 5 = 0
+    UNION ALL SELECT doc, CASE WHEN page_id % 3 = 1 THEN 'HTML_TABLE_DISAGREED' ELSE 'HTML_TABLE_AGREED' END, CASE WHEN page_id % 3 = 1 THEN 'warning' ELSE 'info' END, label FROM p
+    UNION ALL SELECT doc, 'HTML_REFERENCES_DIFFER', 'warning', '2 / 1' FROM p WHERE page_id % 3 = 0""",
+)
+def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of real ``pages`` against papers that hold the same text but lack or change some parts; findings on the text's length aside."""
+    parts = page_events.article(_pages(spark, sf_dir))
+    rows = load(spark, sf_dir, "pages").select("page_id", "url", F.col("page_id").cast("string").alias("doc"))
+    papers = rows.select("doc", F.concat(F.lit("10.1000/"), "doc").alias("doi"), F.lit("Page").alias("title"))
+    pages, own = page_events.checkable(parts, papers)
+    made = lambda **values: rows.select("doc", *(F.expr(v).alias(k) for k, v in values.items()))
+    label = "if(page_id % 2 = 0, 'II', '2')"
+    paper = {
+        "headings": made(text=f"concat('TABLE ', {label}, ': sums')"),
+        "paragraphs": own["paragraphs"],
+        "figures": made(label="'1'", caption="if(page_id % 5 = 0, 'Quite another caption', concat('Fig. 1 Wave of ', url))"),
+        "tables": made(label=label, text="concat('7 n ', page_id + int(page_id % 3 = 1), '.5')"),
+        "references": made(pos="1", text="'Ada'"),
+    }
+    return saved_page.check(pages, {k: (own[k], paper[k]) for k in paper}).where("code <> 'HTML_INCOMPLETE'")
