@@ -1,4 +1,4 @@
-"""Documents of JSON pointers made from the tables' columns, and articles of pages."""
+"""Documents of JSON pointers made from the tables' columns, articles of pages, and strict records."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids
-from quire.operators import page_events, pointer_tree, saved_page
+from quire.operators import page_events, pointer_tree, saved_page, schemas
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -133,3 +133,29 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "references": made(pos="1", text="'Ada'"),
     }
     return saved_page.check(pages, {k: (own[k], paper[k]) for k in paper}).where("code <> 'HTML_INCOMPLETE'")
+
+
+#: SQL of both engines: coverage records of orders, most of them with a fault or two.
+COVERAGE = """'{"requested":[' || CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '1,true,3' ELSE '1,2,' || CAST(3 + o_orderkey % 4 AS STRING) END || '],"returned":' || CASE o_orderkey % 7 WHEN 0 THEN '"all"' WHEN 1 THEN '[2,1]' WHEN 2 THEN '[1,0,"2",1.5]' ELSE '[1,2]' END
+    || CASE o_orderkey % 3 WHEN 0 THEN '' ELSE ',"empty":[' || CAST(o_custkey % 4 AS STRING) || ']' END || CASE WHEN o_custkey % 4 = 0 THEN ',"' || lower(o_orderstatus) || '":null}' ELSE '}' END"""
+
+
+@query(
+    "record_problems",
+    f"""WITH d AS (SELECT o_orderkey, ({COVERAGE})::JSON AS j FROM orders), f AS (SELECT o_orderkey, j, unnest(['requested', 'returned', 'empty']) AS name FROM d),
+    v AS (SELECT o_orderkey, name, j -> name AS v FROM f WHERE list_contains(json_keys(j), name)),
+    each AS (SELECT o_orderkey, name, i, v -> ('$[' || i || ']') AS x FROM (SELECT o_orderkey, name, v, unnest(range(0, json_array_length(v)::BIGINT)) AS i FROM v WHERE json_type(v) = 'ARRAY')),
+    bad AS (SELECT o_orderkey, '$.' || name AS path, 'missing field' AS problem FROM f WHERE NOT list_contains(json_keys(j), name)
+        UNION ALL SELECT o_orderkey, '$.' || k, 'unknown field' FROM (SELECT o_orderkey, unnest(json_keys(j)) AS k FROM d) WHERE k NOT IN ('requested', 'returned', 'empty')
+        UNION ALL SELECT o_orderkey, '$.' || name, 'no list' FROM v WHERE json_type(v) <> 'ARRAY'
+        UNION ALL SELECT o_orderkey, '$.' || name || '[' || i || ']', 'no integer of 1 or more' FROM each WHERE json_type(x) NOT IN ('UBIGINT', 'BIGINT') OR TRY_CAST(x AS BIGINT) < 1),
+    good AS (SELECT o_orderkey, (j -> 'requested')::BIGINT[] AS r, (j -> 'returned')::BIGINT[] AS t, (j -> 'empty')::BIGINT[] AS e FROM d WHERE o_orderkey NOT IN (SELECT o_orderkey FROM bad))
+    SELECT * FROM bad
+    UNION ALL SELECT o_orderkey, '$', 'no page requested' FROM good WHERE len(r) = 0
+    UNION ALL SELECT o_orderkey, '$', 'returned pages don''t rise' FROM good WHERE list_sort(list_distinct(t)) <> t
+    UNION ALL SELECT o_orderkey, '$', 'empty pages that were not returned' FROM good WHERE NOT list_has_all(t, e)""",
+)
+def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All problems of coverage records made from ``orders``: booleans and fractions as pages, texts for lists, fields too many or too few, pages that don't rise."""
+    found = schemas.checked(load(spark, sf_dir, "orders").select("o_orderkey", F.expr(COVERAGE).alias("json")), schemas.COVERAGE)
+    return found.select("o_orderkey", F.inline("problems"))
