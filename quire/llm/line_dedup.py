@@ -52,7 +52,7 @@ def _stripped(docs: DataFrame, host: str, ratio: float, least_pages: int) -> tup
     left = F.filter(F.col(before), lambda x: ~(_has_word(x) & F.array_contains(F.col(bad), line_key(x))))
     rows = rows.withColumn(good, F.when(F.size(bad) > 0, left).otherwise(F.col(before)))
     kept = F.when(text.isNotNull(), F.array_join(good, "\n"))
-    columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    columns = [kept.alias("text") if c == "text" else F.col(native.quoted(c)) for c in docs.columns]
     return rows.select(*columns, F.size(F.filter(F.col(before), _has_word)).cast("long").alias(lines), (F.size(before) - F.size(good)).cast("long").alias(dropped)), lines, dropped
 
 
@@ -65,7 +65,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     page. An empty table gives an empty result. Columns named lines or dropped are replaced.
     """
     out, lines, dropped = _stripped(docs, host, ratio, least_pages)
-    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lines", "dropped")]
+    columns = [F.col(native.quoted(c)) for c in docs.columns if c.lower() not in ("lines", "dropped")]
     return out.select(*columns, F.col(lines).alias("lines"), F.col(dropped).alias("dropped"))
 
 
@@ -78,4 +78,4 @@ def cleaned(docs: DataFrame, host: str = "source") -> DataFrame:
     out = _stripped(docs, host, RATIO, LEAST_PAGES)[0]
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*native.every(docs))

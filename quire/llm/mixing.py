@@ -124,4 +124,4 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, weights: tuple[int, .
     out = rows.withColumn("text", F.when(take == full, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.select(*native.every(docs))

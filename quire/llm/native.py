@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 
+
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever characters are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def every(rows: DataFrame) -> list[Column]:
+    """All columns of ``rows``, dots and quotes in their names or not."""
+    return [F.col(quoted(c)) for c in rows.columns]
+
+
 def fresh(rows: DataFrame, name: str) -> str:
     """A column name that ``rows`` doesn't have, without regard to case."""
     taken = {c.lower() for c in rows.columns}

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from quire.llm.arrow import batches_of, bounded_batches
 from quire.llm.components import connected_components
 from quire.llm.hashing import chunks, mix, shingle_sets
-from quire.llm.native import fresh
+from quire.llm.native import every, fresh
 from quire.sources.shared import materialize, small_side
 
 TREES, DEPTH, TAIL, HASHES = 22, 3, 8, 96
@@ -416,8 +416,8 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     own = text.select(row, F.col("text").cast("string").alias("text")).mapInArrow(_with_node(width), f"`{row}` long, text string, node long").select(row, "node")
     # nodes of the rows in question, each with its class
     classes = found.join(again.select(F.col("doc_id").alias(key)), found["doc_id"].eqNullSafe(F.col(key)), "left_semi").where("class is not null").groupBy("node").agg(F.first("class").alias("class"), F.first("component_id").alias("component_id"))
-    placed = text.select(F.col(row), F.col("doc_id").cast("long").alias("id"), F.to_json(F.struct(*docs.columns)).alias("order")).join(own, row).join(classes, "node", "left")
+    placed = text.select(F.col(row), F.col("doc_id").cast("long").alias("id"), F.to_json(F.struct(*every(docs))).alias("order")).join(own, row).join(classes, "node", "left")
     placed = materialize(placed.select(F.col(row).alias("row"), "id", "order", "class", "component_id"), "placed")
     first = placed.where("class is not null and id <=> component_id").groupBy("class").agg(F.min(F.struct("order", "row")).alias("x")).select("x.row")
     stay = materialize(first.union(placed.where("class is null").select("row")), "stay").withColumnRenamed("row", row)
-    return out.unionByName(text.join(stay, row, "left_semi").select(*docs.columns))
+    return out.unionByName(text.join(stay, row, "left_semi").select(*every(docs)))

@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.arrow import bounded_batches
 from quire.llm.hashing import BASE, _power_tables, mix
+from quire.llm.native import quoted
 
 #: The default vocabulary, and characters of a batch.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -435,5 +437,8 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(model)[0])
     others = [f for f in rows.schema if f.name not in ("ids", "text")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "text string"])
-    return rows.select(*(f.name for f in others), "ids").mapInArrow(_decode(shared, [f.name for f in others]), schema)
+    # under plain names on the way: a name with dots or quotes in it can't be handed to Python
+    plain = [f"c{i}" for i in range(len(others))]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(plain, others, strict=True)), T.StructField("text", T.StringType())])
+    given = rows.select(*(F.col(quoted(f.name)).alias(n) for n, f in zip(plain, others, strict=True)), "ids")
+    return given.mapInArrow(_decode(shared, plain), schema).toDF(*(f.name for f in others), "text")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brute import classes, statistics
@@ -166,3 +167,16 @@ def test_stages_edges(spark, edge, none):
     for rows in (none, edge):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, rows, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_stages_odd_names(spark, edge):
+    """Dots, quotes and blanks in names, and names that differ from a helper's by case: all columns keep their values."""
+    odd = {"a.b": "x", "a`b": "x + 1", "text.x": "x + 2", "c d": "x + 3", "KEYS": "x + 4", "`": "x + 5", "select": "x + 6"}
+    rows = edge.select("doc_id", "text", "lang", "source", "n_chars", *(F.expr(v).alias(k) for k, v in odd.items()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, "/root/testdata/sf0.001")
+        assert out.columns == rows.columns
+        assert all(tuple(r)[5:] == tuple(range(7)) for r in out.collect())
+    found = segmentation.encode(rows).withColumns({"a.b": F.lit(7), "c`d": F.lit(8)})
+    back = segmentation.decode(found)
+    assert back.columns == [c for c in found.columns if c != "ids"] + ["text"] and all((r["a.b"], r["c`d"]) == (7, 8) for r in back.collect())
