@@ -78,7 +78,7 @@ def table_label(caption: Column) -> Column:
 
 def equation_label(latex: Column) -> Column:
     """The last ``\\tag``, trimmed; null where there is none or it is blank."""
-    return F.nullif(F.trim(F.element_at(F.regexp_extract_all(latex, F.lit(r"\\tag\*?\{([^{}]*)\}"), F.lit(1)), -1)), F.lit(""))
+    return F.nullif(F.trim(F.try_element_at(F.regexp_extract_all(latex, F.lit(r"\\tag\*?\{([^{}]*)\}"), F.lit(1)), F.lit(-1))), F.lit(""))
 
 
 def supplement_name(name: Column) -> Column:
