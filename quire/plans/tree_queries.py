@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids
-from quire.operators import page_events, pointer_tree, saved_page, schemas
+from quire.operators import page_events, pointer_tree, saved_page, schemas, span_tree
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -159,3 +159,43 @@ def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All problems of coverage records made from ``orders``: booleans and fractions as pages, texts for lists, fields too many or too few, pages that don't rise."""
     found = schemas.checked(load(spark, sf_dir, "orders").select("o_orderkey", F.expr(COVERAGE).alias("json")), schemas.COVERAGE)
     return found.select("o_orderkey", F.inline("problems"))
+
+
+_O = "CAST(o_orderkey AS STRING)"
+_caption = lambda shift: sql.captions(f"(o_orderkey + {shift})")
+_part = lambda part, text: f"""'{{"type":"{part}","content":"' || {text} || '"}}'"""
+#: SQL of both engines: a document of two pages: visual blocks that a text may part, runs with links and formulas, a table, lists in lists, a formula.
+SPANS = f"""'{{"pages":[{{"page_idx":0,"blocks":[{{"type":"doc_title","content":"Order ' || {_O} || '"}},{{"type":"image","content":[' || {_part("image_caption", "'(a)'")} || ']}},' || CASE WHEN o_orderkey % 4 = 0 THEN '{{"type":"text","content":"between"}},7,' ELSE '' END
+    || '{{"type":"chart","content":[' || {_part("chart_caption", _caption(0))} || ',' || {_part("chart_footnote", "'note'")} || ',' || {_part("chart_caption", _caption(5))} || ']}},{{"type":"image","content":[]}},{{"type":"text","content":[{{"type":"text","content":"cost "}},{{"type":"equation_inline","content":"c_' || CAST(o_custkey AS STRING) || '"}},{{"type":"hyperlink","url":"u","content":[{{"type":"text","content":" see"}},{{"type":"text","content":" there"}}]}},{{"type":"text","content":[]}}]}}]}},'
+    || '{{"page_idx":1,"blocks":[{{"type":"table","content":[' || CASE WHEN o_orderkey % 3 = 0 THEN {_part("table_caption", _caption(1))} || ',' ELSE '' END || {_part("table_footnote", _caption(2))} || ',' || {_part("table_footnote", "'* by hand'")} || ',{{"type":"table_body","content":"<table><tr><td>1</td></tr></table>"}}]}},{{"type":"list","content":[{{"type":"text","content":"one"}},{{"type":"list","content":[' || CASE WHEN o_custkey % 2 = 0 THEN '{{"type":"list","content":[{{"type":"text","content":"deep"}}]}},' ELSE '' END || '{{"type":"text","content":"two"}}]}},{{"type":"text","content":"three"}}]}},'
+    || '{{"type":"equation","content":"x ' || CASE WHEN o_orderkey % 2 = 0 THEN chr(92) || chr(92) || 'tag{{' || {_O} || '}}' ELSE '' END || '"}}]}}]}}'"""
+
+
+@query(
+    "span_blocks",
+    f"""WITH d AS (SELECT o_orderkey AS doc, ({SPANS})::JSON AS j FROM orders),
+    b AS (SELECT doc, page, nth, j -> ('$.pages[' || (page - 1) || '].blocks[' || nth || ']') AS b FROM (SELECT doc, page, j, unnest(range(0, json_array_length(j, '$.pages[' || (page - 1) || '].blocks')::BIGINT)) AS nth FROM (SELECT doc, j, unnest([1, 2]) AS page FROM d))),
+    t AS (SELECT doc, page, nth, b, b ->> 'type' AS type, CASE WHEN json_type(b -> 'content') = 'ARRAY' THEN json_array_length(b, '$.content')::BIGINT ELSE 0 END AS n FROM b WHERE json_type(b) = 'OBJECT'),
+    kids AS (SELECT doc, page, nth, type, i, b -> ('$.content[' || i || ']') AS k FROM (SELECT *, unnest(range(0, n)) AS i FROM t)),
+    told AS (SELECT doc, page, nth, string_agg(CASE WHEN k ->> 'type' = 'hyperlink' THEN array_to_string(json_extract_string(k, '$.content[*].content'), '') WHEN json_type(k -> 'content') = 'VARCHAR' THEN k ->> 'content' ELSE '' END, '' ORDER BY i) AS text FROM kids WHERE type = 'text' GROUP BY doc, page, nth),
+    c AS (SELECT doc, page, nth, type, i, k ->> 'type' AS part, k ->> 'content' AS text FROM kids WHERE type IN ('image', 'chart', 'table')),
+    chosen AS (SELECT doc, page, nth, arg_min(text, i) AS caption, min(i) AS i FROM c WHERE suffix(part, '_caption') AND type <> 'table' AND {sql.label("text", ids.FIGURE_LABEL)} IS NOT NULL GROUP BY doc, page, nth),
+    v AS (SELECT t.*, caption, chosen.i AS ci, coalesce(sum(CASE WHEN type NOT IN ('image', 'chart') OR caption IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM t LEFT JOIN chosen USING (doc, page, nth)),
+    notes AS (SELECT v.doc, v.page, v.g, string_agg(c.text, '|' ORDER BY c.nth, c.i) AS notes FROM v JOIN c ON c.doc = v.doc AND c.page = v.page AND c.nth = v.nth WHERE v.type IN ('image', 'chart') AND c.text <> '(a)' AND c.i IS DISTINCT FROM v.ci GROUP BY v.doc, v.page, v.g),
+    figs AS (SELECT doc, page, min(nth) AS nth, 'figure' AS kind, max(caption) AS caption, count(*) AS panels, g FROM v WHERE type IN ('image', 'chart') GROUP BY doc, page, g),
+    tabs AS (SELECT doc, page, nth, list(text ORDER BY i) FILTER (WHERE part = 'table_caption') AS caps, list(text ORDER BY i) FILTER (WHERE part = 'table_footnote') AS foots FROM c WHERE type = 'table' GROUP BY doc, page, nth),
+    tcap AS (SELECT *, caps[1] AS own, {sql.label("caps[1]", ids.TABLE_LABEL)} AS l1, {sql.label("foots[1]", ids.TABLE_LABEL)} AS l2 FROM tabs),
+    flat AS (SELECT doc, page, nth, 'heading' AS kind, NULL AS label, NULL AS caption, b ->> 'content' AS shown FROM t WHERE type = 'doc_title'
+        UNION ALL SELECT t.doc, t.page, t.nth, 'paragraph', NULL, NULL, coalesce(text, b ->> 'content') FROM t LEFT JOIN told USING (doc, page, nth) WHERE type = 'text'
+        UNION ALL SELECT doc, page, nth, 'equation', nullif(regexp_extract(b ->> 'content', 'tag.([0-9]+)', 1), ''), NULL, b ->> 'content' FROM t WHERE type = 'equation'
+        UNION ALL SELECT doc, page, nth, 'list', NULL, NULL, array_to_string(list_transform(regexp_extract_all(b::VARCHAR, '"text","content":"[a-z]+'), lambda x: split_part(x, '"', 6)), '|') FROM t WHERE type = 'list'
+        UNION ALL SELECT doc, page, nth, 'table', coalesce(l1, l2), CASE WHEN own IS NULL AND l2 IS NOT NULL THEN foots[1] ELSE own END, CASE WHEN own IS NULL AND l2 IS NOT NULL THEN foots[2] ELSE array_to_string(foots, '|') END FROM tcap
+        UNION ALL SELECT f.doc, f.page, f.nth, 'figure', {sql.label("f.caption", ids.FIGURE_LABEL)}, f.caption, CASE WHEN f.caption IS NULL THEN 'unresolved' WHEN panels = 1 THEN 'single' ELSE 'caption_run' END || ':' || panels || ':' || coalesce(notes, '') FROM figs f LEFT JOIN notes n ON n.doc = f.doc AND n.page = f.page AND n.g = f.g)
+    SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page, nth)::INT AS pos, kind, label, caption, shown FROM flat""",
+)
+def span_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of nested documents made from ``orders``: figures of several panels, runs, lists in lists, table captions among the footnotes."""
+    found = span_tree.span_blocks(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.expr(SPANS).alias("json")))
+    text = lambda runs: F.array_join(F.transform(runs, lambda r: r["text"]), "")
+    shown = F.when(F.col("kind") == "figure", F.concat_ws(":", "grouping", F.size("panels").cast("string"), F.array_join("footnotes", "|"))).when(F.col("kind") == "list", F.array_join(F.transform("items", text), "|")).when(F.col("kind") == "table", F.array_join("footnotes", "|")).otherwise(text(F.col("runs")))
+    return found.select("doc", "page", "pos", "kind", "label", "caption", shown.alias("shown"))
