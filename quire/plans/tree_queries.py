@@ -1,12 +1,13 @@
-"""Documents of JSON pointers made from the tables' columns, articles of pages, and strict records."""
+"""Documents of JSON pointers made from the tables' columns, articles of pages, strict records, rendered documents and budgeted calls."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.functions import ids
-from quire.operators import page_events, pointer_tree, saved_page, schemas, span_tree
+from quire.operators import admission, page_events, pointer_tree, rendering, saved_page, schemas, span_tree
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -199,3 +200,40 @@ def span_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda runs: F.array_join(F.transform(runs, lambda r: r["text"]), "")
     shown = F.when(F.col("kind") == "figure", F.concat_ws(":", "grouping", F.size("panels").cast("string"), F.array_join("footnotes", "|"))).when(F.col("kind") == "list", F.array_join(F.transform("items", text), "|")).when(F.col("kind") == "table", F.array_join("footnotes", "|")).otherwise(text(F.col("runs")))
     return found.select("doc", "page", "pos", "kind", "label", "caption", shown.alias("shown"))
+
+
+@query(
+    "rendered_documents",
+    """WITH b AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS pos, 1 + l_linenumber // 3 AS page, (l_suppkey + l_linenumber) % 7 AS k, l_partkey, l_suppkey % 2 = 0 AS continues FROM lineitem),
+    r AS (SELECT *, k IN (1, 2) AS note, CASE WHEN k = 0 THEN '## Part ' || l_partkey WHEN k = 3 THEN '> ' ELSE '' END || CASE WHEN k > 0 THEN 'text ' || l_partkey || ' **$x$** [see](u)' ELSE '' END AS text FROM b WHERE k <> 6),
+    s AS (SELECT *, coalesce(lag(k IN (4, 5)) OVER w, FALSE) AS open, page IS DISTINCT FROM lag(page) OVER w AS turned FROM r WINDOW w AS (PARTITION BY doc, note ORDER BY pos)),
+    j AS (SELECT *, NOT note AND k IN (3, 4, 5) AND continues AND open AS joins, NOT note AND turned AS turns FROM s),
+    d AS (SELECT *, CASE WHEN joins THEN 2 * pos + 1 WHEN turns THEN 2 * pos - 1 END AS due FROM j),
+    f AS (SELECT *, CASE WHEN note THEN coalesce((SELECT min_by(e.due, e.pos) FROM d e WHERE e.doc = d.doc AND e.pos >= d.pos AND e.due IS NOT NULL), 1000000) ELSE 2 * pos END AS key FROM d),
+    t AS (SELECT doc, string_agg(CASE WHEN joins THEN chr(10) ELSE chr(10) || chr(10) END || CASE WHEN turns THEN '<!-- source: pdf page ' || page || ' -->' || chr(10) ELSE '' END || CASE WHEN note THEN '*Footnote (page ' || page || '):* ' ELSE '' END || text, '' ORDER BY key, pos) AS m FROM f GROUP BY doc)
+    SELECT doc, m || chr(10) AS markdown FROM t""".replace("**$x$**", "$x$"),
+)
+def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of documents made from ``lineitem``: headings, paragraphs that go on, asides, footnotes and furniture."""
+    rows = load(spark, sf_dir, "lineitem").withColumn("k", (F.col("l_suppkey") + F.col("l_linenumber")) % 7)
+    run = lambda kind, text, url="null": f"struct('{kind}' as kind, {text} as text, array() as styles, {url} as url)"
+    runs = F.expr(f"if(k = 0, array({run('text', 'concat(\'Part \', l_partkey)', 'cast(null as string)')}), array({run('text', 'concat(\'text \', l_partkey, \' \')', 'cast(null as string)')}, {run('math', '\'x\'', 'cast(null as string)')}, {run('text', '\' \'', 'cast(null as string)')}, {run('link', '\'see\'', '\'u\'')}))")
+    kind, role = F.expr("case k when 0 then 'heading' when 6 then 'furniture' else 'paragraph' end"), F.expr("case when k in (1, 2) then 'footnote' when k = 3 then 'aside' else 'body' end")
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    blocks = rows.select(F.col("l_orderkey").alias("doc"), F.expr("cast(1 + l_linenumber div 3 as int)").alias("page"), F.row_number().over(line).alias("pos"), kind.alias("kind"), role.alias("role"), F.lit(2).alias("level"), (F.col("l_suppkey") % 2 == 0).alias("continues"), runs.alias("runs"))
+    return rendering.document_markdown(blocks)
+
+
+@query(
+    "admitted_calls",
+    """WITH RECURSIVE c AS (SELECT c_custkey AS call, CASE WHEN c_custkey % 50 > 0 THEN 1000 + (c_custkey * 7919) % 40000 END AS cost, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS n FROM customer),
+    cap AS (SELECT sum(cost) // 3 AS cap FROM c),
+    run AS (SELECT 0::BIGINT AS n, 70000::HUGEINT AS spent, NULL::BIGINT AS call, FALSE AS admitted
+        UNION ALL SELECT c.n, run.spent + CASE WHEN run.spent + c.cost <= cap.cap THEN c.cost ELSE 0 END, c.call, coalesce(run.spent + c.cost <= cap.cap, FALSE) FROM run JOIN c ON c.n = run.n + 1, cap)
+    SELECT call, admitted FROM run WHERE n > 0""",
+)
+def admitted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls made from ``customer``, in order of nation and customer, under a third of what all could cost, part of which is spent."""
+    calls = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call"), "c_nationkey", F.expr("if(c_custkey % 50 > 0, 1000 + (cast(c_custkey as bigint) * 7919) % 40000, null)").alias("cost"))
+    cap = calls.agg(F.expr("sum(cost) div 3")).first()[0]
+    return admission.admitted(calls, ["c_nationkey", "call"], cap, 70_000).select("call", "admitted")
