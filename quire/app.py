@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids
-from quire.operators import catalog, compare, dedup, library_files, search, validate
+from quire.operators import catalog, dedup, library_files, search, validate
 from quire.sources import files, library, sinks
 
 #: Rows that a command prints; what it computes is not limited, and ``--out`` writes all.
@@ -102,11 +102,11 @@ def migrate(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
 
 @command("compare", _paths("reference", "other"))
 def compare_texts(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
-    """Paragraphs (JSON lines: doc, pos, text) of one reading that another mostly lacks."""
+    """Of paragraphs (JSON lines: doc, pos, text) of one reading: how many were compared, how many another one mostly lacks, and their share."""
     read = lambda path: spark.read.schema("doc string, pos long, text string").json(path)
     from quire.operators import report
 
-    return report.coverage(read(given.reference), read(given.other)).withColumn("share", F.lit(compare.COVERED))
+    return report.coverage(read(given.reference), read(given.other)).withColumn("share", F.round(F.col("absent") / F.col("compared"), 4))
 
 
 @command("attach", _paths("library", "files"))

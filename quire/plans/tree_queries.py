@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import ids
 from quire.operators import admission, page_events, pointer_tree, rendering, saved_page, schemas, span_tree
+from quire.operators import supplement_links as supplement_links_
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -237,3 +238,24 @@ def admitted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("call"), "c_nationkey", F.expr("if(c_custkey % 50 > 0, 1000 + (cast(c_custkey as bigint) * 7919) % 40000, null)").alias("cost"))
     cap = calls.agg(F.expr("sum(cost) div 3")).first()[0]
     return admission.admitted(calls, ["c_nationkey", "call"], cap, 70_000).select("call", "admitted")
+
+
+@query(
+    "supplement_links",
+    """WITH p AS (SELECT p_partkey, p_size % 4 AS f, p_size % 5 AS t, p_partkey % 3 AS n FROM part),
+    x AS (SELECT *, CASE WHEN f < 2 AND n > 0 THEN '[Fig. S' || f || '](si/' || p_partkey || 'a.md#figure-s' || f || ')' ELSE 'Fig. S' || f END AS a,
+        CASE WHEN n = 2 AND t < 3 THEN '[Supplementary Table ' || t || '](si/' || p_partkey || 'b.md#table-s' || t || ')' ELSE 'Supplementary Table ' || t END AS b, CASE WHEN n > 0 THEN '[Supporting Information](si/' || p_partkey || 'a.md)' ELSE 'Supporting Information' END AS c FROM p)
+    SELECT p_partkey, 'See ' || a || ', $Fig. S1$ and ' || b || '; the ' || c || '.' || CASE WHEN f < 2 AND n > 0 THEN '[Figure S' || f || '](si/' || p_partkey || 'a.md#figure-s' || f || ') ([original link](u))' ELSE '[Figure S' || f || '](u)' END AS markdown FROM x""",
+)
+def supplement_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers made from ``part`` with links to the figures of their first supplement and the tables of their second one, where they have those."""
+    rows = load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as paper", "p_partkey", "p_size % 4 as f", "p_size % 5 as t", "p_partkey % 3 as n")
+    run = lambda kind, text, url="cast(null as string)": f"struct('{kind}' as kind, {text} as text, array() as styles, {url} as url)"
+    said = [run("text", "concat('See Fig. S', f, ', ')"), run("math", "'Fig. S1'"), run("text", "concat(' and Supplementary Table ', t, '; the Supporting Information.')"), run("link", "concat('Figure S', f)", "'u'")]
+    blocks = rows.select("paper", "p_partkey", F.lit(1).alias("pos"), F.expr(f"array({', '.join(said)})").alias("runs"))
+    supplements = rows.select("paper", F.expr("inline(slice(array(struct(0 as ordinal, concat('si/', paper, 'a.md') as path, concat(paper, 'a') as doc), struct(1 as ordinal, concat('si/', paper, 'b.md') as path, concat(paper, 'b') as doc)), 1, cast(n as int)))"))
+    objects = [("a", 0, "figure", "S0"), ("a", 1, "figure", "S1"), ("b", 0, "table", "0"), ("b", 1, "table", "s1"), ("b", 2, "table", "S2"), ("b", 3, "table", "S2")]
+    made = rows.select("paper", F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("s", "pos", "kind", "label"), o, strict=True))) for o in objects))))
+    anchored = supplement_links_.anchors(made.select(F.concat("paper", "s").alias("doc"), "pos", F.col("pos").cast("string").alias("id"), "kind", "label", F.lit(False).alias("continues"), F.array().cast("array<struct<text: string>>").alias("runs")))
+    linked = supplement_links_.linked_runs(blocks, supplement_links_.targets(supplements, anchored))
+    return linked.select("p_partkey", rendering.inline(F.col("runs")).alias("markdown"))
