@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import ascii_fold, markdown_cell
 
 #: Words that a directory's name and a citation key pass over.
-NAME_STOP_WORDS = ["a", "an", "the", "of", "on", "in", "and", "for", "to", "with", "by", "at", "from", "via"]
-STOP_WORDS = ["a", "an", "and", "for", "from", "in", "of", "on", "the", "to", "with"]
+STOP_WORDS = ["a", "an", "the", "of", "on", "in", "and", "for", "to", "with", "by", "at", "from", "via"]
 
 
 def csv_field(value: Column) -> Column:
@@ -47,7 +46,7 @@ def directory_name(named: Column, family: Column, year: Column, title: Column, s
     """
     part = lambda c: F.regexp_replace(ascii_fold(c), "[^A-Za-z0-9]", "")
     upper = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))
-    telling = F.filter(F.split(F.coalesce(title, F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(NAME_STOP_WORDS))
+    telling = F.filter(F.split(F.coalesce(title, F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(STOP_WORDS))
     short = F.array_join(F.slice(F.filter(F.transform(telling, lambda w: upper(part(w))), lambda w: w != ""), 1, 3), "")
     name = F.concat_ws("_", F.coalesce(F.nullif(upper(part(family)), F.lit("")), F.lit("Anonymous")), F.coalesce(year.cast("string"), F.lit("nodate")), F.coalesce(F.nullif(short, F.lit("")), F.lit("Untitled")))
     full = F.concat(F.left(name, F.lit(96)), F.when(F.coalesce(taken, F.lit(False)), F.concat(F.lit("_"), F.left(sha256, F.lit(6)))).otherwise(""))

@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from quire.plans import compare_queries, dedup_queries, layout_queries, library_queries, record_queries, search_queries, state_queries, text_queries, tree_queries  # noqa: E402, F401
+from quire.plans import compare_queries, dedup_queries, layout_queries, library_queries, record_queries, run_queries, search_queries, state_queries, text_queries, tree_queries  # noqa: E402, F401

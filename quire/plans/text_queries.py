@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids, text
-from quire.operators import export, identity, records, validate
+from quire.operators import bibtex, export, identity, records, validate
 from quire.plans import sql
 from quire.plans.registry import query
 from quire.sources.tables import load
@@ -237,3 +237,23 @@ def registry_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records made from ``customer``, one row a field."""
     rows = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("title"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("journal"), F.col("c_nationkey").alias("year"))
     return records.flatten(rows, "c_custkey", ["title", "journal", "year"])
+
+
+@query(
+    "bibtex_entries",
+    """SELECT c_custkey, '@' || CASE c_custkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'phdthesis' ELSE 'misc' END || '{' || lower(c_mktsegment) || (1990 + c_nationkey) || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || ',' || chr(10)
+        || '  author = {' || c_mktsegment || ', A. and {Group \& Co}},' || chr(10) || '  title = {By ' || replace(c_name, '#', '\#') || ' {' || c_mktsegment || '\_X}},' || chr(10)
+        || '  ' || CASE c_custkey % 3 WHEN 0 THEN 'journal' WHEN 1 THEN 'school' ELSE 'booktitle' END || ' = {J 100\%},' || chr(10) || '  year = {' || (1990 + c_nationkey) || '},' || chr(10) || '  pages = {' || c_nationkey || '--' || c_custkey || '},' || chr(10)
+        || CASE WHEN c_custkey % 3 = 2 THEN '  publisher = {J 100\%},' || chr(10) ELSE '' END || '  doi = {10.1/' || c_custkey || '},' || chr(10) || '  url = {https://doi.org/10.1/' || c_custkey || '}' || chr(10) || '}' || chr(10) AS entry FROM customer""",
+)
+def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BibTeX entries of works made from ``customer``: escaped characters, protected capitals, three types."""
+    none = lambda kind: F.lit(None).cast(kind)
+    person = "struct<given: string, family: string, literal: string>"
+    authors = F.array(F.struct(F.lit("A.").alias("given"), F.col("c_mktsegment").alias("family"), none("string").alias("literal")), F.struct(none("string").alias("given"), none("string").alias("family"), F.lit("Group & Co").alias("literal")))
+    work = F.struct(
+        F.expr("case c_custkey % 3 when 0 then 'journal-article' when 1 then 'bibtex:phdthesis' else 'Dataset' end").alias("article_type"), authors.alias("authors"), none(f"array<{person}>").alias("editors"), F.concat(F.lit("By "), "c_name", F.lit(" "), "c_mktsegment", F.lit("_X")).alias("title"),
+        F.lit("J 100%").alias("journal"), (1990 + F.col("c_nationkey")).cast("int").alias("year"), none("string").alias("volume"), none("string").alias("issue"), F.concat_ws("-", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("pages"), none("string").alias("article_number"),
+        F.lit("J 100%").alias("publisher"), none("string").alias("url"), F.lit(False).alias("asserted"), F.concat(F.lit("10.1/"), "c_custkey").alias("doi"),
+    )
+    return load(spark, sf_dir, "customer").select("c_custkey", bibtex.entry(work).alias("entry"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import ids
-from quire.operators import admission, page_events, pointer_tree, rendering, saved_page, schemas, span_tree
+from quire.operators import admission, page_events, pointer_tree, rendering, reprocess, saved_page, schemas, span_tree
 from quire.operators import supplement_links as supplement_links_
 from quire.plans import sql
 from quire.plans.registry import query
@@ -259,3 +259,28 @@ def supplement_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchored = supplement_links_.anchors(made.select(F.concat("paper", "s").alias("doc"), "pos", F.col("pos").cast("string").alias("id"), "kind", "label", F.lit(False).alias("continues"), F.array().cast("array<struct<text: string>>").alias("runs")))
     linked = supplement_links_.linked_runs(blocks, supplement_links_.targets(supplements, anchored))
     return linked.select("p_partkey", rendering.inline(F.col("runs")).alias("markdown"))
+
+
+@query(
+    "stale_stages",
+    r"""WITH d AS (SELECT doc_id, doc_id::VARCHAR AS paper, sha256(text) AS t, sha256(lang || source) AS m FROM documents),
+    now AS (SELECT *, sha256('normalise' || chr(10) || '2' || chr(10) || 'native=' || t) AS n FROM d WHERE doc_id % 7 > 0),
+    wanted AS (SELECT doc_id, paper, 'normalise' AS stage, n AS digest FROM now
+        UNION ALL SELECT doc_id, paper, 'identity', sha256('identity' || chr(10) || '1' || chr(10) || 'metadata=' || CASE WHEN doc_id % 4 = 1 THEN '-' ELSE m END || chr(10) || 'normalise<' || n) FROM now),
+    old AS (SELECT *, sha256('normalise' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '2' ELSE '1' END || chr(10) || 'native=' || CASE WHEN doc_id % 3 = 0 THEN sha256('other') ELSE t END) AS n FROM d WHERE doc_id % 5 > 0),
+    held AS (SELECT paper, 'normalise' AS stage, n AS was FROM old UNION ALL SELECT paper, 'identity', sha256('identity' || chr(10) || '1' || chr(10) || 'metadata=' || CASE WHEN doc_id % 4 = 1 THEN '-' ELSE m END || chr(10) || 'normalise<' || n) FROM old)
+    SELECT paper, stage, CASE WHEN digest IS NULL THEN 'gone' WHEN was IS NULL THEN 'new' WHEN was <> digest THEN 'changed' ELSE 'current' END AS state FROM wanted FULL JOIN held USING (paper, stage)""",
+)
+def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of ``documents`` against what was published of them: other texts, other rules, papers that are new or gone, a part that some lack."""
+    docs = load(spark, sf_dir, "documents").withColumn("paper", F.col("doc_id").cast("string"))
+    stages = lambda version: [reprocess.Stage("normalise", version, ("native",)), reprocess.Stage("identity", "1", ("metadata",), ("normalise",))]
+
+    def parts(rows: DataFrame, text: str) -> DataFrame:
+        native = rows.selectExpr("paper", "'native' as part", f"sha2({text}, 256) as sha256")
+        return native.unionByName(rows.where("doc_id % 4 <> 1").selectExpr("paper", "'metadata' as part", "sha2(concat(lang, source), 256) as sha256"))
+
+    wanted = reprocess.digests(parts(docs.where("doc_id % 7 > 0"), "text"), stages("2"))
+    before = [reprocess.digests(parts(docs.where(f"doc_id % 5 > 0 and doc_id % 2 = {k}"), "if(doc_id % 3 = 0, 'other', text)"), stages(v)) for k, v in ((0, "2"), (1, "1"))]
+    published = before[0].unionByName(before[1]).withColumns({"turn": F.lit(1).cast("long"), "path": F.lit("")})
+    return reprocess.states(wanted, published).select("paper", "stage", "state")
