@@ -241,7 +241,7 @@ def registry_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bibtex_entries",
-    """SELECT c_custkey, '@' || CASE c_custkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'phdthesis' ELSE 'misc' END || '{' || lower(c_mktsegment) || (1990 + c_nationkey) || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || ',' || chr(10)
+    r"""SELECT c_custkey, '@' || CASE c_custkey % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'phdthesis' ELSE 'misc' END || '{' || lower(c_mktsegment) || (1990 + c_nationkey) || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') || ',' || chr(10)
         || '  author = {' || c_mktsegment || ', A. and {Group \& Co}},' || chr(10) || '  title = {By ' || replace(c_name, '#', '\#') || ' {' || c_mktsegment || '\_X}},' || chr(10)
         || '  ' || CASE c_custkey % 3 WHEN 0 THEN 'journal' WHEN 1 THEN 'school' ELSE 'booktitle' END || ' = {J 100\%},' || chr(10) || '  year = {' || (1990 + c_nationkey) || '},' || chr(10) || '  pages = {' || c_nationkey || '--' || c_custkey || '},' || chr(10)
         || CASE WHEN c_custkey % 3 = 2 THEN '  publisher = {J 100\%},' || chr(10) ELSE '' END || '  doi = {10.1/' || c_custkey || '},' || chr(10) || '  url = {https://doi.org/10.1/' || c_custkey || '}' || chr(10) || '}' || chr(10) AS entry FROM customer""",
