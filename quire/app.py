@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import ids
-from quire.operators import catalog, dedup, library_files, search, validate
+from quire.operators import catalog, dedup, library_files, merged_runs, search, validate
 from quire.sources import files, library, sinks
 
 #: Rows that a command prints; what it computes is not limited, and ``--out`` writes all.
@@ -59,6 +59,25 @@ def batch(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
     return planned.select("primary", "sha256", F.size("aliases").alias("aliases"), "known_as", state.alias("status"))
 
 
+@command("bundles", _paths("manifest", "directory"))
+def bundles(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
+    """A manifest's entries over a folder's files, by file name: digests of each entry's paper and supplements, its pages, and other entries' names that its bytes stand under."""
+    name = F.substring_index("path", "/", -1)
+    found = files.pdf_files(spark, given.directory).where("sha256 is not null").select(name.alias("path"), "sha256")
+    bare = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda p: F.substring_index(p, "/", -1))
+    entries = files.manifest(spark, given.manifest).where("size(problems) = 0").select("id", F.substring_index("paper", "/", -1).alias("paper"), bare(F.col("supplements")).alias("supplements"), bare(F.col("html")).alias("html"))
+    members = merged_runs.bundles(entries, found)
+    others = merged_runs.clashes(members).groupBy("id").agg(F.array_sort(F.collect_set("first")).alias("same_bytes_as"))
+    return merged_runs.pairing(members).join(others, "id", "left")
+
+
+@command("merge", _paths("results"))
+def merge(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
+    """The latest result of each source over sharded runs' results (JSON lines: run, sha256, status, stage, directory, finished)."""
+    rows = spark.read.schema("run string, sha256 string, status string, stage string, directory string, finished string").json(given.results)
+    return merged_runs.merged(rows).withColumnRenamed("status", "result")
+
+
 @command("dedup", _paths("directory"))
 def dedup_report(spark: SparkSession, given: argparse.Namespace) -> DataFrame:
     """Groups of files of equal bytes, and the supplements among them with their papers."""

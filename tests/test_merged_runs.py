@@ -1,5 +1,8 @@
 """Sharded runs and manifests' bundles."""
 
+import json
+
+from quire import app
 from quire.operators import merged_runs
 
 
@@ -22,3 +25,18 @@ def test_bundles(spark):
     assert sorted((r.id, r.role, r.n, r.sha256) for r in members.where("id = 'x'").collect() if r.role != "page") == [("x", "paper", 0, "1"), ("x", "supplement", 0, "4"), ("x", "supplement", 2, "5")]
     assert sorted((r.sha256, r.first, r.id, r.path) for r in merged_runs.clashes(members).collect()) == [("4", "x", "z", "s1copy"), ("5", "w", "x", "s2")]
     assert sorted(tuple(r) for r in merged_runs.pairing(members).collect()) == [("x", "1", ["4", "5"], ["h"]), ("y", "2", [], []), ("z", "3", ["4"], [])]
+
+
+def test_commands(spark, tmp_path, capsys):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, data in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-2"), ("s.pdf", b"%PDF-2")):
+        (folder / name).write_bytes(data)
+    lines = [{"schema": "batch_manifest", "schema_version": 1}, {"id": "x", "paper": "in/a.pdf", "supplements": ["in/s.pdf"]}, {"id": "y", "paper": "in/b.pdf", "html": ["in/y.html"]}, {"id": "z", "paper": "in/gone.pdf"}, {"id": "", "paper": "q"}]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    shown = lambda *given: [json.loads(x) for x in (app.main([str(g) for g in given], spark), capsys.readouterr().out)[1].splitlines() if x.startswith("{")]
+    got = {r["id"]: (len(r["supplements"]), r["pages"], r.get("same_bytes_as")) for r in shown("bundles", tmp_path / "m.jsonl", folder)}
+    assert got == {"x": (1, [], None), "y": (0, ["y.html"], ["x"])}
+    results = [{"run": "1", "sha256": "a", "status": "failed", "finished": "2026-01-01"}, {"run": "2", "sha256": "a", "status": "published", "directory": "A", "finished": "2026-01-02"}]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, results)))
+    assert [(r["sha256"], r["result"], r["state"], r["runs"]) for r in shown("merge", tmp_path / "r.jsonl")] == [("a", "published", "retried", 2)]
