@@ -313,6 +313,53 @@ def test_toxicity_labels(spark):
     assert above >= 0.88 and sum(x >= 0.5 for x in yes) >= 0.5 * len(yes) and sum(x >= 0.5 for x in no) <= 0.01 * len(no)
 
 
+def _plain_grams(text):
+    """A text's distinct four-character pieces, by the hash that tells them apart."""
+    bare, found = f" {' '.join((text or '').lower().split())} " if text else "", set()
+    for i in range(len(bare) - 3):
+        h = 0
+        for c in bare[i : i + 4]:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+        found.add((h ^ (h >> 31)) >> 46)
+    return found
+
+
+def test_toxicity_brute(spark, monkeypatch):
+    """Scores near, and with more steps at, the exact minimum of the penalised, balanced logistic loss over counts' log ratios, as Newton's method finds it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chosen = labels.where("toxic is not null").join(docs.where("length(text) < 4000").select("doc_id", "text"), "doc_id").orderBy("toxic", "doc_id").collect()
+    chosen = [r for k in (0, 1) for r in [x for x in chosen if x.toxic == k][:60]]
+    rows, toxic = [_plain_grams(r.text) for r in chosen], np.array([r.toxic == 1 for r in chosen])
+    yes, no = (Counter(f for x, t in zip(rows, toxic, strict=True) if t == k for f in x) for k in (True, False))
+    size = 2**18
+    ratio = {f: math.log((yes[f] + 1) / (sum(yes.values()) + size) * (sum(no.values()) + size) / (no[f] + 1)) for f in yes | no if yes[f] + no[f] >= 10}
+    ratio = {f: v for f, v in ratio.items() if v}
+    column = {f: i for i, f in enumerate(sorted(ratio))}
+    x = np.zeros((len(rows), len(column)))
+    for i, grams in enumerate(rows):
+        for f in grams & column.keys():
+            x[i, column[f]] = ratio[f]
+    d, k = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()), x @ x.T
+    a, b = np.zeros(len(rows)), 0.0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(k @ a + b)))
+        g, h = d * (p - toxic), d * p * (1 - p)
+        whole = np.block([[toxicity.RIDGE * np.eye(len(rows)) + h[:, None] * k, h[:, None]], [(h @ k)[None, :], np.array([[h.sum()]])]])
+        move = np.linalg.solve(whole, np.append(toxicity.RIDGE * a + g, g.sum()))
+        a, b = a - move[:-1], b - move[-1]
+    weights = x.T @ a
+    prior = toxicity.PRIOR * math.log(toxic.mean() / (1 - toxic.mean()))
+    want = {r.doc_id: 1 / (1 + math.exp(-(sum(weights[column[f]] * ratio[f] for f in grams & column.keys()) + b + prior))) for r, grams in zip(chosen, rows, strict=True)}
+    taught = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in chosen], "doc_id long, toxic int")
+    assert len(want) > 40
+    for steps, most in ((toxicity.STEPS, 0.05), (4000, 0.001)):
+        monkeypatch.setattr(toxicity, "STEPS", steps)
+        got = {r.doc_id: r.score for r in toxicity.scores(docs, taught).collect()}
+        assert max(abs(got[i] - w) for i, w in want.items()) < most
+
+
 def test_toxicity_edges(edge, none, labels):
     got = toxicity.scores(edge, labels)
     assert got.count() == edge.count() and got.where("score is null or score < 0 or score > 1").count() == 0
