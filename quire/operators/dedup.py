@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions import ids, text
 
@@ -70,17 +69,20 @@ def pair_supplements(files: DataFrame) -> DataFrame:
     """(name, paper, reason) for each supplement among ``files`` (name, dois).
 
     A paper that alone shares a DOI wins; else the paper with strictly the longest common prefix of ten
-    letters or more. Prefix candidates are found by their first ten letters, not by a cross join.
+    letters or more. Every prefix of a paper's name is a key, which counts its papers before the shuffle: no pairs are made,
+    however many names begin alike.
     """
     rows = files.withColumn("is_supplement", ids.supplement_name(F.col("name")))
     papers, supplements = rows.where("not is_supplement"), rows.where("is_supplement")
-    by_doi = supplements.select("name", F.explode("dois").alias("doi")).join(papers.select(F.col("name").alias("paper"), F.explode("dois").alias("doi")), "doi").select("name", "paper").distinct()
-    by_doi = by_doi.groupBy("name").agg(F.min("paper").alias("paper"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", F.col("paper").alias("by_doi"))
-    head = lambda c: F.left(F.lower(c), F.lit(LEAST_PREFIX))
-    near = supplements.select("name", head(F.col("name")).alias("head")).join(papers.select(F.col("name").alias("paper"), head(F.col("name")).alias("head")), "head").where(F.length("head") == LEAST_PREFIX)
-    shared = F.expr("size(filter(sequence(1, least(length(name), length(paper))), i -> left(lower(name), i) = left(lower(paper), i)))")
-    ranked = near.select("name", "paper", shared.alias("shared")).withColumns({"rank": F.row_number().over(Window.partitionBy("name").orderBy(F.desc("shared"), "paper")), "next": F.lead("shared").over(Window.partitionBy("name").orderBy(F.desc("shared"), "paper"))})
-    by_name = ranked.where("rank = 1 and (next is null or next < shared)").select("name", F.col("paper").alias("by_name"))
+    named = supplements.select("name").distinct()
+    only = lambda: [F.min("paper").alias("paper"), F.max("paper").alias("last")]
+    of_doi = papers.select(F.col("name").alias("paper"), F.explode("dois").alias("doi")).groupBy("doi").agg(*only())
+    # a DOI's first and last paper tell whether a supplement's DOIs lead to one paper
+    by_doi = supplements.select("name", F.explode("dois").alias("doi")).join(of_doi, "doi").groupBy("name").agg(F.min("paper").alias("by_doi"), F.max("last").alias("last")).where("by_doi = last").drop("last")
+    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.length("name")), lambda i: i >= LEAST_PREFIX), lambda i: F.left(F.lower("name"), i))
+    heads = papers.where(F.length("name") > 0).select(F.col("name").alias("paper"), F.explode(prefixes).alias("head")).groupBy("head").agg(*only())
+    met = named.where(F.length("name") > 0).select("name", F.explode(prefixes).alias("head")).join(heads, "head")
+    by_name = met.groupBy("name").agg(F.max_by(F.struct("paper", "last"), F.length("head")).alias("m")).where("m.paper = m.last").select("name", F.col("m.paper").alias("by_name"))
     out = supplements.select("name").join(by_doi, "name", "left").join(by_name, "name", "left")
     reason = F.when(F.col("by_doi").isNotNull(), "shared DOI").when(F.col("by_name").isNotNull(), "file name").otherwise("unpaired")
     return out.select("name", F.coalesce("by_doi", "by_name").alias("paper"), reason.alias("reason"))

@@ -72,6 +72,20 @@ def test_pair_supplements(spark):
     assert got == {"smith2020optics_si.pdf": "smith2020optics.pdf", "b_supp.pdf": "smith2020optics.pdf", "short_si.pdf": None}
 
 
+def test_pair_supplements_that_begin_alike(spark):
+    """Many names with one beginning make no pairs; a paper listed twice is one paper, two at the same distance are none."""
+    paper = lambda i: f"/in/library/{i:05d}paper"
+    rows = [(f"{paper(i)}{end}", []) for i in range(3000) for end in (".pdf", "_si.pdf")] + [(f"{paper(7)}.pdf", [])]
+    rows += [("/in/library/x1_si.pdf", []), ("/in/library/x1.pdf", []), ("/in/library/x2_si.pdf", ["10.1/b"]), ("/in/library/X2a.pdf", ["10.1/b"]), ("/in/library/x2b.pdf", []), ("/in/library/x2c_si.pdf", []), ("/in/library/y_si.pdf", ["10.1/b", "10.1/d"]), ("z.pdf", ["10.1/d"])]
+    found = dedup.pair_supplements(spark.createDataFrame(rows, "name string, dois array<string>"))
+    got = {r.name: (r.paper, r.reason) for r in found.collect()}
+    assert all(got[f"{paper(i)}_si.pdf"] == (f"{paper(i)}.pdf", "file name") for i in range(3000))
+    assert got["/in/library/x1_si.pdf"] == ("/in/library/x1.pdf", "file name")
+    assert got["/in/library/x2_si.pdf"] == ("/in/library/X2a.pdf", "shared DOI")
+    assert got["/in/library/x2c_si.pdf"] == (None, "unpaired")
+    assert got["/in/library/y_si.pdf"] == (None, "unpaired")
+
+
 def test_tables(spark):
     grid = html.table_grid("<table><tr><td rowspan=2>a<td colspan=2>b</tr><tr><td>c<td>d &amp; e</tr></table>")
     assert [(c["row"], c["column"], c["text"]) for c in grid["cells"]] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (1, 2, "d & e")]
