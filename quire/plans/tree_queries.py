@@ -11,6 +11,7 @@ from quire.operators import admission, page_events, pointer_tree, rendering, rep
 from quire.operators import supplement_links as supplement_links_
 from quire.plans import sql
 from quire.plans.registry import query
+from quire.sources.shared import spread
 from quire.sources.tables import load
 
 K, S = "p_partkey", "p_size"
@@ -68,7 +69,7 @@ DOCUMENT = f"""'{{"formulas":true,"runs":[{{"document":{{"body":{{"children":['
 )
 def pointer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pointer documents made from ``part``: groups below groups, shared, circular and without a target, lists, references, captions, furniture."""
-    found = pointer_tree.pointer_blocks(load(spark, sf_dir, "part").select(F.col(K).alias("doc"), F.expr(DOCUMENT).alias("json")))
+    found = pointer_tree.pointer_blocks(spread(load(spark, sf_dir, "part"), K).select(F.col(K).alias("doc"), F.expr(DOCUMENT).alias("json")))
     text = lambda runs: F.array_join(F.transform(runs, lambda r: r["text"]), "")
     shown = F.when(F.col("kind") == "list", F.array_join(F.transform("items", text), "|")).otherwise(text(F.col("runs")))
     return found.select("doc", "pos", "page", "kind", "role", F.when(F.col("kind") == "unknown", "").otherwise(shown).alias("shown"), "caption", "label")
@@ -197,7 +198,7 @@ SPANS = f"""'{{"pages":[{{"page_idx":0,"blocks":[{{"type":"doc_title","content":
 )
 def span_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of nested documents made from ``orders``: figures of several panels, runs, lists in lists, table captions among the footnotes."""
-    found = span_tree.span_blocks(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.expr(SPANS).alias("json")))
+    found = span_tree.span_blocks(spread(load(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("doc"), F.expr(SPANS).alias("json")))
     text = lambda runs: F.array_join(F.transform(runs, lambda r: r["text"]), "")
     shown = F.when(F.col("kind") == "figure", F.concat_ws(":", "grouping", F.size("panels").cast("string"), F.array_join("footnotes", "|"))).when(F.col("kind") == "list", F.array_join(F.transform("items", text), "|")).when(F.col("kind") == "table", F.array_join("footnotes", "|")).otherwise(text(F.col("runs")))
     return found.select("doc", "page", "pos", "kind", "label", "caption", shown.alias("shown"))

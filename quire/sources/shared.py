@@ -36,6 +36,13 @@ def small_side(side: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(side) if side.count() <= most else side
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all cores: for narrow tables in few files whose rows grow large, before they do."""
+    spark = df.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -142,3 +142,14 @@ def test_malformed_pages(spark):
     native = spark.createDataFrame([("d", '{"children":[{"id":"/page/3/Page/1","children":[{"block_type":"Text","html":"a"}]},{"id":"/page/x","children":[{"block_type":"Text","html":"b"}]},{"children":[]}]}')], "doc string, json string")
     assert [(b.page, b.html) for b in normalize.tree_blocks(native).collect()] == [(4, "a")]
     assert [r.code for r in normalize.malformed_pages(native).collect()] == ["PAGE_MALFORMED"] * 2
+
+
+def test_stored_items_are_dealt_over_all_cores(spark, monkeypatch):
+    """A narrow table of one small file is dealt out before its rows grow into documents."""
+    from quire.plans import registry
+
+    dealt = {}
+    stored = pointer_tree.materialize
+    monkeypatch.setattr(pointer_tree, "materialize", lambda df, label: dealt.setdefault(label, df.rdd.getNumPartitions()) and stored(df, label))
+    registry.QUERIES["pointer_blocks"](spark, "/root/testdata/sf0.001")
+    assert dealt["nodes"] >= spark.sparkContext.defaultParallelism
