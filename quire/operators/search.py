@@ -216,14 +216,27 @@ def _similar(left: DataFrame, right: DataFrame, least: float, between: bool) ->
     words = left.unionByName(right) if between else left
     rarity = words.select(F.explode("w").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("often"))
 
+    slack = 1e-9  # sizes times a fraction are rounded so that no pair at the limit is lost
+
     def prefix(rows: DataFrame) -> DataFrame:
         ranked = rows.select("id", "n", F.size("w").alias("size"), F.explode("w").alias("t")).join(rarity, "t").withColumn("r", F.row_number().over(Window.partitionBy("id", "n").orderBy("often", "t")))
-        return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select("id", "n", "size", "t")
-
-    a, b = prefix(left).alias("a"), prefix(right).alias("b")
-    fits = (F.col("a.size") * least <= F.col("b.size")) & (F.col("b.size") * least <= F.col("a.size"))
-    fits = fits if between else fits & (F.col("a.id") < F.col("b.id"))
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & fits).select(F.col("a.id").alias("a"), F.col("a.n").alias("na"), F.col("b.id").alias("b"), F.col("b.n").alias("nb")).distinct()
+        return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - slack) + 1).select("id", "n", "size", "r", "t")
+
+    def met(small: DataFrame, large: DataFrame, fits: Column) -> DataFrame:
+        """Pairs (s, l) of a row and one of its size or larger that share a word of both prefixes."""
+        # of a pair, the smaller one shares at least 2 * least / (1 + least) of its words: its prefix is shorter, and frequent words seldom reach it
+        short = small.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - slack) + 1).alias("s")
+        return short.join(large.alias("l"), (F.col("s.t") == F.col("l.t")) & (F.col("s.size") <= F.col("l.size")) & (F.col("l.size") * least - slack <= F.col("s.size")) & fits)
+
+    sides = lambda a, b: [F.col(f"{a}.id").alias("a"), F.col(f"{a}.n").alias("na"), F.col(f"{b}.id").alias("b"), F.col(f"{b}.n").alias("nb")]
+    if between:
+        a, b = prefix(left), prefix(right)
+        pairs = met(a, b, F.lit(True)).select(*sides("s", "l")).unionByName(met(b, a, F.col("s.size") < F.col("l.size")).select(*sides("l", "s"))).distinct()
+    else:
+        a = prefix(left)
+        first = F.col("s.id") < F.col("l.id")
+        pick = lambda x, y: F.when(first, x).otherwise(y)
+        pairs = met(a, a, (F.col("s.id") != F.col("l.id")) & ((F.col("s.size") < F.col("l.size")) | first)).select(*(pick(F.col(f"s.{c}"), F.col(f"l.{c}")).alias(n) for c, n in (("id", "a"), ("n", "na"))), *(pick(F.col(f"l.{c}"), F.col(f"s.{c}")).alias(n) for c, n in (("id", "b"), ("n", "nb")))).distinct()
     full = lambda rows, c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("w").alias(f"w_{c}"))
     overlap = F.size(F.array_intersect("w_a", "w_b")) / F.size(F.array_union("w_a", "w_b"))
     return pairs.join(full(left, "a"), ["a", "na"]).join(full(right, "b"), ["b", "nb"]).select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= least)
@@ -232,7 +245,8 @@ def _similar(left: DataFrame, right: DataFrame, least: float, between: bool) ->
 def similar_titles(rows: DataFrame, key: str, title: str, least: float = 0.8) -> DataFrame:
     """(a, b, overlap): pairs of keys whose titles' words overlap by ``least`` of their union.
 
-    Prefix filter: of a title's words, rarest first, one of the first n - ceil(least * n) + 1 must be shared.
+    Prefix filter: of the larger title's words, rarest first, one of the first n - ceil(least * n) + 1 must be shared, and of
+    the smaller one's one of the first n - ceil(2 * least / (1 + least) * n) + 1.
     """
     return _similar(rows.select(F.col(key).alias("id"), F.col(title).alias("k")), rows, least, between=False)
 

@@ -86,6 +86,22 @@ def test_pair_supplements_that_begin_alike(spark):
     assert got["/in/library/y_si.pdf"] == (None, "unpaired")
 
 
+def test_similar_titles_by_prefixes_of_both_sides(spark):
+    """All pairs of random titles as by brute force, between two tables and within one; titles of frequent words and one rare word make no candidates."""
+    from random import Random
+
+    random = Random(4)
+    titles = [" ".join(random.choices("abcdefghijklmnopqrst"[: random.choice([3, 6, 20])], k=random.randint(1, 24))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, k string")
+    words = [set(t.split()) for t in titles]
+    want = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(words) for j, y in enumerate(words) if 5 * len(x & y) >= 4 * len(x | y)}
+    both = {(r.a, r.b): r.overlap for r in search._similar(rows, rows, 0.8, between=True).collect()}
+    assert both == want
+    assert {(r.a, r.b): r.overlap for r in search.similar_titles(rows, "id", "k").collect()} == {p: v for p, v in want.items() if p[0] < p[1]}
+    many = spark.range(100_000).selectExpr("id", "concat('large ring ', id div 2, ' in small') as k")
+    assert search._similar(many, many, 0.8, between=True).count() == 200_000
+
+
 def test_tables(spark):
     grid = html.table_grid("<table><tr><td rowspan=2>a<td colspan=2>b</tr><tr><td>c<td>d &amp; e</tr></table>")
     assert [(c["row"], c["column"], c["text"]) for c in grid["cells"]] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (1, 2, "d & e")]
