@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import ascii_fold
+from quire.functions.text import ascii_fold, once
 
 # The shapes of identifiers, labels and file names.
 DOI = r"10\.\d{4,9}/[^\s\"<>]+"
@@ -38,7 +38,7 @@ PUBLISHER_FILES = [
 def normalize_doi(text: Column) -> Column:
     """A DOI without prefix and trailing punctuation, lower case; null where the rest is none."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(text), DOI_PREFIXES, ""), TRAILING, "")
-    return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(bare))
+    return once(bare, lambda b: F.when(b.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(b)))
 
 
 def first_seen(values: Column) -> Column:
@@ -102,9 +102,12 @@ def filename_dois(name: Column) -> Column:
 
 def split_name(name: Column) -> Column:
     """Initials and surname as (given, family), where a name is one to four initials and one capitalised surname; else null."""
-    words = F.trim(F.regexp_replace(name, r"\s+", " "))
-    given = F.trim(F.regexp_extract(words, INITIALS_NAME, 1))
-    return F.when(words.rlike(INITIALS_NAME) & (given != ""), F.struct(given.alias("given"), F.regexp_extract(words, INITIALS_NAME, 2).alias("family")))
+
+    def parts(words: Column) -> Column:
+        given = F.trim(F.regexp_extract(words, INITIALS_NAME, 1))
+        return F.when(words.rlike(INITIALS_NAME) & (given != ""), F.struct(given.alias("given"), F.regexp_extract(words, INITIALS_NAME, 2).alias("family")))
+
+    return once(F.trim(F.regexp_replace(name, r"\s+", " ")), parts)
 
 
 def bibtex_authors(names: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 TRANSLITERATIONS = [("ł", "l"), ("Ł", "L"), ("ø", "o"), ("Ø", "O"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ß", "ss"), ("đ", "d"), ("Đ", "D"), ("þ", "th"), ("Þ", "Th"), ("ð", "d"), ("Ð", "D"), ("ı", "i")]
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value as a lambda's argument: however often ``f`` names it, it is computed, and stands in the plan, once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _combining() -> str:
     """A regex class of the characters with a combining class, made by rule; the mark test comes first as it is quick."""
     marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
@@ -155,6 +161,10 @@ def _without_tex(text: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Characters for HTML entities: numbers, and names of the usual length."""
+    return once(text, _unescaped)
+
+
+def _unescaped(text: Column) -> Column:
     entity = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
     def character(name: Column) -> Column:
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")

@@ -27,7 +27,8 @@ SEARCH_ROWS, FOUND, UNKNOWN = 10, 200, 404
 def plain(value: Column) -> Column:
     """A provider's text without tags and entities, single-spaced; null where nothing is left. Formulas are words of their own."""
     apart = F.regexp_replace(F.regexp_replace(value, r"<(?:mml:)?math\b", " $0"), r"</(?:mml:)?math>", "$0 ")
-    return F.nullif(text.squash(text.unescaped(F.regexp_replace(apart, r"<[^>]+>", ""))), F.lit(""))
+    bare = text.squash(text.unescaped(F.regexp_replace(apart, r"<[^>]+>", "")))
+    return text.once(bare, lambda b: F.nullif(b, F.lit("")))
 
 
 def first(values: Column) -> Column:
@@ -42,14 +43,21 @@ def strings(values: Column) -> Column:
 
 def author(given: Column, family: Column, literal: Column, orcid: Column, sequence: Column) -> Column:
     """A name of five parts. A whole name that was delivered as the family name is split, and kept as the literal one."""
-    parts = F.when(given.isNull() & literal.isNull(), ids.split_name(family))
-    return F.struct(
-        F.coalesce(parts["given"], given).alias("given"),
-        F.coalesce(parts["family"], family).alias("family"),
-        F.when(parts.isNotNull(), family).otherwise(literal).alias("literal"),
-        orcid.alias("orcid"),
-        sequence.alias("sequence"),
-    )
+
+    def named(p: Column) -> Column:
+        parts = F.when(p["given"].isNull() & p["literal"].isNull(), ids.split_name(p["family"]))
+        return text.once(
+            parts,
+            lambda s: F.struct(
+                F.coalesce(s["given"], p["given"]).alias("given"),
+                F.coalesce(s["family"], p["family"]).alias("family"),
+                F.when(s.isNotNull(), p["family"]).otherwise(p["literal"]).alias("literal"),
+                p["orcid"].alias("orcid"),
+                p["sequence"].alias("sequence"),
+            ),
+        )
+
+    return text.once(F.struct(given.alias("given"), family.alias("family"), literal.alias("literal"), orcid.alias("orcid"), sequence.alias("sequence")), named)
 
 
 def _people(values: Column) -> Column:
@@ -127,12 +135,12 @@ def entry(a: Column) -> Column:
 
 def parse_crossref(body: Column) -> Column:
     """The record of a works response's JSON."""
-    return work(F.from_json(body, f"message {WORK}")["message"])
+    return text.once(F.from_json(body, f"message {WORK}")["message"], work)
 
 
 def parse_datacite(body: Column) -> Column:
     """The record of a DOI response's JSON."""
-    return entry(F.from_json(body, f"data struct<attributes {ENTRY}>")["data"]["attributes"])
+    return text.once(F.from_json(body, f"data struct<attributes {ENTRY}>")["data"]["attributes"], entry)
 
 
 def lookup(wanted: DataFrame, responses: DataFrame) -> DataFrame:
@@ -167,7 +175,7 @@ def search_hits(queries: DataFrame, responses: DataFrame) -> DataFrame:
     items = F.slice(F.from_json("body", f"message struct<items array<{WORK}>>")["message"]["items"], 1, SEARCH_ROWS)
     answers = responses.where(F.col("status") == FOUND).select("query", items.alias("_items"))
     hits = queries.join(answers, "query").select("doc", "ordinal", F.posexplode("_items").alias("place", "_w"))
-    return hits.select("doc", "ordinal", "place", work(F.col("_w")).alias("record")).where("record.doi is not null")
+    return hits.select("doc", "ordinal", "place", text.once(F.col("_w"), work).alias("record")).where("record.doi is not null")
 
 
 def flatten(records: DataFrame, key: str, fields: list[str]) -> DataFrame:

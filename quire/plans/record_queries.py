@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import ids, text
 from quire.operators import records, resolution
 from quire.plans.registry import query
+from quire.sources.shared import spread
 from quire.sources.tables import load
 
 
@@ -40,7 +41,7 @@ def _work(key: str = "p_partkey") -> Column:
 )
 def crossref_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works made from ``part``, read into records."""
-    rows = load(spark, sf_dir, "part").select("p_partkey", records.parse_crossref(_work()).alias("r"))
+    rows = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", records.parse_crossref(_work()).alias("r"))
     shown = lambda a: F.concat_ws("|", *(F.coalesce(a[c], F.lit("-")) for c in ("given", "family", "literal")))
     names = F.array_join(F.transform("r.authors", shown), ";")
     relations = F.array_join(F.transform("r.relations", lambda x: F.concat_ws(" ", x["kind"], x["doi"])), ";")
@@ -62,7 +63,7 @@ def _entry(key: str) -> Column:
 @query("datacite_records", "SELECT c_custkey, '10.2000/c' || c_custkey AS doi, 'Text' AS type, c_name AS title, 'Bo ' || c_mktsegment || ' 0000-1' AS author, 1990 + c_nationkey AS year, 'About ' || c_name AS abstract FROM customer")
 def datacite_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries made from ``customer``, read into records."""
-    rows = load(spark, sf_dir, "customer").select("c_custkey", records.parse_datacite(_entry("c_custkey")).alias("r"))
+    rows = spread(load(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", records.parse_datacite(_entry("c_custkey")).alias("r"))
     lead = F.get("r.authors", F.lit(0))
     return rows.select("c_custkey", "r.doi", "r.type", "r.title", F.concat_ws(" ", lead["given"], lead["family"], lead["orcid"]).alias("author"), F.get("r.issued", F.lit(0)).alias("year"), "r.abstract")
 

@@ -41,3 +41,15 @@ def test_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["doc_id", "held_by", "text_sha256"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["crossref_records", "datacite_records"])
+def test_narrow_tables_are_dealt_over_all_cores(spark, name):
+    """A small file's rows are dealt out before they grow into responses and are parsed."""
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_parsed_response_stands_once_in_the_plan(spark):
+    """However many fields are read of it, a response is parsed by one expression."""
+    plan = registry.QUERIES["crossref_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
