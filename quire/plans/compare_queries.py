@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import bags, compare, export, html
 from quire.plans import sql
 from quire.plans.registry import query
+from quire.sources.shared import small_batches
 from quire.sources.tables import load
 
 @query(
@@ -125,6 +126,7 @@ def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_article")
 def page_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, headings and paragraphs of pages; HTML has no SQL form."""
+    small_batches(spark)
     a = load(spark, sf_dir, "pages").select("page_id", html.parse_article("html").alias("a"))
     return a.select("page_id", "a.title", F.size("a.headings").alias("headings"), F.size("a.paragraphs").alias("paragraphs"), F.aggregate("a.paragraphs", F.lit(0), lambda x, p: x + F.length(p)).alias("characters"), "a.links")
 
@@ -132,6 +134,7 @@ def page_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_text_coverage")
 def page_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each page's paragraphs the documents hold."""
+    small_batches(spark)
     a = load(spark, sf_dir, "pages").select("page_id", html.parse_article("html").alias("a"))
     p = a.select(F.col("page_id"), F.posexplode("a.paragraphs").alias("n", "text")).withColumn("key", F.concat_ws(":", "page_id", "n"))
     left = compare.uncovered(p, load(spark, sf_dir, "documents"), "key").select("key", F.round("share", 6).alias("share"))

@@ -43,6 +43,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """From now on the session hands Python ``rows`` rows at most at once: for rows that hold whole pages. A smaller setting stays.
+
+    Results are lazy, so this can't be undone before they are read.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

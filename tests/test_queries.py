@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
+from quire.operators import html
 from quire.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -53,3 +54,11 @@ def test_a_parsed_response_stands_once_in_the_plan(spark):
     """However many fields are read of it, a response is parsed by one expression."""
     plan = registry.QUERIES["crossref_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_pages_go_through_python_a_few_at_a_time(spark):
+    """A worker holds the results of a few pages, however many a batch has, and the session hands it few."""
+    sizes = [len(out) for out in html.parse_article.func(iter([pd.Series(["<p>x</p>"] * 600), pd.Series([None])]))]
+    assert max(sizes) <= html.ROWS_OUT and sum(sizes) == 601
+    registry.QUERIES["page_text_coverage"](spark, DATA)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
