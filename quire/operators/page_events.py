@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import ids
 from quire.operators.html import VOID, parse_table
-from quire.sources.shared import materialize
+from quire.sources.shared import materialize, spread
 
 # Elements whose content is no text, those that part words, those that an element ends, and names of classes.
 SILENT = {"script", "style", "noscript", "template", "button", "nav", "form", "select", "iframe", "svg", "mjx-assistive-mml", "mjx-speech", "canvas"}
@@ -236,13 +236,16 @@ def elements(rows: DataFrame) -> DataFrame:
     caption = F.col("tag").isin("figcaption", "caption") | F.col("names").rlike(CAPTIONS)
     found = found.withColumns({"caption": caption, "box": F.col("boxed").rlike(REFERENCE_BOX), "text": F.coalesce("text", F.lit("")), "entry": F.coalesce("entry", F.lit(""))})
     ends = F.explode(F.array(F.struct(F.col("n").alias("at"), F.lit(1).alias("step")), F.struct(F.col("last").alias("at"), F.lit(-1).alias("step")))).alias("e")
-    events = found.select("*", ends).select("*", "e.at", "e.step").drop("e")
+    # an end needs no texts; dealt by page into as many parts as a shuffle has, so that what a task sorts stays small
+    at_start = {c: F.when(F.col("e.step") == 1, F.col(c)) for c in ("names", "above", "dois", "src", "text", "entry")}
+    found = found.withColumn("item_id", F.col("id").rlike(REFERENCE_ITEM)).drop("id", "boxed", "owners")
+    events = spread(found.select("*", ends).withColumns(at_start).select("*", "e.at", "e.step").drop("e"), "doc")
     # an end comes before a start at its place; of several ends the inner one comes first
     order = Window.partitionBy("doc").orderBy("at", "step", F.col("n") * F.col("step"))
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     count = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("step"))).over(before), F.lit(0))
     events = events.withColumns({"in_boxes": count(F.col("box")), "in_captions": count(F.col("caption")), "in_tables": count(F.col("tag") == "table"), "in_shown": count(F.col("shown") & (F.col("tag") != "math"))})
-    opened = (F.col("step") == 1) & (((F.col("tag") == "li") & (F.col("in_boxes") > 0)) | (F.col("id").rlike(REFERENCE_ITEM) & F.col("tag").isin("p", "li", "div")))
+    opened = (F.col("step") == 1) & (((F.col("tag") == "li") & (F.col("in_boxes") > 0)) | (F.col("item_id") & F.col("tag").isin("p", "li", "div")))
     # what an element is, is known at its start: its end takes it from there
     of_element = Window.partitionBy("doc", "n")
     events = events.withColumn("item", F.max(opened).over(of_element))

@@ -235,3 +235,16 @@ def test_tall_page(spark):
 @pytest.mark.parametrize("html", ["<", "<p", "<!--", "</p></p>", "<table><td>", "<math>", "<li id=ref1>a"])
 def test_broken(html):
     assert all(r["n"] < r.get("last", r["n"] + 1) for r in page_events.scanned(html))
+
+
+def test_elements_are_dealt_by_page_without_texts_at_ends(spark, monkeypatch):
+    """What a task sorts is a page's share of a shuffle; an element's end carries no texts into the windows."""
+    dealt = []
+    deal = page_events.spread
+    monkeypatch.setattr(page_events, "spread", lambda df, *keys: dealt.append((df, keys)) or deal(df, *keys))
+    pages = spark.createDataFrame([("a", "<article><p>" + "word " * 20 + "</p><p>" + "more " * 20 + "</p></article>")], "doc string, html string")
+    found = page_events.elements(page_events.page_rows(pages))
+    (events, keys), = dealt
+    assert keys == ("doc",) and not {"id", "boxed", "owners"} & set(events.columns)
+    assert events.where("step = -1 and (text is not null or names is not null or src is not null)").count() == 0
+    assert sorted(r.text.split()[0] for r in found.where("tag = 'p'").collect()) == ["more", "word"]
