@@ -75,7 +75,7 @@ def datacite_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' DOIs looked up in stored responses: with Crossref, with DataCite behind it, with neither, with no answer, with a broken one, and no DOI."""
-    part = load(spark, sf_dir, "part")
+    part = spread(load(spark, sf_dir, "part"), "p_partkey")
     kind = F.col("p_partkey") % 6
     wanted = part.select(F.col("p_partkey").alias("key"), F.when(kind == 5, "no doi").otherwise(F.concat(F.lit("https://doi.org/10.1000/P"), "p_partkey")).alias("doi"))
     doi = F.concat(F.lit("10.1000/p"), "p_partkey")
