@@ -142,9 +142,13 @@ def _looked_up(table: str, name: Column) -> Column:
 
 def _spelled(text: Column, shape: str) -> Column:
     """Greek letters for their names where ``shape`` (a pattern with one group for the name) is found."""
-    names = F.regexp_extract_all(text, F.lit(shape), F.lit(1))
-    joined = F.array_join(F.zip_with(F.split(text, shape, -1), names, lambda p, n: F.concat(p, F.coalesce(_looked_up(_GREEK_TABLE, n), F.lit("")))), "")
-    return F.when(text.rlike(shape), joined).otherwise(text)
+
+    def spelled(t: Column) -> Column:
+        names = F.regexp_extract_all(t, F.lit(shape), F.lit(1))
+        joined = F.array_join(F.zip_with(F.split(t, shape, -1), names, lambda p, n: F.concat(p, F.coalesce(_looked_up(_GREEK_TABLE, n), F.lit("")))), "")
+        return F.when(t.rlike(shape), joined).otherwise(t)
+
+    return once(text, spelled)
 
 
 _GREEK_TABLE, _ENTITY_TABLE = _table(_GREEK_LETTERS), _table(_ENTITIES)
@@ -183,7 +187,7 @@ def math_as_text(latex: Column) -> Column:
 def clean_title(title: Column) -> Column:
     """A title without tags, entities, TeX, lost glyphs and trailing footnote marks, single-spaced."""
     bare = _with_greek(unescaped(F.regexp_replace(title, r"</?[A-Za-z][^>]*>", "")))
-    bare = F.when(bare.rlike(r"[\\_^{}$]"), _without_tex(bare)).otherwise(bare)
+    bare = once(bare, lambda b: F.when(b.rlike(r"[\\_^{}$]"), _without_tex(b)).otherwise(b))
     bare = F.regexp_replace(F.regexp_replace(bare, r"\[\?\]|\x{FFFD}", " "), r"(?U)[\s*†‡§¶]+$", "")
     return squash(bare)
 

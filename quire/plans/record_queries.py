@@ -157,7 +157,7 @@ def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def corroborated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits made from ``part`` against their documents' titles and first pages; three in four fail one check."""
-    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), "p_name", (F.col("p_partkey") % 4).alias("k"))
+    part = spread(load(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("doc"), "p_name", (F.col("p_partkey") % 4).alias("k"))
     titles = part.select("doc", F.concat(F.lit("On the "), "p_name", F.lit(" of number "), "doc").alias("title"))
     hits = part.select("doc", F.concat(F.lit("10.1000/"), "doc").alias("doi"), F.when(F.col("k") == 1, "Unlike anything").otherwise(F.concat(F.lit("<i>On</i> the "), "p_name")).alias("title"), F.concat(F.lit("of number "), "doc").alias("subtitle"), F.lit("Müller").alias("family"), F.array(F.lit(1999), F.lit(2000)).alias("years"))
     pages = part.select("doc", F.concat(F.when(F.col("k") == 2, "S. Mullerson").otherwise("S. Muller1"), F.lit(", published "), F.when(F.col("k") == 3, 1998).otherwise(2000)).alias("page_text"))

@@ -44,7 +44,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["crossref_records", "datacite_records", "registry_lookup"])
+@pytest.mark.parametrize("name", ["crossref_records", "datacite_records", "registry_lookup", "corroborated_hits"])
 def test_narrow_tables_are_dealt_over_all_cores(spark, name):
     """A small file's rows are dealt out before they grow into responses and are parsed."""
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
