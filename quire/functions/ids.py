@@ -37,8 +37,20 @@ PUBLISHER_FILES = [
 
 def normalize_doi(text: Column) -> Column:
     """A DOI without prefix and trailing punctuation, lower case; null where the rest is none."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), DOI_PREFIXES, ""), TRAILING, "")
-    return once(bare, lambda b: F.when(b.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(b)))
+    return _checked_doi(_bare_doi(text))
+
+
+def doi_once(text: Column) -> Column:
+    """``normalize_doi`` for one field of many: its steps stand in the plan once, but are not compiled."""
+    return once(_bare_doi(text), _checked_doi)
+
+
+def _bare_doi(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(text), DOI_PREFIXES, ""), TRAILING, "")
+
+
+def _checked_doi(bare: Column) -> Column:
+    return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), F.lower(bare))
 
 
 def first_seen(values: Column) -> Column:

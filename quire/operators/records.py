@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,16 +71,16 @@ def _date(value: Column) -> Column:
     return F.coalesce(first(value["date-parts"]), F.array().cast("array<int>"))
 
 
-def _relations(value: Column) -> Column:
-    each = lambda e: F.transform(F.filter(e["value"], lambda t: t["id-type"] == "doi"), lambda t: F.struct(e["key"].alias("kind"), ids.normalize_doi(t["id"]).alias("doi")))
+def _relations(value: Column, doi: Callable[[Column], Column]) -> Column:
+    each = lambda e: F.transform(F.filter(e["value"], lambda t: t["id-type"] == "doi"), lambda t: F.struct(e["key"].alias("kind"), doi(t["id"]).alias("doi")))
     return F.filter(F.flatten(F.transform(F.map_entries(F.coalesce(value, F.create_map().cast("map<string, array<struct<id string, `id-type` string>>>"))), each)), lambda r: r["doi"].isNotNull())
 
 
-def work(w: Column) -> Column:
+def work(w: Column, doi: Callable[[Column], Column] = ids.normalize_doi) -> Column:
     """The record of a Crossref work; its doi is null where the work has none."""
     return F.struct(
         F.lit("crossref").alias("provider"),
-        ids.normalize_doi(w["DOI"]).alias("doi"),
+        doi(w["DOI"]).alias("doi"),
         F.coalesce(plain(w["type"]), F.lit("unknown")).alias("type"),
         plain(first(w["title"])).alias("title"),
         plain(first(w["subtitle"])).alias("subtitle"),
@@ -97,7 +99,7 @@ def work(w: Column) -> Column:
         strings(w["ISSN"]).alias("issn"),
         strings(F.transform(F.coalesce(w["license"], F.array().cast("array<struct<URL string>>")), lambda x: plain(x["URL"]))).alias("license_urls"),
         plain(w["abstract"]).alias("abstract"),
-        _relations(w["relation"]).alias("relations"),
+        _relations(w["relation"], doi).alias("relations"),
     )
 
 
@@ -110,7 +112,7 @@ def entry(a: Column) -> Column:
     said = first(F.filter(a["descriptions"], lambda d: d["descriptionType"] == "Abstract"))["description"]
     return F.struct(
         F.lit("datacite").alias("provider"),
-        ids.normalize_doi(a["doi"]).alias("doi"),
+        ids.doi_once(a["doi"]).alias("doi"),
         F.coalesce(plain(a["types"]["resourceTypeGeneral"]), F.lit("unknown")).alias("type"),
         plain(first(a["titles"])["title"]).alias("title"),
         none.alias("subtitle"),
@@ -135,7 +137,7 @@ def entry(a: Column) -> Column:
 
 def parse_crossref(body: Column) -> Column:
     """The record of a works response's JSON."""
-    return text.once(F.from_json(body, f"message {WORK}")["message"], work)
+    return text.once(F.from_json(body, f"message {WORK}")["message"], lambda w: work(w, ids.doi_once))
 
 
 def parse_datacite(body: Column) -> Column:
@@ -175,7 +177,7 @@ def search_hits(queries: DataFrame, responses: DataFrame) -> DataFrame:
     items = F.slice(F.from_json("body", f"message struct<items array<{WORK}>>")["message"]["items"], 1, SEARCH_ROWS)
     answers = responses.where(F.col("status") == FOUND).select("query", items.alias("_items"))
     hits = queries.join(answers, "query").select("doc", "ordinal", F.posexplode("_items").alias("place", "_w"))
-    return hits.select("doc", "ordinal", "place", text.once(F.col("_w"), work).alias("record")).where("record.doi is not null")
+    return hits.select("doc", "ordinal", "place", work(F.col("_w")).alias("record")).where("record.doi is not null")
 
 
 def flatten(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
