@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text
-from quire.sources.shared import materialize, small_side
+from quire.sources.shared import materialize, parts_of, small_side
 
 #: Words of a shingle, words of a paragraph worth comparing, share of its shingles that counts as covered.
 SHINGLE, LEAST_WORDS, COVERED = 6, 12, 0.5
@@ -60,26 +60,25 @@ def coverage(paragraphs: DataFrame, others: DataFrame, key: str, other_key: str,
     return sure.groupBy(key, F.col("_other").alias(other_key)).agg(F.countDistinct("_shingle").alias("hits"), F.first("total").alias("total"))
 
 
-def prints(words: Column, width: int = SHINGLE) -> Column:
-    """The distinct runs of ``width`` words as two 64-bit hashes each: a run meets another one by chance once in 2**128 pairs."""
-
-    def runs(w: Column) -> Column:
-        of = lambda i: [F.get(w, i + j) for j in range(width)]
-        found = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(F.xxhash64(*of(i)).alias("a"), F.xxhash64(F.lit(1), *of(i)).alias("b")))
-        return F.when(F.size(w) >= width, F.array_distinct(found)).otherwise(F.array().cast("array<struct<a: bigint, b: bigint>>"))
-
-    return F.element_at(F.transform(F.array(words), runs), 1)
+def _prints(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, a, b): the distinct six-word runs of rows (key, _w) as two 64-bit hashes each: a run meets another one by chance once in 2**128 pairs."""
+    runs = rows.select(*key, F.explode(shingles(F.col("_w"))).alias("_s"))
+    return runs.select(*key, F.xxhash64("_s").alias("a"), F.xxhash64(F.lit(1), F.col("_s")).alias("b"))
 
 
 def uncovered_within(paragraphs: DataFrame, others: DataFrame, key: list[str], within: list[str], body: str = "text") -> DataFrame:
     """(key, share) of paragraphs of which less than half is found in the rows of ``others`` that share ``within``; anywhere if that is empty.
 
-    Paragraphs under ``LEAST_WORDS`` words are left out. Only hashes are shuffled, each once a paragraph and once a key of the others.
+    Paragraphs under ``LEAST_WORDS`` words are left out. Only hashes are shuffled: those of the others once each, to be held against a part
+    of the paragraphs' as they come, neither sorted nor counted. There are as many parts as the paragraphs' hashes need.
     """
-    rows = paragraphs.select(*key, text.words(F.col(body)).alias("_w")).where(F.size("_w") >= LEAST_WORDS).select(*key, F.explode(prints(F.col("_w"))).alias("_h"))
-    target = others.select(*within, text.words(F.col(body)).alias("_w")).select(*within, F.explode(prints(F.col("_w"))).alias("_h"))
-    both = [x.select("*", "_h.a", "_h.b").drop("_h") for x in (rows, target)]
-    share = both[0].join(both[1].distinct().withColumn("hit", F.lit(1)), [*within, "a", "b"], "left").groupBy(*key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    met = [*within, "a", "b"]
+    rows = materialize(_prints(paragraphs.select(*key, text.words(F.col(body)).alias("_w")).where(F.size("_w") >= LEAST_WORDS), key), "prints")
+    parts = parts_of(rows)
+    asked = rows.select(*met).repartition(parts, *met)
+    target = _prints(others.select(*within, text.words(F.col(body)).alias("_w")), within).repartition(parts, *met)
+    hits = target.join(asked.hint("shuffle_hash"), met, "left_semi").distinct().withColumn("hit", F.lit(1))
+    share = rows.repartition(parts, *met).join(hits, met, "left").groupBy(*key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
     return share.where(F.col("share") < COVERED)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
+#: Rows of a narrow table that a task groups or joins at once.
+TASK_ROWS = 250_000
+
+
+def parts_of(df: DataFrame, times: float = 1) -> int:
+    """How many parts ``df``, or ``times`` as many rows, are to be dealt into so that a task's share doesn't grow with them; a shuffle's at least.
+
+    For tables as they are stored, whose rows are counted without being read.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() * times / TASK_ROWS))
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """From now on the session hands Python ``rows`` rows at most at once: for rows that hold whole pages. A smaller setting stays.
 
