@@ -68,13 +68,27 @@ def bm25(rows: DataFrame, key: str, columns: list[str], query: str, k: int, weig
     return _ranked(hit, key, len(phrases), k)
 
 
+def _term_spots(words: Column) -> Column:
+    """(term, spots) of each distinct word of an array: its places, in order. One sort of the row's own words; nothing is shuffled."""
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i)["term"] != F.get(w, i - 1)["term"]))
+        pairs = F.struct(w.alias("w"), starts.alias("s"))
+        return text.once(pairs, lambda p: F.transform(p["s"], lambda i, k: F.struct(F.get(p["w"], i)["term"].alias("term"), F.transform(F.slice(p["w"], i + 1, F.coalesce(F.get(p["s"], k + 1), F.size(p["w"])) - i), lambda x: x["pos"]).alias("spots"))))
+
+    placed = F.array_sort(F.transform(words, lambda x, i: F.struct(x.alias("term"), i.alias("pos"))))
+    none = F.array().cast("array<struct<term: string, spots: array<int>>>")
+    return text.once(placed, lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none))
+
+
 def index_terms(rows: DataFrame, key: str, columns: list[str], path: str, buckets: int = 64) -> None:
     """Store an index of ``rows`` at ``path``: postings in folders by the term's hash, and each row's length.
 
-    A term's postings are one row a document: its places in each field. Terms so frequent that they would fill a
-    task are spread by the adaptive writer.
+    A term's postings are one row a document: its places in each field, gathered within the document's own row. Postings are
+    shuffled once, to their folders; terms so frequent that they would fill a task are spread by the adaptive writer.
     """
-    spots = postings(rows, key, columns).groupBy("term", key, "field").agg(F.sort_array(F.collect_list("pos")).alias("spots"))
+    each = [rows.select(key, F.lit(c).alias("field"), F.inline(_term_spots(text.words(F.coalesce(F.col(c), F.lit("")))))) for c in columns]
+    spots = reduce(lambda a, b: a.unionByName(b), each).select("term", key, "field", "spots")
     spots.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     sizes = [F.size(text.words(F.coalesce(F.col(c), F.lit("")))) for c in columns]
     rows.select(key, reduce(lambda a, b: a + b, sizes).cast("double").alias("d")).write.parquet(f"{path}/lengths")
@@ -92,8 +106,8 @@ def bm25_index(spark: SparkSession, key: str, path: str, query: str, k: int, wei
     words = sorted({w for p in phrases for w in p})
     homes = [r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.pmod(F.xxhash64("w"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # the query's words
     found = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(homes) & F.col("term").isin(words))
-    per = found.groupBy(key, "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "spots"))).alias("m"))  # as many entries as the query has words
-    spots = lambda w: F.coalesce(F.try_element_at("m", F.lit(w)), F.array().cast("array<int>"))
+    per = found.groupBy(key, "field").agg(F.collect_list(F.struct("term", "spots")).alias("m"))  # as many entries as the query has words
+    spots = lambda w: F.flatten(F.transform(F.filter("m", lambda e: e["term"] == w), lambda e: e["spots"]))
     shifted = lambda w, j: F.transform(spots(w), lambda x: x - j)
     count = lambda p: F.size(reduce(F.array_intersect, [shifted(w, j) for j, w in enumerate(p)])) if len(p) > 1 else F.size(spots(p[0]))
     weight = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("field"))

@@ -1,6 +1,9 @@
 """Steps whose work or memory once outgrew their tables: the same results, and the shape of their plans."""
 
-from quire.operators import compare
+from pyspark.sql import functions as F
+
+from quire.functions import text
+from quire.operators import compare, search
 
 
 def rows(frame):
@@ -30,3 +33,26 @@ def test_uncovered_holds_others_against_paragraphs_as_they_come(spark):
     anywhere = compare.uncovered(paragraphs.where("doc = 'd'"), others, "pos")
     assert rows(anywhere) == sorted((p, s) for d, p, t in asked if d == "d" and t and len(t.split()) >= 12 and (s := share(t, [x for _, x in held if x])) < 0.5)
     assert "ShuffledHashJoin" in plan(anywhere) and "LeftSemi" in plan(anywhere)
+
+
+def test_term_spots_are_gathered_in_their_row(spark):
+    """Each word's places, without a shuffle of every word."""
+    texts = ["b a b c a b", "", None, "x", "a " * 300 + "z", "Ünder under"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.inline(search._term_spots(text.words(F.coalesce("t", F.lit(""))))))
+    want = []
+    for i, t in enumerate(texts):
+        words = (t or "").replace("Ü", "u").split()
+        want += [(i, w, [k for k, x in enumerate(words) if x == w]) for w in set(words)]
+    assert rows(frame) == sorted(want)
+    assert "Exchange" not in plan(frame)
+
+
+def test_index_answers_as_the_texts_do(spark, tmp_path):
+    """Phrases, rows without words and a key that stands twice."""
+    texts = [(1, "a b", "c a b a b"), (2, None, "b a"), (3, "", ""), (4, "b", "a b"), (5, "z", "a z b")]
+    frame = spark.createDataFrame(texts, "id long, title string, body string")
+    search.index_terms(frame, "id", ["title", "body"], f"{tmp_path}/once")
+    for query in ('"a b" b', "a b", '"b a b"', "q"):
+        assert rows(search.bm25_index(spark, "id", f"{tmp_path}/once", query, 10)) == rows(search.bm25(frame, "id", ["title", "body"], query, 10))
+    search.index_terms(frame.union(frame.where("id = 4")), "id", ["title", "body"], f"{tmp_path}/twice")
+    assert search.bm25_index(spark, "id", f"{tmp_path}/twice", "a b", 10).where("id = 4").count() == 2
