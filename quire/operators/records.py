@@ -172,11 +172,11 @@ def missing_responses(urls: DataFrame, responses: DataFrame) -> DataFrame:
 def search_hits(queries: DataFrame, responses: DataFrame) -> DataFrame:
     """(doc, ordinal, place, record) of the stored answers (query, status, body) to ``queries`` (doc, ordinal, query).
 
-    The first ten works of an answer count, in its order; works without a DOI are passed over.
+    The first ten works of an answer count, in its order; works without a DOI are passed over. Answers are joined as they are
+    stored and read behind the join: works are many times as large, and would be sorted for it.
     """
     items = F.slice(F.from_json("body", f"message struct<items array<{WORK}>>")["message"]["items"], 1, SEARCH_ROWS)
-    answers = responses.where(F.col("status") == FOUND).select("query", items.alias("_items"))
-    hits = queries.join(answers, "query").select("doc", "ordinal", F.posexplode("_items").alias("place", "_w"))
+    hits = queries.join(responses.where(F.col("status") == FOUND).select("query", "body"), "query").select("doc", "ordinal", F.posexplode(items).alias("place", "_w"))
     return hits.select("doc", "ordinal", "place", work(F.col("_w")).alias("record")).where("record.doi is not null")
 
 

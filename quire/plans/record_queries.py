@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import ids, text
 from quire.operators import records, resolution
 from quire.plans.registry import query
-from quire.sources.shared import spread
+from quire.sources.shared import parts_of, spread
 from quire.sources.tables import load
 
 
@@ -95,7 +95,9 @@ def missing_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_answers", "SELECT o_orderkey AS doc, i - 1 AS place, '10.1000/' || o_orderkey || '-' || i AS doi FROM (SELECT o_orderkey, unnest(range(1, least(10, 1 + o_orderkey % 13) + 1)) AS i FROM orders) WHERE i <> 3")
 def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten works, one of them without a DOI, of answers made from ``orders``."""
-    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("ordinal"), F.concat(F.lit("q"), "o_orderkey").alias("query"))
+    orders = load(spark, sf_dir, "orders")
+    parts = parts_of(orders, 4)  # answers are wide
+    orders = orders.select(F.col("o_orderkey").alias("doc"), F.lit(0).alias("ordinal"), F.concat(F.lit("q"), "o_orderkey").alias("query")).repartition(parts, "query")
     works = F.expr("to_json(transform(sequence(1, cast(1 + doc % 13 as int)), i -> named_struct('DOI', if(i = 3, 'none', concat('10.1000/', doc, '-', i)))))")
     answers = orders.select("query", F.lit(200).alias("status"), F.concat(F.lit('{"message":{"items":'), works, F.lit("}}")).alias("body"))
     return records.search_hits(orders, answers).select("doc", "place", F.col("record.doi").alias("doi"))

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import compare, search
+from quire.plans import registry
+
+DATA = "/root/testdata/sf0.001"
 
 
 def rows(frame):
@@ -56,3 +59,9 @@ def test_index_answers_as_the_texts_do(spark, tmp_path):
         assert rows(search.bm25_index(spark, "id", f"{tmp_path}/once", query, 10)) == rows(search.bm25(frame, "id", ["title", "body"], query, 10))
     search.index_terms(frame.union(frame.where("id = 4")), "id", ["title", "body"], f"{tmp_path}/twice")
     assert search.bm25_index(spark, "id", f"{tmp_path}/twice", "a b", 10).where("id = 4").count() == 2
+
+
+def test_answers_are_read_behind_their_join(spark):
+    """Stored answers are joined, not the works read from them."""
+    lines = registry.QUERIES["search_answers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert max(i for i, x in enumerate(lines) if "from_json" in x) < min(i for i, x in enumerate(lines) if "Join " in x)
