@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import bags, compare, export, html
 from quire.plans import sql
 from quire.plans.registry import query
-from quire.sources.shared import small_batches
+from quire.sources.shared import parts_of, small_batches
 from quire.sources.tables import load
 
 @query(
@@ -45,8 +45,9 @@ _LINES = "SELECT l_orderkey AS k, l_extendedprice::VARCHAR || ' ' || l_suppkey |
 @query("number_multiset", f"SELECT k, value, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all(t, {_NUM})) AS value FROM (SELECT l_orderkey AS k, l_suppkey || '; ' || l_linenumber || ',5 at ' || l_partkey || '.' AS t FROM lineitem)) GROUP BY 1, 2")
 def number_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers as printed in rows made from ``lineitem``, by order."""
-    rows = load(spark, sf_dir, "lineitem").selectExpr("l_orderkey as k", "concat(l_suppkey, '; ', l_linenumber, ',5 at ', l_partkey, '.') as t")
-    return bags.numbers(rows, "k", "t")
+    lines = load(spark, sf_dir, "lineitem")
+    rows = lines.selectExpr("l_orderkey as k", "concat(l_suppkey, '; ', l_linenumber, ',5 at ', l_partkey, '.') as t")
+    return bags.numbers(rows.repartition(parts_of(lines, 3), "k"), "k", "t")
 
 
 @query(
@@ -59,15 +60,16 @@ def number_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two readings of an order's numbers compared as multisets."""
     rows = load(spark, sf_dir, "lineitem")
-    return bags.compare(bags.numbers(rows.selectExpr("l_orderkey as k", "cast(l_linenumber as string) as t"), "k", "t"), bags.numbers(rows.selectExpr("l_orderkey as k", "cast(l_suppkey % 5 as string) as t"), "k", "t"), "k")
+    left, right = (bags.printed(rows.selectExpr("l_orderkey as k", f"cast({c} as string) as t"), "k", "t") for c in ("l_linenumber", "l_suppkey % 5"))
+    return bags.compare(left, right, "k", parts_of(rows, 2))
 
 
 @query("table_agreement", "WITH d AS (SELECT l_orderkey AS k, list_sort(list(l_linenumber % 3)) AS a, list_sort(list(l_suppkey % 3)) AS b FROM lineitem GROUP BY 1) SELECT k, CASE WHEN a = b THEN 'agreed' ELSE 'disagreed' END AS status FROM d")
 def table_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether two readings hold the same numbers, as often, in any order."""
     rows = load(spark, sf_dir, "lineitem")
-    left, right = (bags.numbers(rows.selectExpr("l_orderkey as k", f"cast({c} % 3 as string) as t"), "k", "t") for c in ("l_linenumber", "l_suppkey"))
-    return bags.compare(left, right, "k").select("k", F.when(F.col("only_left") + F.col("only_right") == 0, "agreed").otherwise("disagreed").alias("status"))
+    left, right = (bags.printed(rows.selectExpr("l_orderkey as k", f"cast({c} % 3 as string) as t"), "k", "t") for c in ("l_linenumber", "l_suppkey"))
+    return bags.compare(left, right, "k", parts_of(rows, 2)).select("k", F.when(F.col("only_left") + F.col("only_right") == 0, "agreed").otherwise("disagreed").alias("status"))
 
 
 @query(

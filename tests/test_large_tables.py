@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import compare, search
+from quire.operators import bags, compare, search
 from quire.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -65,3 +65,25 @@ def test_answers_are_read_behind_their_join(spark):
     """Stored answers are joined, not the works read from them."""
     lines = registry.QUERIES["search_answers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert max(i for i, x in enumerate(lines) if "from_json" in x) < min(i for i, x in enumerate(lines) if "Join " in x)
+
+
+def test_multisets_meet_by_one_grouping(spark):
+    """Repeats on either side, keys of one side alone, null keys and values; counted before or not."""
+    left = [("a", "1", 2), ("a", "2", 1), ("b", "1", 1), (None, "1", 3), ("c", None, 1), ("d", "x", 1), ("d", "x", 1)]
+    right = [("a", "1", 1), ("a", "3", 4), ("e", "1", 2), (None, "1", 1), ("c", None, 2), ("d", "x", 3)]
+    l, r = (spark.createDataFrame(x, "k string, value string, n long") for x in (left, right))  # noqa: E741
+    want = [("a", 1, 2, 4), ("b", 0, 1, 0), ("c", 0, 1, 2), ("d", 2, 0, 1), ("e", 0, 0, 2)]
+    for parts in (None, 3):
+        got = bags.compare(l, r, "k", parts)
+        assert rows(got.where("k is not null")) == want and [tuple(x) for x in got.where("k is null").collect()] == [(None, 0, 3, 1)]
+        assert "Join" not in plan(got)
+    made = spark.createDataFrame([("a", "1 2 1"), ("a", "2,5"), ("b", None)], "k string, t string")
+    assert rows(bags.printed(made, "k", "t").groupBy("k", "value").agg(F.sum("n"))) == rows(bags.numbers(made, "k", "t")) == [("a", "1", 2), ("a", "2", 1), ("a", "2,5", 1)]
+
+
+def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    """As many parts as the rows need, and one shuffle for all groupings."""
+    monkeypatch.setattr("quire.sources.shared.TASK_ROWS", 100)
+    for name in ("multiset_diff", "table_agreement", "number_multiset"):
+        shuffles = [x for x in plan(registry.QUERIES[name](spark, DATA)).split("\n") if "Exchange" in x]
+        assert len(shuffles) == 1 and int(shuffles[0].split(", REPARTITION")[0].rsplit(" ", 1)[1].rstrip(")")) >= 60
