@@ -27,8 +27,9 @@ def to_extract(groups: DataFrame, held: DataFrame, supplements: DataFrame, key:
 
 def settled_searches(hits: DataFrame, paper: str, ordinal: str, hit: str) -> DataFrame:
     """(paper, ordinal, hit) of each paper's first query that leaves exactly one hit; others have no row."""
-    each = hits.groupBy(paper, ordinal).agg(F.min(hit).alias(hit), F.count_distinct(hit).alias("_n")).where("_n = 1")
-    return each.groupBy(paper).agg(F.min_by(F.struct(ordinal, hit), ordinal).alias("_first")).select(paper, f"_first.{ordinal}", f"_first.{hit}")
+    # one hit alone is both the least and the greatest: nothing is counted by hit
+    each = hits.groupBy(paper, ordinal).agg(F.min(hit).alias(hit), F.max(hit).alias("_most")).where(F.col(hit) == F.col("_most"))
+    return each.groupBy(paper).agg(F.min(ordinal).alias(ordinal), F.min_by(hit, ordinal).alias(hit))
 
 
 def description_counts(rows: DataFrame, group: str, state: str, usd: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import export, figures, intake, table_check
 from quire.plans.registry import query
+from quire.sources.shared import parts_of
 from quire.sources.tables import load
 
 
@@ -49,8 +50,9 @@ def to_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def settled_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' suppliers in searches' place: the first third of lines that names one supplier."""
-    hits = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).alias("ordinal"), F.col("l_suppkey").alias("hit"))
-    return intake.settled_searches(hits, "l_orderkey", "ordinal", "hit")
+    lines = load(spark, sf_dir, "lineitem")
+    hits = lines.select("l_orderkey", (F.col("l_linenumber") % 3).alias("ordinal"), F.col("l_suppkey").alias("hit"))
+    return intake.settled_searches(hits.repartition(parts_of(lines), "l_orderkey"), "l_orderkey", "ordinal", "hit")
 
 
 @query(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import bags, compare, search
+from quire.operators import bags, compare, intake, search
 from quire.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -84,6 +84,12 @@ def test_multisets_meet_by_one_grouping(spark):
 def test_large_tables_are_dealt_by_their_rows(spark, monkeypatch):
     """As many parts as the rows need, and one shuffle for all groupings."""
     monkeypatch.setattr("quire.sources.shared.TASK_ROWS", 100)
-    for name in ("multiset_diff", "table_agreement", "number_multiset"):
+    for name in ("multiset_diff", "table_agreement", "number_multiset", "settled_searches"):
         shuffles = [x for x in plan(registry.QUERIES[name](spark, DATA)).split("\n") if "Exchange" in x]
         assert len(shuffles) == 1 and int(shuffles[0].split(", REPARTITION")[0].rsplit(" ", 1)[1].rstrip(")")) >= 60
+
+
+def test_one_hit_is_the_least_and_the_greatest(spark):
+    """Null hits don't count; a query of none isn't settled."""
+    hits = spark.createDataFrame([("p", 0, None), ("p", 1, "z"), ("p", 1, None), ("p", 2, "x"), ("q", 0, None), ("r", 1, "a"), ("r", 0, "b"), ("r", 0, "c")], "paper string, ordinal int, hit string")
+    assert rows(intake.settled_searches(hits, "paper", "ordinal", "hit")) == [("p", 1, "z"), ("r", 1, "a")]
