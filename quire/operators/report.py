@@ -57,7 +57,7 @@ def tables(reference: DataFrame, other: DataFrame) -> DataFrame:
     one = lambda rows: rows.where("label is not null").groupBy("doc", "label").agg(F.first("text").alias("text")).withColumn("_k", key)
     a, b = one(reference), one(other)
     both = a.select("_k", "doc", "label", F.lit(True).alias("_a")).join(b.select("_k", F.col("doc").alias("_d"), F.col("label").alias("_l"), F.lit(True).alias("_b")), "_k", "full")
-    counts = bags.compare(bags.numbers(a, "_k", "text"), bags.numbers(b, "_k", "text"), "_k")
+    counts = bags.compare(bags.printed(a, "_k", "text"), bags.printed(b, "_k", "text"), "_k")
     rows = both.join(counts, "_k", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     status = F.when(F.col("_b").isNull(), "only_reference").when(F.col("_a").isNull(), "only_other").when(n("only_left") + n("only_right") == 0, "agrees").otherwise("differs")

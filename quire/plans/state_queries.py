@@ -9,6 +9,7 @@ from quire.functions import ids, text
 from quire.operators import catalog, compare, figures, library_files, normalize, report, saved_page
 from quire.plans import sql
 from quire.plans.registry import query
+from quire.sources.shared import parts_of
 from quire.sources.tables import load
 
 
@@ -199,7 +200,8 @@ def word_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def comparison_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison report, in counts, of two readings of documents made from ``customer``."""
-    p = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 3).alias("r"))
+    customer = load(spark, sf_dir, "customer")
+    p = customer.repartition(parts_of(customer, 8), "c_custkey").select(F.col("c_custkey").alias("doc"), (F.col("c_custkey") % 3).alias("r"))
     row = lambda where, *values: p.where(where).select("doc", *(F.expr(v).alias(n) for n, v in values))
     long = "'one two three four five six seven eight nine ten eleven twelve thirteen'"
     reference = {

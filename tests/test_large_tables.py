@@ -93,3 +93,8 @@ def test_one_hit_is_the_least_and_the_greatest(spark):
     """Null hits don't count; a query of none isn't settled."""
     hits = spark.createDataFrame([("p", 0, None), ("p", 1, "z"), ("p", 1, None), ("p", 2, "x"), ("q", 0, None), ("r", 1, "a"), ("r", 0, "b"), ("r", 0, "c")], "paper string, ordinal int, hit string")
     assert rows(intake.settled_searches(hits, "paper", "ordinal", "hit")) == [("p", 1, "z"), ("r", 1, "a")]
+
+
+def test_made_documents_are_dealt_before_they_grow(spark):
+    """A small file's rows are dealt by key before blocks are made of them, and tables' numbers meet without a join."""
+    assert "hashpartitioning(c_custkey" in plan(registry.QUERIES["comparison_counts"](spark, DATA))
