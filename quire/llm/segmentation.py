@@ -13,8 +13,6 @@ is changed. What no piece covers is spelled in byte pieces, so decoding gives th
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +23,9 @@ from quire.llm.arrow import bounded_batches
 from quire.llm.hashing import BASE, _power_tables, mix
 from quire.llm.native import quoted
 
-#: The default vocabulary, and characters of a batch.
+#: The default vocabulary, and characters of a batch: its edges take some 300 bytes a character while it is sampled.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 #: The mark of a word's start in the vocabulary.
 MARK = "▁"
 #: Steps of a path whose open siblings are scored first, and more than the greatest Gumbel variable that ``uniform`` gives.
@@ -112,7 +110,6 @@ class Lattice:
         Edges stand by start, longest first: ``first`` and ``last`` of each byte. ``below`` is the chance of
         the edges up to one, among those of its start; 1 for the last, and no number of ``uniform`` exceeds it.
         """
-        self.src = self.dst = self.piece = self.log_p = self.below = None  # the last batch's go before new ones come
         n = len(data)
         stop = np.repeat(ends, ends - starts)
         chars = np.flatnonzero((data & 0xC0) != 0x80)
@@ -166,6 +163,10 @@ class Lattice:
         self.below[self.last[chars]] = 1
         self.data = data
 
+    def clear(self) -> None:
+        """Lets go of the last batch's units and edges: a worker is idle for long, and others share its memory."""
+        self.src = self.dst = self.piece = self.log_p = self.below = self.first = self.last = self.data = None
+
     def walk(self, at: np.ndarray, stop: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path from each byte ``at`` to ``stop``: all edges in order, and each path's number of edges."""
         count = np.zeros(len(at), np.int64)
@@ -367,9 +368,15 @@ def sample(lattice: Lattice, texts: list[str], keys: np.ndarray, k: int) -> list
     return out
 
 
-@lru_cache(2)
+_lattices: dict[int, Lattice] = {}
+
+
 def _lattice(key: int, shared) -> Lattice:
-    return Lattice(*shared.value)
+    """The lattice of a vocabulary, the only one that a worker holds."""
+    if key not in _lattices:
+        _lattices.clear()
+        _lattices[key] = Lattice(*shared.value)
+    return _lattices[key]
 
 
 def _encode(shared, key: int, k: int, seed: int):
@@ -378,6 +385,7 @@ def _encode(shared, key: int, k: int, seed: int):
         ids = [d for d, t in held if t]
         keys = mix(np.array([0 if d is None else d for d in ids], np.int64).astype(np.uint64) * np.uint64(BASE) + np.uint64(seed))
         found = iter(sample(lattice, [t for _, t in held if t], keys, k) if ids else [])
+        lattice.clear()
         rows = [(d, rank, *x) for d, t in held for rank, x in enumerate(next(found) if t else [(None if t is None else np.zeros(0, np.int32), 0.0, 0.0, 1.0)], 1)]
         lengths = np.cumsum([0, *(0 if r[2] is None else len(r[2]) for r in rows)])
         values = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in rows if r[2] is not None)]).astype(np.int32)
@@ -410,9 +418,10 @@ def encode(docs: DataFrame, k: int = 2, seed: int = 4, model: str = MODEL) -> Da
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(vocabulary(model))  # one vocabulary: a few MB
+    pieces = spelled, logs, byte_0 = vocabulary(model)
+    shared = spark.sparkContext.broadcast(pieces)  # one vocabulary: a few MB
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encode(shared, hash(model), k, seed), "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return rows.mapInArrow(_encode(shared, hash((*spelled, *logs, byte_0)), k, seed), "doc_id long, rank int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
 def _decode(shared, names: list[str]):

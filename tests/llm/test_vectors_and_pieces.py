@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,26 @@ def test_stages_odd_names(spark, edge):
     found = segmentation.encode(rows).withColumns({"a.b": F.lit(7), "c`d": F.lit(8)})
     back = segmentation.decode(found)
     assert back.columns == [c for c in found.columns if c != "ids"] + ["text"] and all((r["a.b"], r["c`d"]) == (7, 8) for r in back.collect())
+
+
+def test_batches_leave_no_edges_behind():
+    """A worker's sampling takes tens of MB whatever the texts, of which a batch leaves nothing once it is out; batches don't change results."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("bdfklmnoaeiu") for _ in range(9)) + f" {i} " for i in range(20_000)]
+    texts = [(i, "".join(texts[i : i + 100])) for i in range(0, 20_000, 20)]
+    batch = lambda rows: pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    shared, again = (type("Shared", (), {"value": v})() for v in [segmentation.vocabulary()] * 2)
+    run = segmentation._encode(shared, 1, 2, 4)
+    few = [r for b in run(iter([batch(texts[:3])])) for r in b.to_pylist()]
+    tracemalloc.start()
+    try:
+        out, held = run(iter([batch(texts)])), []
+        first = next(out).to_pylist()[: len(few)]
+        for _ in out:
+            held.append(tracemalloc.get_traced_memory()[0] / 1e6)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert first == few
+    assert held and max(held) < 30 and peak < 150
+    assert segmentation._lattice(1, shared) is segmentation._lattice(1, again)
