@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import ids, text
 from quire.operators import figures
-from quire.operators.identity import title_agreement
+from quire.operators.identity import NEAR_WORDS, forms_agreement, title_agreement, title_forms
 
 # Sources of evidence in the order in which they are read, and those that identify the article itself.
 SOURCES = ["pdf_information", "pdf_information_pii", "page_1_furniture", "file_name", "fingerprint", "arxiv_identifier", "page_1_text"]
@@ -75,8 +75,10 @@ def resolve(candidates: DataFrame, records: DataFrame, titles: DataFrame) -> Dat
     behind it, rejected, or not_registered.
     """
     few = candidates.where(F.col("rank") <= MOST_CANDIDATES).select("doc", "doi", "rank")
-    rows = few.join(records.select("doi", F.col("title").alias("registered"), F.lit(True).alias("known")), "doi", "left").join(titles.select("doc", F.col("title").alias("observed")), "doc", "left")
-    rows = title_agreement(rows, "observed", "registered")
+    rows = few.join(records.select("doi", F.col("title").alias("registered"), F.lit(True).alias("known")), "doi", "left")
+    # a document's title is read once, not once a candidate
+    rows = title_forms(rows, "registered", "registered").join(title_forms(titles.select("doc", "title"), "title", "observed", NEAR_WORDS), "doc", "left")
+    rows = forms_agreement(rows, "observed", "registered")
     fits = F.coalesce(F.col("known"), F.lit(False)) & F.col("observed").isNotNull() & F.col("registered").isNotNull() & (F.col("agreement") != "different")
     order = Window.partitionBy("doc").orderBy(F.col("fits").desc(), "rank")
     rows = rows.withColumn("fits", fits).withColumn("place", F.row_number().over(order))

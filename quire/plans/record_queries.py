@@ -133,7 +133,8 @@ def doi_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def resolved_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six candidates a document made from ``orders``: the sixth is beyond the limit, the second isn't registered, the fifth, and of even ones the third, has the title."""
-    docs = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"))
+    orders = load(spark, sf_dir, "orders")
+    docs = orders.select(F.col("o_orderkey").alias("doc")).repartition(parts_of(orders, 6), "doc")  # before they grow
     each = docs.select("doc", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rank")).withColumn("doi", F.concat_ws("-", F.concat(F.lit("10.1000/"), "doc"), "rank"))
     fits = F.expr("rank in (5, 6) or (rank = 3 and doc % 2 = 0)")
     registered = each.where("rank <> 2").select("doi", F.when(fits, F.concat(F.lit("The order of number "), "doc")).otherwise("Something else altogether").alias("title"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import bags, compare, intake, search
+from quire.operators import bags, compare, identity, intake, resolution, search
 from quire.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -98,3 +98,29 @@ def test_one_hit_is_the_least_and_the_greatest(spark):
 def test_made_documents_are_dealt_before_they_grow(spark):
     """A small file's rows are dealt by key before blocks are made of them, and tables' numbers meet without a join."""
     assert "hashpartitioning(c_custkey" in plan(registry.QUERIES["comparison_counts"](spark, DATA))
+
+
+def test_titles_are_read_before_they_meet_candidates(spark):
+    """A document's title is cleaned once, not once a candidate; orders are dealt before candidates are made of them."""
+    found = registry.QUERIES["resolved_candidates"](spark, DATA)
+    assert "REPARTITION_BY_NUM" in plan(found)
+    docs = spark.createDataFrame([("d", "The <i>long</i> title of it")], "doc string, title string")
+    each = spark.createDataFrame([("d", f"10.1/{i}", i) for i in range(1, 7)], "doc string, doi string, rank int")
+    records = spark.createDataFrame([("10.1/1", "Other"), ("10.1/3", "Long title of it | x"), ("10.1/4", None), ("10.1/5", "long-title of it"), ("10.1/6", "long title of it")], "doi string, title string")
+    got = resolution.resolve(each, records, docs)
+    want = [("d", "10.1/1", 3, "after_accepted"), ("d", "10.1/2", 4, "after_accepted"), ("d", "10.1/3", 1, "accepted"), ("d", "10.1/4", 5, "after_accepted"), ("d", "10.1/5", 2, "after_accepted")]
+    assert rows(got) == want
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    first_join = min(i for i, x in enumerate(lines) if "Join " in x)
+    assert not any("regexp_replace" in x for x in lines[:first_join])
+
+
+def test_title_forms_agree_as_titles_do(spark):
+    """Words that near keys drop, on either side and of both kinds; heads before dashes; misread and null titles."""
+    pairs = [
+        ("light field of oxygen", "light field of oxygen", "same"), ("a light b field of oxygen", "light field of x oxygen", "near"), ("light field oxygen", "light x field oxygen", "different"), ("light β field of oxygen", "light field of oxygen φ", "different"),
+        ("light β field of oxygen", "light x field of oxygen", "near"), ("u light v field w of oxygen", "light field of oxygen", "different"), ("light field of oxygen | a", "x light field of oxygen — b", "near"), (None, "x", "different"), (None, None, "different"), ("", "", "same"), ("level 10 in water and oil", "level 1O in water and oi1", "near"),
+    ]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    got = identity.title_agreement(frame, "a", "b")
+    assert got.columns == ["i", "a", "b", "agreement"] and [r.agreement for r in got.orderBy("i").collect()] == [g for *_, g in pairs]
