@@ -2,6 +2,8 @@
 
 A supplement's numbered figures, tables, equations and sections are its anchors. References are found in the runs that hold text,
 meet the anchors of their paper's supplements by a join on paper, kind and number, and are cut out of their runs at their places.
+Every side grows with the papers, and Spark's estimates miss how rows grow here, so joins are told to sort, which can spill, and
+not to hold a side whole in each task.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def anchors(blocks: DataFrame) -> DataFrame:
 
 def targets(supplements: DataFrame, anchored: DataFrame) -> DataFrame:
     """(paper, kind, number, target) of supplements (paper, ordinal, path, doc) and their ``anchors``: the first supplement's that has it; the first one as a whole."""
-    each = supplements.join(anchored, "doc").groupBy("paper", "kind", "number").agg(F.min_by(F.concat("path", F.lit("#"), "anchor"), F.struct("ordinal", "pos")).alias("target"))
+    each = supplements.join(anchored.hint("merge"), "doc").groupBy("paper", "kind", "number").agg(F.min_by(F.concat("path", F.lit("#"), "anchor"), F.struct("ordinal", "pos")).alias("target"))
     whole = supplements.groupBy("paper").agg(F.min_by("path", "ordinal").alias("target"))
     return each.unionByName(whole.select("paper", F.lit(WHOLE[0]).alias("kind"), F.lit(WHOLE[1]).alias("number"), "target"))
 
@@ -52,7 +54,7 @@ def found_references(blocks: DataFrame, known: DataFrame) -> DataFrame:
     hits = rows.select("*", F.explode(references("text")).alias("h")).select("paper", "pos", "run", "text", "h.*")
     said = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
     hits = hits.select("paper", "pos", "run", "start", "end", "kind", "number", (F.trim("text") == said).alias("whole"), said.alias("text"))
-    return hits.join(known, ["paper", "kind", "number"], "left").select("paper", "pos", "run", "start", "end", "kind", "number", "whole", "text", "target")
+    return hits.join(known.hint("merge"), ["paper", "kind", "number"], "left").select("paper", "pos", "run", "start", "end", "kind", "number", "whole", "text", "target")
 
 
 def linked_runs(blocks: DataFrame, known: DataFrame) -> DataFrame:
@@ -81,5 +83,5 @@ def linked_runs(blocks: DataFrame, known: DataFrame) -> DataFrame:
 
     own = lambda i: F.filter(F.coalesce("_hits", F.array().cast("array<struct<run: int, start: int, end: int, whole: boolean, target: string>>")), lambda h: h["run"] == i)
     spliced = F.flatten(F.transform("runs", lambda r, i: one(r, own(i))))
-    rows = blocks.join(each, ["paper", "pos"], "left").withColumn("runs", F.when(F.col("_hits").isNull(), F.col("runs").cast(f"array<{RUN}>")).otherwise(spliced))
+    rows = blocks.join(each.hint("merge"), ["paper", "pos"], "left").withColumn("runs", F.when(F.col("_hits").isNull(), F.col("runs").cast(f"array<{RUN}>")).otherwise(spliced))
     return rows.select(*blocks.columns)

@@ -11,7 +11,7 @@ from quire.operators import admission, page_events, pointer_tree, rendering, rep
 from quire.operators import supplement_links as supplement_links_
 from quire.plans import sql
 from quire.plans.registry import query
-from quire.sources.shared import spread
+from quire.sources.shared import parts_of, spread
 from quire.sources.tables import load
 
 K, S = "p_partkey", "p_size"
@@ -250,7 +250,8 @@ def admitted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def supplement_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers made from ``part`` with links to the figures of their first supplement and the tables of their second one, where they have those."""
-    rows = load(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as paper", "p_partkey", "p_size % 4 as f", "p_size % 5 as t", "p_partkey % 3 as n")
+    part = load(spark, sf_dir, "part")
+    rows = part.selectExpr("cast(p_partkey as string) as paper", "p_partkey", "p_size % 4 as f", "p_size % 5 as t", "p_partkey % 3 as n").repartition(parts_of(part, 6), "paper")  # six objects each
     run = lambda kind, text, url="cast(null as string)": f"struct('{kind}' as kind, {text} as text, array() as styles, {url} as url)"
     said = [run("text", "concat('See Fig. S', f, ', ')"), run("math", "'Fig. S1'"), run("text", "concat(' and Supplementary Table ', t, '; the Supporting Information.')"), run("link", "concat('Figure S', f)", "'u'")]
     blocks = rows.select("paper", "p_partkey", F.lit(1).alias("pos"), F.expr(f"array({', '.join(said)})").alias("runs"))

@@ -124,3 +124,10 @@ def test_title_forms_agree_as_titles_do(spark):
     frame = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
     got = identity.title_agreement(frame, "a", "b")
     assert got.columns == ["i", "a", "b", "agreement"] and [r.agreement for r in got.orderBy("i").collect()] == [g for *_, g in pairs]
+
+
+def test_supplements_are_dealt_and_their_joins_sort(spark, monkeypatch):
+    """Parts are dealt by paper before objects are made of them, and no side of a join is held whole in a task."""
+    monkeypatch.setattr("quire.sources.shared.TASK_ROWS", 100)
+    found = plan(registry.QUERIES["supplement_links"](spark, DATA))
+    assert "REPARTITION_BY_NUM" in found and found.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in found
