@@ -158,7 +158,7 @@ def lookup(queries: DataFrame, steps: list[tuple[str, str, DataFrame, str]]) ->
         classes = table.where("value is not null").groupBy("value").agg(F.min("directory").alias("directory"), F.count_distinct("directory").alias("held"))
         value = F.explode(F.col(column)) if isinstance(queries.schema[column].dataType, T.ArrayType) else F.col(column)
         asked = queries.select("query", value.alias("value")).where("value is not null")
-        hit = asked.join(classes, "value").select("query", "directory", "held", F.lit(rank).alias("rank"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+        hit = asked.join(classes.hint("merge"), "value").select("query", "directory", "held", F.lit(rank).alias("rank"), F.lit(status).alias("status"), F.lit(reason).alias("reason"))
         found = hit if found is None else found.unionByName(hit)
     best = found.groupBy("query", "directory").agg(F.min(F.struct("rank", "status", "reason", "held")).alias("b")).select("query", "directory", "b.held", "b.status", "b.reason")
     return with_absent(queries, best)
@@ -167,7 +167,7 @@ def lookup(queries: DataFrame, steps: list[tuple[str, str, DataFrame, str]]) ->
 def with_absent(queries: DataFrame, best: DataFrame) -> DataFrame:
     """``best`` with a row ``absent`` for each of the ``queries`` that has no evidence."""
     none = F.lit(None).cast(best.schema["directory"].dataType)
-    absent = queries.select("query").distinct().join(best.select("query").distinct(), "query", "left_anti").select("query", none.alias("directory"), F.lit(0).cast("long").alias("held"), F.lit("absent").alias("status"), F.lit("").alias("reason"))
+    absent = queries.select("query").distinct().join(best.select("query").distinct().hint("merge"), "query", "left_anti").select("query", none.alias("directory"), F.lit(0).cast("long").alias("held"), F.lit("absent").alias("status"), F.lit("").alias("reason"))
     return best.select("query", "directory", "held", "status", "reason").unionByName(absent)
 
 
@@ -177,7 +177,8 @@ def lookup_library(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame
     ``queries``: query, sha256, text_sha256, arxiv, arxiv_candidates, doi, doi_candidates, title, author, year, first_page.
     ``index``: sources (directory, sha256), texts (directory, text_sha256), arxiv (directory, identifier), papers
     (directory, doi, title_key, title_key_observed, families, year), candidates (directory, doi). Bytes and text come first,
-    then identifiers of the file, identifiers it mentions, similar titles, and titles that the first page prints.
+    then identifiers of the file, identifiers it mentions, similar titles, and titles that the first page prints. Each kind of
+    evidence is stored once, as narrow rows, and joins are told to sort: estimates from small files would send whole sides to the driver.
     """
     bare = lambda c: F.transform(F.col(c), ids.arxiv_base)
     asked = queries.withColumns({"_arxiv": ids.arxiv_base(F.col("arxiv")), "_mentioned": bare("arxiv_candidates"), "_doi": F.lower("doi"), "_dois": F.transform("doi_candidates", F.lower)})
@@ -191,13 +192,15 @@ def lookup_library(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame
         ("related", "the file mentions the paper's DOI", table("papers", "doi"), "_dois"),
         ("related", "both mention a DOI", table("candidates", "doi"), "_dois"),
     ]
-    sure = lookup(asked, steps).where("status <> 'absent'")
+    sure = materialize(lookup(asked, steps).where("status <> 'absent'"), "sure")
     titled = title_matches(queries, index["papers"]).select("query", "directory", F.lit(1).cast("long").alias("held"), F.lit("candidate").alias("status"), F.lit("similar titles; titles alone never prove identity").alias("reason"))
+    titled = materialize(titled, "titled")
     keys = index["papers"].where("title_key <> ''").select(F.col("directory").alias("title_id"), F.col("title_key").alias("key"))
     pages = queries.where("first_page is not null").select(F.col("query").alias("page_id"), text.title_key(F.col("first_page")).alias("page_key"))
     printed = printed_titles(keys, pages).select(F.col("page_id").alias("query"), F.col("title_id").alias("directory"), F.lit(1).cast("long").alias("held"), F.lit("candidate").alias("status"), F.lit("the first page prints the paper's title").alias("reason"))
-    weaker = titled.unionByName(printed.join(titled.select("query", "directory"), ["query", "directory"], "left_anti"))
-    return with_absent(queries, sure.unionByName(weaker.join(sure.select("query", "directory"), ["query", "directory"], "left_anti")))
+    weaker = titled.unionByName(printed.join(titled.select("query", "directory").hint("merge"), ["query", "directory"], "left_anti"))
+    best = materialize(sure.unionByName(weaker.join(sure.select("query", "directory").hint("merge"), ["query", "directory"], "left_anti")), "best")
+    return with_absent(queries, best)
 
 
 #: How far two years may be apart for one paper.
@@ -215,7 +218,7 @@ def title_matches(queries: DataFrame, papers: DataFrame, least: float = 0.8) ->
     left = queries.where("title is not null").select(F.col("query").alias("id"), text.title_key(F.col("title")).alias("k"))
     right = papers.select(F.col("directory").alias("id"), F.explode(F.array_distinct(keys)).alias("k"))
     pairs = _similar(left, right, least, between=True).groupBy("a", "b").agg(F.max("overlap").alias("overlap"))
-    rows = pairs.join(queries.select(F.col("query").alias("a"), "author", F.col("year").alias("_asked")), "a").join(papers.select(F.col("directory").alias("b"), "families", "year"), "b")
+    rows = pairs.join(queries.select(F.col("query").alias("a"), "author", F.col("year").alias("_asked")).hint("merge"), "a").join(papers.select(F.col("directory").alias("b"), "families", "year").hint("merge"), "b")
     wanted = text.title_key(F.col("author"))
     fits = F.col("author").isNull() | F.exists(F.coalesce("families", F.array().cast("array<string>")), lambda f: F.contains(text.title_key(f), wanted))
     near = F.col("_asked").isNull() | F.col("year").isNull() | (F.abs(F.col("_asked") - F.col("year")) <= YEAR_TOLERANCE)
@@ -223,8 +226,11 @@ def title_matches(queries: DataFrame, papers: DataFrame, least: float = 0.8) ->
 
 
 def _similar(left: DataFrame, right: DataFrame, least: float, between: bool) -> DataFrame:
-    """(a, b, overlap) of rows (id, k) whose blank-separated words overlap by ``least`` of their union; a < b unless ``between``."""
-    split = lambda rows: rows.select("id", F.array_distinct(F.filter(F.split("k", " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0).withColumn("n", F.xxhash64("w"))
+    """(a, b, overlap) of rows (id, k) whose blank-separated words overlap by ``least`` of their union; a < b unless ``between``.
+
+    Words are stored once. No side of a join is small because its file is, so none is broadcast.
+    """
+    split = lambda rows: materialize(rows.select("id", F.array_distinct(F.filter(F.split("k", " "), lambda w: w != "")).alias("w")).where(F.size("w") > 0).withColumn("n", F.xxhash64("w")), "words")
     left = split(left)
     right = split(right) if between else left
     words = left.unionByName(right) if between else left
@@ -233,14 +239,14 @@ def _similar(left: DataFrame, right: DataFrame, least: float, between: bool) ->
     slack = 1e-9  # sizes times a fraction are rounded so that no pair at the limit is lost
 
     def prefix(rows: DataFrame) -> DataFrame:
-        ranked = rows.select("id", "n", F.size("w").alias("size"), F.explode("w").alias("t")).join(rarity, "t").withColumn("r", F.row_number().over(Window.partitionBy("id", "n").orderBy("often", "t")))
+        ranked = rows.select("id", "n", F.size("w").alias("size"), F.explode("w").alias("t")).join(rarity.hint("merge"), "t").withColumn("r", F.row_number().over(Window.partitionBy("id", "n").orderBy("often", "t")))
         return ranked.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - slack) + 1).select("id", "n", "size", "r", "t")
 
     def met(small: DataFrame, large: DataFrame, fits: Column) -> DataFrame:
         """Pairs (s, l) of a row and one of its size or larger that share a word of both prefixes."""
         # of a pair, the smaller one shares at least 2 * least / (1 + least) of its words: its prefix is shorter, and frequent words seldom reach it
         short = small.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * (2 * least / (1 + least)) - slack) + 1).alias("s")
-        return short.join(large.alias("l"), (F.col("s.t") == F.col("l.t")) & (F.col("s.size") <= F.col("l.size")) & (F.col("l.size") * least - slack <= F.col("s.size")) & fits)
+        return short.join(large.alias("l").hint("merge"), (F.col("s.t") == F.col("l.t")) & (F.col("s.size") <= F.col("l.size")) & (F.col("l.size") * least - slack <= F.col("s.size")) & fits)
 
     sides = lambda a, b: [F.col(f"{a}.id").alias("a"), F.col(f"{a}.n").alias("na"), F.col(f"{b}.id").alias("b"), F.col(f"{b}.n").alias("nb")]
     if between:
@@ -253,7 +259,7 @@ def _similar(left: DataFrame, right: DataFrame, least: float, between: bool) ->
         pairs = met(a, a, (F.col("s.id") != F.col("l.id")) & ((F.col("s.size") < F.col("l.size")) | first)).select(*(pick(F.col(f"s.{c}"), F.col(f"l.{c}")).alias(n) for c, n in (("id", "a"), ("n", "na"))), *(pick(F.col(f"l.{c}"), F.col(f"s.{c}")).alias(n) for c, n in (("id", "b"), ("n", "nb")))).distinct()
     full = lambda rows, c: rows.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("w").alias(f"w_{c}"))
     overlap = F.size(F.array_intersect("w_a", "w_b")) / F.size(F.array_union("w_a", "w_b"))
-    return pairs.join(full(left, "a"), ["a", "na"]).join(full(right, "b"), ["b", "nb"]).select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= least)
+    return pairs.join(full(left, "a").hint("merge"), ["a", "na"]).join(full(right, "b").hint("merge"), ["b", "nb"]).select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= least)
 
 
 def similar_titles(rows: DataFrame, key: str, title: str, least: float = 0.8) -> DataFrame:
@@ -275,6 +281,6 @@ def printed_titles(titles: DataFrame, pages: DataFrame, least_words: int = 4) ->
     threes = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
     stored = materialize(pages.select("page_id", "page_key"), "pages")
     runs = stored.select("page_id", F.explode(F.element_at(F.transform(F.array(F.split(F.col("page_key"), " ")), threes), 1)).alias("head"))
-    pairs = runs.join(small_side(materialize(head, "titles")), "head").groupBy("page_id").agg(F.collect_set(F.struct("title_id", "key")).alias("met"))
+    pairs = runs.join(small_side(materialize(head, "titles"), 100_000), "head").groupBy("page_id").agg(F.collect_set(F.struct("title_id", "key")).alias("met"))
     sure = F.filter("met", lambda t: F.contains(F.concat(F.lit(" "), "page_key", F.lit(" ")), F.concat(F.lit(" "), t["key"])))
     return stored.join(pairs, "page_id").select(F.explode(sure).alias("t"), "page_id").select("t.title_id", "page_id").distinct()

@@ -9,7 +9,7 @@ from quire.functions import text
 from quire.operators import search
 from quire.plans import sql
 from quire.plans.registry import query
-from quire.sources.shared import materialize, new_path
+from quire.sources.shared import materialize, new_path, spread
 from quire.sources.tables import load
 
 _W = search.WEIGHTS
@@ -106,7 +106,7 @@ _PAPERS = "SELECT p_partkey AS directory, '10.1000/p' || p_partkey AS doi, p_nam
 def library_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files made from ``part`` looked up in a library made from it: half of them with a DOI, all with title, author and year."""
     made = "concat(p_name, ' ', p_partkey div 2, ' in ', p_type)"
-    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("directory"), F.expr("concat('10.1000/P', p_partkey)").alias("doi"), F.expr(made).alias("title"), F.array("p_brand").alias("families"), F.expr("1990 + p_size % 30").alias("year"))
+    parts = spread(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"), "p_partkey").select(F.col("p_partkey").cast("long").alias("directory"), F.expr("concat('10.1000/P', p_partkey)").alias("doi"), F.expr(made).alias("title"), F.array("p_brand").alias("families"), F.expr("1990 + p_size % 30").alias("year"))
     papers = parts.select("directory", F.lower("doi").alias("doi"), text.title_key(F.col("title")).alias("title_key"), F.lit(None).cast("string").alias("title_key_observed"), "families", "year")
     none = F.lit(None).cast("string")
     empty = F.array().cast("array<string>")

@@ -131,3 +131,15 @@ def test_supplements_are_dealt_and_their_joins_sort(spark, monkeypatch):
     monkeypatch.setattr("quire.sources.shared.TASK_ROWS", 100)
     found = plan(registry.QUERIES["supplement_links"](spark, DATA))
     assert "REPARTITION_BY_NUM" in found and found.count("SortMergeJoin") == 3 and "BroadcastHashJoin" not in found
+
+
+def test_lookups_send_no_side_to_the_driver(spark):
+    """Joins of evidence and of titles sort, however small the tables look: a file of 5 MB once made broadcasts of 800 MB."""
+    rows = spark.range(50).selectExpr("id", "concat('large ring ', id div 2, ' in small') as k")
+    papers = rows.selectExpr("id as directory", "k as title_key", "cast(null as string) as title_key_observed", "array('B ' || id div 4) as families", "1990 as year")
+    asked = rows.selectExpr("id as query", "k as title", "'B ' || id div 4 as author", "1991 as year")
+    titled, looked = search.title_matches(asked, papers), search.lookup(asked, [("present", "title", papers.selectExpr("title_key as value", "directory"), "title")])
+    for found in (titled, looked):
+        assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert sorted((r.query, r.directory) for r in titled.collect()) == [(a, b) for a in range(50) for b in range(50) if a // 2 == b // 2]
+    assert sorted((r.query, r.directory, r.held, r.status) for r in looked.collect()) == [(a, a // 2 * 2, 2, "present") for a in range(50)]
